@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 
 from locuskit.functions import region_id
 from locuskit.operators.intervals import WIDTH, bucketed_join
-from locuskit.operators.joins import MIN_HOT_ROWS
 
 REGION = ["region_type", "region", "chrom", "start_pos", "end_pos"]
 STRETCH = 1 << 20
 
 
 def region_coverage(regions: DataFrame, preds: DataFrame, width: int = WIDTH,
-                    min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                    hot_rows: int | None = None) -> DataFrame:
     """Covered stretch per (region, element); regions without any keep one NULL row.
 
     Predictions are collapsed to distinct positions before the join, and only regions
@@ -28,7 +27,7 @@ def region_coverage(regions: DataFrame, preds: DataFrame, width: int = WIDTH,
     places = preds.select("chrom", "cre_start", "cre_end", "allele_pos").distinct()
     pairs = bucketed_join(regions.select(*REGION).distinct(), places, F.col("start_pos"),
                           F.col("end_pos"), F.col("allele_pos"), width=width,
-                          min_hot_rows=min_hot_rows)
+                          hot_rows=hot_rows)
     found = (pairs.groupBy(*[F.col(f"l.{c}").alias(c) for c in REGION],
                            F.col("r.cre_start").alias("cre_start"),
                            F.col("r.cre_end").alias("cre_end"))

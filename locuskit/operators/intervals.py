@@ -2,8 +2,8 @@
 
 Every join here has the form "a position of one side lies between two positions of the
 other". Intervals are expanded to the buckets they touch, positions fall into exactly one
-bucket, and the two meet by hash on (chromosome, width level, bucket); the full predicate
-then decides. A position has one bucket per level and an interval one level, so no pair is
+bucket, and the two meet by hash on (chromosome, bucket width, bucket); the full predicate
+then decides. A position has one bucket per width and an interval one width, so no pair is
 produced twice. Interval lengths may differ by orders of magnitude: longer intervals use
 wider buckets, so none expands to more than about 17 of them.
 """
@@ -16,56 +16,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuskit.functions import motif_name
-from locuskit.operators.joins import MIN_HOT_ROWS, skew_join
+from locuskit.operators.joins import skew_join
 
 WIDTH = 256
 LEVEL_FACTOR = 16
 TOP_LEVEL = 7
 
 
-def _level(length: Column, width: int) -> Column:
-    out = F.lit(TOP_LEVEL)
-    for level in reversed(range(TOP_LEVEL)):
-        out = F.when(length <= width * LEVEL_FACTOR ** (level + 1), F.lit(level)).otherwise(out)
+def _bucket_size(length: Column, width: int) -> Column:
+    """Smallest width x 16^i that is at least a sixteenth of the interval's length."""
+    sizes = [width * LEVEL_FACTOR ** i for i in range(TOP_LEVEL + 1)]
+    out = F.lit(sizes[-1]).cast("bigint")
+    for size in reversed(sizes[:-1]):
+        out = F.when(length <= size * LEVEL_FACTOR, F.lit(size).cast("bigint")).otherwise(out)
     return out
 
 
-def _level_width(level: Column, width: int) -> Column:
-    return (F.lit(float(width)) * F.pow(F.lit(float(LEVEL_FACTOR)), level)).cast("bigint")
-
-
 def bucketed_join(intervals: DataFrame, points: DataFrame, lo: Column, hi: Column, at: Column,
                   residual: Column | None = None, keys: Sequence[str] = ("chrom",),
-                  width: int = WIDTH, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                  width: int = WIDTH, hot_rows: int | None = None) -> DataFrame:
     """Pairs with equal ``keys`` and lo <= at <= hi; sides are aliased ``l`` and ``r``.
 
     ``lo`` and ``hi`` are integer expressions over ``intervals``, ``at`` over ``points``;
-    ``residual`` uses the aliases.
+    ``residual`` uses the aliases. Positions look into one bucket per width in use.
     """
     spans = (intervals.withColumn("_lo", lo.cast("bigint")).withColumn("_hi", hi.cast("bigint"))
              .filter(F.col("_lo") <= F.col("_hi"))
-             .withColumn("_level", _level(F.col("_hi") - F.col("_lo"), width)))
-    levels = spans.agg(F.collect_set("_level").alias("levels")).scalar()
-    size = _level_width(F.col("_level"), width)
-    left = (spans.withColumn("_bucket", F.explode(F.sequence(
-        F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size)))))
+             .withColumn("_size", _bucket_size(F.col("_hi") - F.col("_lo"), width)))
+    sizes = spans.agg(F.collect_set("_size").alias("sizes")).scalar()
+    size = F.col("_size")
+    left = spans.withColumn("_bucket", F.explode(F.sequence(
+        F.col("_lo") - F.pmod(F.col("_lo"), size), F.col("_hi"), size)))
     right = (points.withColumn("_at", at.cast("bigint")).filter(F.col("_at").isNotNull())
-             .withColumn("_levels", levels)
-             .withColumn("_level", F.explode("_levels")).drop("_levels")
-             .withColumn("_bucket", F.floor(F.col("_at") / size)))
+             .withColumn("_sizes", sizes)
+             .withColumn("_size", F.explode("_sizes")).drop("_sizes")
+             .withColumn("_bucket", F.col("_at") - F.pmod(F.col("_at"), size)))
     inside = (F.col("r._at") >= F.col("l._lo")) & (F.col("r._at") <= F.col("l._hi"))
-    return skew_join(left, right, [*keys, "_level", "_bucket"],
-                     inside if residual is None else inside & residual, min_hot_rows)
+    return skew_join(left, right, [*keys, "_size", "_bucket"],
+                     inside if residual is None else inside & residual, hot_rows)
 
 
 def contained_join(bins: DataFrame, features: DataFrame, carry: Sequence[str] = ("log2FC",),
-                   width: int = WIDTH, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                   width: int = WIDTH, hot_rows: int | None = None) -> DataFrame:
     """Features that lie fully inside a bin, with the bin's ``carry`` columns."""
     slim_bins = bins.select("chrom", "start", "end", *carry)
     slim = features.select("chrom", "start", "stop", "motif_id", "motif_alt_id")
     pairs = bucketed_join(slim_bins, slim, F.col("start"), F.col("end"), F.col("start"),
                           F.col("l.end") >= F.col("r.stop"), width=width,
-                          min_hot_rows=min_hot_rows)
+                          hot_rows=hot_rows)
     return pairs.select(
         F.col("l.chrom").alias("chrom"), F.col("l.start").alias("seq_start"),
         F.col("l.end").alias("seq_end"), F.col("r.motif_id").alias("motif_id"),
@@ -76,12 +74,12 @@ def contained_join(bins: DataFrame, features: DataFrame, carry: Sequence[str] =
 
 
 def within_distance_join(features: DataFrame, k: int = 1000, width: int = WIDTH,
-                         min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                         hot_rows: int | None = None) -> DataFrame:
     """Ordered feature pairs: the second starts after the first stops and ends within k."""
     slim = features.select("chrom", "start", "stop", "motif_id", "motif_alt_id")
     pairs = bucketed_join(slim, slim, F.col("stop") + 1, F.col("start") + k, F.col("start"),
                           F.col("l.start") + k >= F.col("r.stop"), width=max(width, k // 4),
-                          min_hot_rows=min_hot_rows)
+                          hot_rows=hot_rows)
     return pairs.select(
         F.col("l.chrom").alias("chrom"), F.col("l.start").alias("start"),
         (F.col("l.stop") - F.col("l.start")).alias("motif_length"),
@@ -93,12 +91,12 @@ def within_distance_join(features: DataFrame, k: int = 1000, width: int = WIDTH,
 
 
 def padded_point_join(features: DataFrame, preds: DataFrame, pad: int = 5, width: int = WIDTH,
-                      min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                      hot_rows: int | None = None) -> DataFrame:
     """Predictions whose position is in a feature widened by ``pad`` on both sides."""
     slim = features.select("chrom", "start", "stop", "motif_id", "motif_alt_id")
     points = preds.select("chrom", "allele_pos", "ref_allele", "allele", "log2FC")
     pairs = bucketed_join(slim, points, F.col("start") - pad, F.col("stop") + pad,
-                          F.col("allele_pos"), width=width, min_hot_rows=min_hot_rows)
+                          F.col("allele_pos"), width=width, hot_rows=hot_rows)
     return pairs.select(
         F.col("l.motif_id").alias("motif_id"), F.col("l.motif_alt_id").alias("motif_alt_id"),
         motif_name(F.col("l.motif_alt_id")).alias("motif_name"),

@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from locuskit.session import shuffle_partitions
 
-MIN_HOT_ROWS = 500_000
-
-
-def _hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], min_hot_rows: int) -> DataFrame:
+def _hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], hot_rows: int) -> DataFrame:
     """Keys above a fair share of either side, with the number of cuts for each side.
 
     A fair share is 1/partitions of a side, so at most 2 x partitions keys qualify
@@ -27,7 +24,7 @@ def _hot_keys(left: DataFrame, right: DataFrame, on: Sequence[str], min_hot_rows
     total = counts.agg(F.struct(F.sum("_a").alias("a"), F.sum("_b").alias("b"))).scalar()
 
     def cuts(side: str) -> Column:
-        share = F.greatest(F.lit(float(min_hot_rows)), total[side[1:]] / F.lit(parts))
+        share = F.greatest(F.lit(float(hot_rows)), total[side[1:]] / F.lit(parts))
         return F.ceil(F.col(side) / share).cast("int")
 
     return (counts.select(*on, F.greatest(cuts("_a"), F.lit(1)).alias("_cuts_a"),
@@ -48,23 +45,29 @@ def _salted(side: DataFrame, hot: DataFrame, on: Sequence[str], own: str, other:
 
 
 def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str],
-              condition: Column | None = None, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """Inner join on the shared columns ``on``, both sides cut at hot keys.
-
-    The sides are aliased ``l`` and ``r`` for ``condition`` and for selection from the
-    result. Keys above a fair share are counted first (a narrow, map-side combined pass);
-    rows that are exact copies share one cut and are left to adaptive skew splitting.
+              condition: Column | None = None, hot_rows: int | None = None) -> DataFrame:
+    """Inner join on the shared columns ``on``; sides are aliased ``l`` and ``r``.
+
+    By default hot keys are left to adaptive execution, which splits oversized partitions
+    of either side when it sees their real sizes (``session.tune`` makes it do so even at
+    the price of another shuffle). With ``hot_rows`` the keys above that many rows and
+    above a fair share are counted first, in a narrow map-side combined pass, and both
+    sides are cut at them by content hash.
     """
-    hot = _hot_keys(left, right, on, min_hot_rows)
-    a = _salted(left, hot, on, "a", "b").alias("l")
-    b = _salted(right, hot, on, "b", "a").alias("r")
-    match = reduce(lambda x, y: x & y,
-                   [F.col(f"l.{k}") == F.col(f"r.{k}") for k in [*on, "_sa", "_sb"]])
+    keys = list(on)
+    if hot_rows is None:
+        a, b = left.alias("l"), right.alias("r")
+    else:
+        hot = _hot_keys(left, right, on, hot_rows)
+        a = _salted(left, hot, on, "a", "b").alias("l")
+        b = _salted(right, hot, on, "b", "a").alias("r")
+        keys += ["_sa", "_sb"]
+    match = reduce(lambda x, y: x & y, [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys])
     return a.join(b, match if condition is None else match & condition)
 
 
 def partitioned_join(left: DataFrame, right: DataFrame, partition_col: str, condition: Column,
-                     select: Sequence[Column], min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+                     select: Sequence[Column], hot_rows: int | None = None) -> DataFrame:
     """Theta join within equal values of ``partition_col`` (sides ``l`` and ``r``).
 
     One declarative join in place of a loop over partition values. When the condition
@@ -74,7 +77,7 @@ def partitioned_join(left: DataFrame, right: DataFrame, partition_col: str, cond
     must then hold an equality for Spark to hash on.
     """
     if partition_col in right.columns:
-        return skew_join(left, right, [partition_col], condition, min_hot_rows).select(*select)
+        return skew_join(left, right, [partition_col], condition, hot_rows).select(*select)
     return (left.filter(F.col(partition_col).isNotNull()).alias("l")
             .join(right.alias("r"), condition).select(*select))
 

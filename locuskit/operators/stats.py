@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import columns_matching, ratio, row_mean
-from locuskit.operators.joins import MIN_HOT_ROWS, skew_join
+from locuskit.operators.joins import skew_join
 from locuskit.operators.ordered import running_totals, value_counts
 
 # Last point at which the share of null tests is read, and the number of
@@ -49,7 +49,7 @@ def bonferroni_cutoff(df: DataFrame, alpha: float = 0.05) -> float:
 
 
 def qvalues(df: DataFrame, p: str = "pvalue", m: float | None = None, pi0: float | None = None,
-            out: str = "qvalue", min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+            out: str = "qvalue", hot_rows: int | None = None) -> DataFrame:
     """Add step-up q-values; rows with equal p share one.
 
     The estimated share of null tests is the interpolated count ratio at the last lambda.
@@ -75,7 +75,7 @@ def qvalues(df: DataFrame, p: str = "pvalue", m: float | None = None, pi0: float
              .select("_seg", F.min("_piece").over(
                  W.orderBy(F.desc("_seg")).rowsBetween(W.unboundedPreceding, -1)).alias("_later")))
     table = local.join(later, "_seg").select(p, F.least("_here", "_later").alias(out))
-    return (skew_join(tested, table, [p], min_hot_rows=min_hot_rows)
+    return (skew_join(tested, table, [p], hot_rows=hot_rows)
             .select(*[F.col(f"l.{c}") for c in df.columns], F.col(f"r.{out}")))
 
 

@@ -19,10 +19,11 @@ def keep_single_base(df: DataFrame, ref: str = "ref_allele", alt: str = "alt_all
 
 
 def max_abs_measurement(mpra: DataFrame, keys: Sequence[str] = VARIANT) -> DataFrame:
-    """Per variant the measurement of largest |Value|; experiment settles ties."""
+    """Per variant the measurement of largest |Value|; experiment, then value settle ties."""
     best = F.max_by(F.struct("Value", "p_value", "Tags", "experiment"),
                     F.struct(F.abs("Value").alias("a"), F.col("experiment").alias("b"),
-                             F.col("Value").alias("c")))
+                             F.col("Value").alias("c"), F.col("p_value").alias("d"),
+                             F.col("Tags").alias("e")))
     return (mpra.groupBy(*keys).agg(best.alias("_m"))
             .select(*keys, F.col("_m.Value").alias("mpra_max_log2effect"),
                     F.col("_m.p_value").alias("mpra_p_value"), F.col("_m.Tags").alias("mpra_tags"),

@@ -29,6 +29,13 @@ def build_session(app: str = "locuskit", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Switch adaptive execution and its skew splitting on in a session made elsewhere."""
+    for key, value in SQL_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
