@@ -138,7 +138,7 @@ def auroc_top_n(df: DataFrame, neg_label: object, pos_label: object, key: str,
                 score: str = "log2FC", label: str = "label", seed: int = 42,
                 include_full: bool = True) -> DataFrame:
     """Area by |score| on all rows and on each top-N subset."""
-    slim = df.select(key, effect, score, label)
+    slim = df.select(*dict.fromkeys([key, effect, score, label]))
     parts = [slim.withColumn("subset", F.lit("All"))] if include_full else []
     parts += [top_abs_with_negatives(slim, n, neg_label, key, effect, label, seed)
               .withColumn("subset", F.lit(str(n))) for n in ns]

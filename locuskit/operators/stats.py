@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +24,13 @@ def power_of_ten(value: float) -> float:
     return 10.0 ** int(math.log10(value))
 
 
+def _truncated_power(value: Column) -> Column:
+    """As :func:`power_of_ten`; written as text because a computed power is not exact."""
+    exponent = F.log10(value)
+    whole = F.when(exponent < 0, F.ceil(exponent)).otherwise(F.floor(exponent))
+    return F.concat(F.lit("1e"), whole.cast("string")).cast("double")
+
+
 def bonferroni_table(df: DataFrame, alpha: float = 0.05) -> DataFrame:
     """One row: number of tests, exact and truncated cutoff (the latter is never smaller)."""
     if not 0 < alpha < 1:
@@ -31,11 +38,8 @@ def bonferroni_table(df: DataFrame, alpha: float = 0.05) -> DataFrame:
     tests = F.col("tests")
     checked = F.when(tests > 0, tests).otherwise(F.raise_error(F.lit("no rows")).cast("bigint"))
     exact = F.lit(alpha) / tests
-    exponent = F.log10(exact)
-    whole = F.when(exponent < 0, F.ceil(exponent)).otherwise(F.floor(exponent))
     return (df.agg(F.count(F.lit(1)).alias("tests")).select(checked.alias("tests"))
-            .select("tests", exact.alias("exact"),
-                    F.pow(F.lit(10.0), whole.cast("double")).alias("cutoff")))
+            .select("tests", exact.alias("exact"), _truncated_power(exact).alias("cutoff")))
 
 
 def bonferroni_cutoff(df: DataFrame, alpha: float = 0.05) -> float:
@@ -83,9 +87,7 @@ def p_at_q(df: DataFrame, q: float = 0.05, p: str = "pvalue", qvalue: str = "qva
            digits: int = 2) -> DataFrame:
     """One row: smallest p among rows whose rounded q equals ``q``, and its power of ten."""
     least = df.filter(F.round(qvalue, digits) == q).agg(F.min(p).alias("p_min"))
-    exponent = F.log10("p_min")
-    whole = F.when(exponent < 0, F.ceil(exponent)).otherwise(F.floor(exponent))
-    return least.select("p_min", F.pow(F.lit(10.0), whole.cast("double")).alias("cutoff"))
+    return least.select("p_min", _truncated_power(F.col("p_min")).alias("cutoff"))
 
 
 def p_cutoff_for_q(df: DataFrame, q: float = 0.05, p: str = "pvalue",

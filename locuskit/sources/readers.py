@@ -27,6 +27,7 @@ EXPERIMENT = r"GRCh38_(.*).tsv$"
 FIRST_PIECE = r"^([^-.]+)"
 CELL_LINE = r"-([^-.]+).tsv$"
 MIDDLE = r"-(.+)-"
+PART_OF_FILE = r"(\.tsv)/[^/]+$"
 SPDI_COLUMNS = {"chrom": "cre_chrom", "cre_start": "cre_start", "cre_end": "cre_end",
                 "log2FC": "effect", "SPDI": "SPDI"}
 SPDI_PARTS = ("allele_pos", "ref_allele", "allele")
@@ -107,7 +108,7 @@ def read_allele_preds_spdi(spark: SparkSession, path: str | list[str], sep: str
 
 
 def ingest_allele_preds(spark: SparkSession, source: str | list[str], path: str, sep: str = "\t",
-                        form: str = "processed", compression: str = "lz4raw",
+                        form: str = "processed", compression: str = "lz4_raw",
                         partition_by: str | None = "chrom", **columns: str | None) -> None:
     """Store predictions as a Parquet table, replacing an older one.
 
@@ -123,8 +124,9 @@ def ingest_allele_preds(spark: SparkSession, source: str | list[str], path: str,
     write_table(preds, path, [partition_by] if partition_by else [], "overwrite", compression)
 
 
-def _from_path(df: DataFrame) -> dict[str, Column]:
-    path = F.col("_metadata.file_path")
+def _from_path() -> dict[str, Column]:
+    """Path and parent folder; a "file" may itself be a folder of parts."""
+    path = F.regexp_replace("_metadata.file_path", PART_OF_FILE, "$1")
     return {"file_path": path, "region_type": F.element_at(F.split(path, "/"), -2)}
 
 
@@ -136,7 +138,7 @@ def read_mpra(spark: SparkSession, folder: str, single_base_only: bool = True) -
     """
     raw = (spark.read.options(header=True, sep="\t", nullValue="NA").schema(MPRA_SCHEMA)
            .csv(f"{folder}/*/*.tsv"))
-    rows = raw.withColumns(_from_path(raw))
+    rows = raw.withColumns(_from_path())
     if single_base_only:
         rows = rows.filter(single_base(F.col("Ref"), F.col("Alt")))
     named = rows.select(
@@ -153,7 +155,7 @@ def read_mpra(spark: SparkSession, folder: str, single_base_only: bool = True) -
 def read_relative_preds(spark: SparkSession, folder: str) -> DataFrame:
     """Predictions by position within a region, of ``<folder>/<region type>/*.tsv``."""
     raw = spark.read.options(sep="\t", nullValue="NA").schema(RELATIVE_SCHEMA).csv(f"{folder}/*/*.tsv")
-    rows = raw.withColumns(_from_path(raw))
+    rows = raw.withColumns(_from_path())
     name = F.element_at(F.split("file_path", "/"), -1)
     return (rows.select(
         (F.col("rel_pos") - 1).alias("rel_pos"), "ref_allele", "alt_allele", "log2fc", "file_path",
