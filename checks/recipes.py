@@ -8,10 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from locuskit.session import tune
+
+
+SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; its schema is inferred once and then given."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in SCHEMAS:
+        SCHEMAS[path] = tune(spark).read.parquet(path).schema
+    return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 
 def base(index: Column) -> Column:

@@ -9,7 +9,7 @@ from locuskit.operators import metrics as me
 from locuskit.operators import sampling as sa
 from locuskit.operators import stats as st
 from locuskit.operators import summaries as su
-from locuskit.operators.ordered import exact_quantiles, value_counts
+from locuskit.operators.ordered import exact_quantiles, take_first, value_counts
 
 UNIT = ("((cast(('0x' || substr(md5({0} || '|{1}'), 1, 13)) as bigint) + 0.5::double) "
         "/ 4503599627370496.0::double)")
@@ -282,17 +282,19 @@ def _(spark, sf):
     return sa.sample_rows(value_rows(spark, sf), 500, "event_id", 3)
 
 
-@check("sample_many_rows", f"""select l_orderkey * 10000 + rn as id from (select l_orderkey,
-    row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_extendedprice,
-    l_linenumber) as rn from lineitem) order by {UNIT.format("l_orderkey * 10000 + rn", 5)}, id
-    limit 20000""")
+@check("sample_many_rows", f"""select o_orderkey, o_totalprice from orders
+    order by {UNIT.format("o_orderkey", 5)}, o_orderkey limit 12000""")
 def _(spark, sf):
-    from pyspark.sql import Window as W
-    order = W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_extendedprice",
-                                                "l_linenumber")
-    rows = table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10000 + F.row_number().over(order)).alias("id"))
-    return sa.sample_rows(rows, 20000, "id", 5)
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return sa.sample_rows(rows, 12000, "o_orderkey", 5)
+
+
+@check("top_rows_with_ties", """select o_orderkey, o_totalprice from orders
+    order by -floor(o_totalprice / 50000), o_orderkey limit 11000""")
+def _(spark, sf):
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", "o_totalprice", (-F.floor(F.col("o_totalprice") / 50000)).alias("step"))
+    return take_first(rows, 11000, ["step", "o_orderkey"]).drop("step")
 
 
 @check("row_number", """select row_number() over (order by event_id) as index, event_id, event_type,

@@ -11,6 +11,8 @@ from locuskit.operators import coverage as co
 from locuskit.operators import joins as jo
 from locuskit.operators import summaries as su
 from locuskit.operators import variants as va
+from locuskit.session import scratch_path
+from locuskit.sources.tables import materialize_if_absent
 
 
 def matched(spark, sf, **options):
@@ -384,7 +386,8 @@ def _(spark, sf):
     select * from ({AFTER.format(1)}) union all
     select * from ({BETWEEN}) where region_length > 0"""))
 def _(spark, sf):
-    return co.missing_parts(coverage(spark, sf))
+    path = scratch_path(spark, "coverage")
+    return co.missing_parts(materialize_if_absent(spark, path, lambda: coverage(spark, sf)))
 
 
 @check("mpra_regions", sql("mpra", """select region_type, region, chrom,

@@ -6,18 +6,20 @@ predictions are (chrom, cre_start, cre_end, allele_pos).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import region_id
-from locuskit.operators.intervals import WIDTH, bucketed_join
+from locuskit.operators.intervals import WIDTHS, bucketed_join
 
 REGION = ["region_type", "region", "chrom", "start_pos", "end_pos"]
 STRETCH = 1 << 20
 
 
-def region_coverage(regions: DataFrame, preds: DataFrame, width: int = WIDTH,
+def region_coverage(regions: DataFrame, preds: DataFrame, widths: Sequence[int] = WIDTHS,
                     hot_rows: int | None = None) -> DataFrame:
     """Covered stretch per (region, element); regions without any keep one NULL row.
 
@@ -26,7 +28,7 @@ def region_coverage(regions: DataFrame, preds: DataFrame, width: int = WIDTH,
     """
     places = preds.select("chrom", "cre_start", "cre_end", "allele_pos").distinct()
     pairs = bucketed_join(regions.select(*REGION).distinct(), places, F.col("start_pos"),
-                          F.col("end_pos"), F.col("allele_pos"), width=width,
+                          F.col("end_pos"), F.col("allele_pos"), widths=widths,
                           hot_rows=hot_rows)
     found = (pairs.groupBy(*[F.col(f"l.{c}").alias(c) for c in REGION],
                            F.col("r.cre_start").alias("cre_start"),
@@ -69,10 +71,21 @@ def _outline(coverage: DataFrame) -> DataFrame:
             .agg(F.min("pred_start").alias("first"), F.max("pred_end").alias("last")))
 
 
+def _before() -> tuple[Column, Column, Column]:
+    """(condition, start, end) of the part before the first covered position."""
+    return F.col("first") > F.col("start_pos"), F.col("start_pos"), F.col("first")
+
+
+def _after(compat: bool) -> tuple[Column, Column, Column]:
+    start = F.col("last") if compat else F.col("last") + 1
+    return F.col("last") < F.col("end_pos"), start, F.col("end_pos") + 1
+
+
 def gap_before(coverage: DataFrame) -> DataFrame:
     """From region start to the first covered position."""
-    return (_outline(coverage).filter(F.col("first") > F.col("start_pos"))
-            .select("region_type", "region", *_part(F.col("chrom"), F.col("start_pos"), F.col("first"))))
+    some, start, end = _before()
+    return (_outline(coverage).filter(some)
+            .select("region_type", "region", *_part(F.col("chrom"), start, end)))
 
 
 def gap_after(coverage: DataFrame, compat: bool = False) -> DataFrame:
@@ -80,9 +93,9 @@ def gap_after(coverage: DataFrame, compat: bool = False) -> DataFrame:
 
     ``compat`` starts at the last covered position itself.
     """
-    start = F.col("last") if compat else F.col("last") + 1
-    return (_outline(coverage).filter(F.col("last") < F.col("end_pos"))
-            .select("region_type", "region", *_part(F.col("chrom"), start, F.col("end_pos") + 1)))
+    some, start, end = _after(compat)
+    return (_outline(coverage).filter(some)
+            .select("region_type", "region", *_part(F.col("chrom"), start, end)))
 
 
 def _next_starts(coverage: DataFrame, keys: list[str]) -> DataFrame:
@@ -127,6 +140,14 @@ def gaps_between(coverage: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def missing_parts(coverage: DataFrame, compat: bool = False) -> DataFrame:
-    """Every uncovered part of the partly covered regions."""
-    return (gap_before(coverage).unionByName(gap_after(coverage, compat))
-            .unionByName(gaps_between(coverage, compat)))
+    """Every uncovered part of the partly covered regions.
+
+    ``coverage`` is read for the outer parts and for those in between; store it first when
+    it is costly to compute.
+    """
+    ends = [F.when(some, F.struct(start.alias("a"), end.alias("b")))
+            for some, start, end in (_before(), _after(compat))]
+    outer = (_outline(coverage).select("region_type", "region", "chrom",
+                                       F.explode(F.array_compact(F.array(*ends))).alias("_e"))
+             .select("region_type", "region", *_part(F.col("chrom"), F.col("_e.a"), F.col("_e.b"))))
+    return outer.unionByName(gaps_between(coverage, compat))

@@ -2,10 +2,11 @@
 
 Every join here has the form "a position of one side lies between two positions of the
 other". Intervals are expanded to the buckets they touch, positions fall into exactly one
-bucket, and the two meet by hash on (chromosome, bucket width, bucket); the full predicate
-then decides. A position has one bucket per width and an interval one width, so no pair is
-produced twice. Interval lengths may differ by orders of magnitude: longer intervals use
-wider buckets, so none expands to more than about 17 of them.
+bucket, and the two meet by hash on (chromosome, bucket); the full predicate then decides.
+A position has one bucket, so no pair is produced twice. Where interval lengths differ by
+orders of magnitude several bucket widths can be given: an interval uses the smallest
+width that is at least a sixteenth of its length, and a position looks into one bucket per
+width.
 """
 
 from __future__ import annotations
@@ -18,88 +19,91 @@ from pyspark.sql import functions as F
 from locuskit.functions import motif_name
 from locuskit.operators.joins import skew_join
 
-WIDTH = 256
-LEVEL_FACTOR = 16
-TOP_LEVEL = 7
+WIDTHS = (256,)
+MOST_BUCKETS = 16
 
 
-def _bucket_size(length: Column, width: int) -> Column:
-    """Smallest width x 16^i that is at least a sixteenth of the interval's length."""
-    sizes = [width * LEVEL_FACTOR ** i for i in range(TOP_LEVEL + 1)]
-    out = F.lit(sizes[-1]).cast("bigint")
-    for size in reversed(sizes[:-1]):
-        out = F.when(length <= size * LEVEL_FACTOR, F.lit(size).cast("bigint")).otherwise(out)
-    return out
+def _bucket(position: Column, size: Column) -> Column:
+    return position - F.pmod(position, size)
 
 
 def bucketed_join(intervals: DataFrame, points: DataFrame, lo: Column, hi: Column, at: Column,
                   residual: Column | None = None, keys: Sequence[str] = ("chrom",),
-                  width: int = WIDTH, hot_rows: int | None = None) -> DataFrame:
+                  widths: Sequence[int] = WIDTHS, hot_rows: int | None = None) -> DataFrame:
     """Pairs with equal ``keys`` and lo <= at <= hi; sides are aliased ``l`` and ``r``.
 
     ``lo`` and ``hi`` are integer expressions over ``intervals``, ``at`` over ``points``;
-    ``residual`` uses the aliases. Positions look into one bucket per width in use.
+    ``residual`` uses the aliases.
     """
-    spans = (intervals.withColumn("_lo", lo.cast("bigint")).withColumn("_hi", hi.cast("bigint"))
-             .filter(F.col("_lo") <= F.col("_hi"))
-             .withColumn("_size", _bucket_size(F.col("_hi") - F.col("_lo"), width)))
-    sizes = spans.agg(F.collect_set("_size").alias("sizes")).scalar()
-    size = F.col("_size")
-    left = spans.withColumn("_bucket", F.explode(F.sequence(
-        F.col("_lo") - F.pmod(F.col("_lo"), size), F.col("_hi"), size)))
-    right = (points.withColumn("_at", at.cast("bigint")).filter(F.col("_at").isNotNull())
-             .withColumn("_sizes", sizes)
-             .withColumn("_size", F.explode("_sizes")).drop("_sizes")
-             .withColumn("_bucket", F.col("_at") - F.pmod(F.col("_at"), size)))
+    sizes = [F.lit(w).cast("bigint") for w in sorted(widths)]
+    length, size = F.col("_hi") - F.col("_lo"), sizes[-1]
+    for smaller in reversed(sizes[:-1]):
+        size = F.when(length <= smaller * MOST_BUCKETS, smaller).otherwise(size)
+    spans = (intervals.select("*", lo.cast("bigint").alias("_lo"), hi.cast("bigint").alias("_hi"))
+             .filter(F.col("_lo") <= F.col("_hi")))
+    places = points.select("*", at.cast("bigint").alias("_at")).filter(F.col("_at").isNotNull())
+    on = [*keys, "_bucket"]
+    if len(sizes) > 1:
+        spans = spans.select("*", size.alias("_size"))
+        places = places.select("*", F.explode(F.array(*sizes)).alias("_size"))
+        on, size = [*on, "_size"], F.col("_size")
+    left = spans.select("*", F.explode(F.sequence(_bucket(F.col("_lo"), size), F.col("_hi"), size))
+                        .alias("_bucket"))
+    right = places.select("*", _bucket(F.col("_at"), size).alias("_bucket"))
     inside = (F.col("r._at") >= F.col("l._lo")) & (F.col("r._at") <= F.col("l._hi"))
-    return skew_join(left, right, [*keys, "_size", "_bucket"],
-                     inside if residual is None else inside & residual, hot_rows)
+    return skew_join(left, right, on, inside if residual is None else inside & residual, hot_rows)
+
+
+def _named(features: DataFrame) -> DataFrame:
+    """The columns joins need; names are cut out here, once per feature, not once per pair."""
+    return features.select("chrom", "start", "stop", "motif_id", "motif_alt_id",
+                           motif_name(F.col("motif_alt_id")).alias("motif_name"))
 
 
 def contained_join(bins: DataFrame, features: DataFrame, carry: Sequence[str] = ("log2FC",),
-                   width: int = WIDTH, hot_rows: int | None = None) -> DataFrame:
+                   widths: Sequence[int] = WIDTHS, hot_rows: int | None = None) -> DataFrame:
     """Features that lie fully inside a bin, with the bin's ``carry`` columns."""
     slim_bins = bins.select("chrom", "start", "end", *carry)
-    slim = features.select("chrom", "start", "stop", "motif_id", "motif_alt_id")
+    slim = _named(features)
     pairs = bucketed_join(slim_bins, slim, F.col("start"), F.col("end"), F.col("start"),
-                          F.col("l.end") >= F.col("r.stop"), width=width,
+                          F.col("l.end") >= F.col("r.stop"), widths=widths,
                           hot_rows=hot_rows)
     return pairs.select(
         F.col("l.chrom").alias("chrom"), F.col("l.start").alias("seq_start"),
         F.col("l.end").alias("seq_end"), F.col("r.motif_id").alias("motif_id"),
         F.col("r.motif_alt_id").alias("motif_alt_id"),
-        motif_name(F.col("r.motif_alt_id")).alias("motif_name"),
+        F.col("r.motif_name").alias("motif_name"),
         F.col("r.start").alias("mot_start"), F.col("r.stop").alias("mot_stop"),
         *[F.col(f"l.{c}").alias(c) for c in carry])
 
 
-def within_distance_join(features: DataFrame, k: int = 1000, width: int = WIDTH,
+def within_distance_join(features: DataFrame, k: int = 1000, widths: Sequence[int] | None = None,
                          hot_rows: int | None = None) -> DataFrame:
     """Ordered feature pairs: the second starts after the first stops and ends within k."""
-    slim = features.select("chrom", "start", "stop", "motif_id", "motif_alt_id")
+    slim = _named(features).drop("motif_alt_id")
     pairs = bucketed_join(slim, slim, F.col("stop") + 1, F.col("start") + k, F.col("start"),
-                          F.col("l.start") + k >= F.col("r.stop"), width=max(width, k // 4),
+                          F.col("l.start") + k >= F.col("r.stop"), widths=widths or (max(WIDTHS[0], k // 4),),
                           hot_rows=hot_rows)
     return pairs.select(
         F.col("l.chrom").alias("chrom"), F.col("l.start").alias("start"),
         (F.col("l.stop") - F.col("l.start")).alias("motif_length"),
         F.col("l.motif_id").alias("motif_id"),
-        motif_name(F.col("l.motif_alt_id")).alias("motif_name"),
+        F.col("l.motif_name").alias("motif_name"),
         F.col("r.motif_id").alias("motif2_id"),
-        motif_name(F.col("r.motif_alt_id")).alias("motif2_name"),
+        F.col("r.motif_name").alias("motif2_name"),
         (F.col("r.start") - F.col("l.start")).alias("motif_distance"))
 
 
-def padded_point_join(features: DataFrame, preds: DataFrame, pad: int = 5, width: int = WIDTH,
+def padded_point_join(features: DataFrame, preds: DataFrame, pad: int = 5, widths: Sequence[int] = WIDTHS,
                       hot_rows: int | None = None) -> DataFrame:
     """Predictions whose position is in a feature widened by ``pad`` on both sides."""
-    slim = features.select("chrom", "start", "stop", "motif_id", "motif_alt_id")
+    slim = _named(features)
     points = preds.select("chrom", "allele_pos", "ref_allele", "allele", "log2FC")
     pairs = bucketed_join(slim, points, F.col("start") - pad, F.col("stop") + pad,
-                          F.col("allele_pos"), width=width, hot_rows=hot_rows)
+                          F.col("allele_pos"), widths=widths, hot_rows=hot_rows)
     return pairs.select(
         F.col("l.motif_id").alias("motif_id"), F.col("l.motif_alt_id").alias("motif_alt_id"),
-        motif_name(F.col("l.motif_alt_id")).alias("motif_name"),
+        F.col("l.motif_name").alias("motif_name"),
         F.col("l.chrom").alias("chrom"), F.col("l.start").alias("mot_start"),
         F.col("l.stop").alias("mot_end"), F.col("r.allele_pos").alias("allele_pos"),
         F.col("r.ref_allele").alias("ref_allele"), F.col("r.allele").alias("alt_allele"),

@@ -82,24 +82,20 @@ def combination_hits(hits: DataFrame, carry: Sequence[str] = ("log2FC",),
             .agg(F.count(F.lit(1)).alias("n"), F.min("mot_stop").alias("stop"),
                  *[F.min(c).alias(c) for c in carry],
                  *[F.max(is_true(F.col(f))).alias(f) for f in flags]))
-    copies = F.concat(F.repeat(F.concat(F.col("motif_name"), F.lit(", ")),
-                               (F.col("n") - 1).cast("int")), F.col("motif_name"))
-    place = F.struct("mot_start", "motif_id", "motif_name")
-    item = F.collect_list(F.struct(place.alias("place"), F.col("motif_name").alias("name"),
-                                   copies.alias("text")))
-    texts = lambda array: F.array_join(F.transform(array, lambda x: x["text"]), ", ")
-    by_name = F.array_sort(F.transform("_items", lambda x: F.struct(
-        x["name"].alias("name"), x["place"].alias("place"), x["text"].alias("text"))))
+    item = F.collect_list(F.struct("mot_start", "motif_id", "motif_name", F.col("n").cast("int")))
+    names = F.flatten(F.transform(F.sort_array("_items"),
+                                  lambda x: F.array_repeat(x["motif_name"], x["n"])))
     grouped = (slim.groupBy(*bin_key)
-               .agg(F.sum("n").alias("num_hits"), F.count_distinct("motif_id").alias("num_tfs"),
-                    F.max("mot_start").alias("_last"), F.min("mot_start").alias("_first"),
+               .agg(F.sum("n").alias("num_hits"), F.max("mot_start").alias("_last"), F.min("mot_start").alias("_first"),
                     F.min("stop").alias("_stop"), item.alias("_items"),
                     *[F.min(c).alias(c) for c in carry], *[F.max(f).alias(f) for f in flags])
                .filter((F.col("num_hits") > 1) & (F.col("_last") > F.col("_stop"))))
-    return grouped.select(
-        *bin_key, "num_hits", "num_tfs", (F.col("_last") - F.col("_first")).alias("max_motif_dist"),
-        texts(F.array_sort("_items")).alias("motif_names"),
-        texts(by_name).alias("motif_names_o"), *carry, *flags)
+    motifs = F.size(F.array_distinct(F.col("_items.motif_id"))).cast("bigint")
+    return grouped.withColumn("_names", names).select(
+        *bin_key, "num_hits", motifs.alias("num_tfs"),
+        (F.col("_last") - F.col("_first")).alias("max_motif_dist"),
+        F.array_join("_names", ", ").alias("motif_names"),
+        F.array_join(F.sort_array("_names"), ", ").alias("motif_names_o"), *carry, *flags)
 
 
 def combination_stats(combos: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -160,7 +156,7 @@ def ambiguous_motif_names(mut_hits: DataFrame) -> DataFrame:
             .agg(F.min(F.col("mot_end") - F.col("mot_start")).alias("lo"),
                  F.max(F.col("mot_end") - F.col("mot_start")).alias("hi"))
             .groupBy("motif_name")
-            .agg(F.array_join(F.array_sort(F.collect_set("motif_id")), ",").alias("motif_ids"),
+            .agg(F.array_join(F.sort_array(F.collect_set("motif_id")), ",").alias("motif_ids"),
                  F.count(F.lit(1)).alias("num_ids"),
                  (F.min("lo") + 1).alias("motif_len_min"), (F.max("hi") + 1).alias("motif_len_max"))
             .filter(F.col("num_ids") > 1))

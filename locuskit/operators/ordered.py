@@ -87,12 +87,15 @@ def running_totals(counts: DataFrame, keys: Sequence[str], order: str, sums: Seq
 
 
 def values_at_ranks(counts: DataFrame, keys: Sequence[str], value: str,
-                    ranks: dict[str, Column], weight: str = "n") -> DataFrame:
-    """(keys, label, total, value, below): the value at 1-based rank ``ranks[label]``.
+                    ranks: dict[str, Column], weight: str = "n", tie: str | None = None) -> DataFrame:
+    """(keys, label, rank, total, value, below): the value at 1-based rank ``ranks[label]``.
 
     Rank expressions may use ``F.col("total")``, the number of rows of the key. Only
     pieces that hold a wanted rank are ordered, so little is shuffled beyond ``counts``.
+    With ``tie`` the rows of ``counts`` need not be distinct in ``value``; that column
+    orders equal ones and is returned as well.
     """
+    more = [tie] if tie else []
     tagged = with_segment(counts, value, [weight])
     pieces = _piece_totals(tagged, keys, [weight], False).withColumnRenamed(f"_all_{weight}", "total")
     wanted = F.array(*[F.struct(F.lit(label).alias("label"), rank.cast("bigint").alias("rank"))
@@ -104,9 +107,9 @@ def values_at_ranks(counts: DataFrame, keys: Sequence[str], value: str,
                .filter(F.size("_wanted") > 0)
                .select(*keys, "_seg", "total", "_wanted", start.alias("_start")))
     held = (tagged.alias("v").join(targets.alias("t"), same_keys("v", "t", [*keys, "_seg"]))
-            .select(*[F.col(f"v.{k}") for k in [*keys, "_seg", value, weight]],
+            .select(*[F.col(f"v.{k}") for k in [*keys, "_seg", value, weight, *more]],
                     "t.total", "t._wanted", "t._start"))
-    window = (W.partitionBy(*keys, "_seg").orderBy(value)
+    window = (W.partitionBy(*keys, "_seg").orderBy(value, *more)
               .rowsBetween(W.unboundedPreceding, W.currentRow))
     cum = held.withColumn("_cum", F.col("_start") + F.sum(weight).over(window))
     upto, here = F.col("_cum"), F.col(weight)
@@ -114,9 +117,9 @@ def values_at_ranks(counts: DataFrame, keys: Sequence[str], value: str,
                                             & (r["rank"] <= upto)))
             .filter(F.size("_hit") > 0)
             .select(*keys, F.explode("_hit").alias("_hit"), "total",
-                    F.col(value).alias("value"), (upto - here).alias("below"))
+                    F.col(value).alias("value"), (upto - here).alias("below"), *more)
             .select(*keys, F.col("_hit.label").alias("label"), F.col("_hit.rank").alias("rank"),
-                    "total", "value", "below"))
+                    "total", "value", "below", *more))
 
 
 def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str,
@@ -154,23 +157,33 @@ SMALL_TOP = 10_000
 
 
 def take_first(df: DataFrame, k: int | Column, order: Sequence[str],
-               counted: Column | None = None) -> DataFrame:
+               rare_ties: bool = False) -> DataFrame:
     """Exactly the first ``k`` rows by the numeric columns ``order`` (last one unique).
 
     ``k`` may be an expression over ``F.col("total")``. A small constant ``k`` is a plain
     top-k; otherwise the cutoff value of each order column is found and the rows are
-    filtered in place, so no row is shuffled and no task holds the sample.
+    filtered in place, so no row is shuffled and no task holds the sample. Each order
+    column takes a pass, in which equal values are collapsed, unless ``rare_ties`` says
+    that equal values of the first one are rare (random numbers, say): then both of two
+    columns are settled in one.
     """
     if isinstance(k, int) and k <= SMALL_TOP:
         return df.orderBy(*order).limit(k)
     wanted = F.lit(k) if isinstance(k, int) else k
+    upto = {"k": F.least(wanted, F.col("total"))}
+    if rare_ties:
+        first, second = order
+        rows = df.select(first, second, F.lit(1).alias("n")).filter(F.col(first).isNotNull())
+        cut = values_at_ranks(rows, [], first, upto, tie=second).select(
+            F.struct("value", F.col(second).alias("tie")).alias("s")).scalar()
+        return df.filter((F.col(first) < cut["value"])
+                         | ((F.col(first) == cut["value"]) & (F.col(second) <= cut["tie"])))
     keep, tied, ties = F.lit(False), F.lit(True), df
     for column in order:
-        cut = values_at_ranks(value_counts(ties, [], column), [], column,
-                              {"k": F.least(wanted, F.col("total"))})
-        found = cut.select(F.struct("value", (F.col("rank") - F.col("below")).alias("left")).alias("s"))
-        spot = found.scalar()
+        cut = values_at_ranks(value_counts(ties, [], column), [], column, upto)
+        spot = cut.select(F.struct("value", (F.col("rank") - F.col("below")).alias("left"))
+                          .alias("s")).scalar()
         keep = keep | (tied & (F.col(column) < spot["value"]))
         tied = tied & (F.col(column) == spot["value"])
-        ties, wanted = df.filter(tied), spot["left"]
+        ties, upto = df.filter(tied), {"k": F.least(spot["left"], F.col("total"))}
     return df.filter(keep | tied)

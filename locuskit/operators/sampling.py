@@ -18,7 +18,7 @@ NEVER = 1.7e308
 def sample_rows(df: DataFrame, n: int, key: str, seed: int | str = 0) -> DataFrame:
     """Exactly n rows (or all, if fewer) without replacement; ``key`` is a unique integer."""
     drawn = df.withColumn("_u", hash_unit(F.col(key), seed=seed))
-    return take_first(drawn, n, ["_u", key]).drop("_u")
+    return take_first(drawn, n, ["_u", key], rare_ties=True).drop("_u")
 
 
 def with_row_number(df: DataFrame, start_at: int = 0, name: str = "index") -> DataFrame:
@@ -138,7 +138,7 @@ def weighted_sample(df: DataFrame, weight: str, frac: float, key: str, seed: int
     The earliest exponential arrivals are such a sample, so only a cutoff is needed.
     """
     timed = df.withColumn("_t", arrival(F.col(weight), F.col(key), seed))
-    return take_first(timed, F.floor(F.col("total") * F.lit(frac)), ["_t", key]).drop("_t")
+    return take_first(timed, F.floor(F.col("total") * F.lit(frac)), ["_t", key], True).drop("_t")
 
 
 def sample_report(df: DataFrame, positive: Column, methods: dict[str, str],

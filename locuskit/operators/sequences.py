@@ -25,10 +25,10 @@ def assemble_sequences(df: DataFrame, keys: Sequence[str] = ("region",), pos: st
     text per stretch.
     """
     stretch = F.floor(F.col(pos) / PIECES[0])
-    letters = F.array_sort(F.collect_set(F.struct(F.col(pos).alias("p"), F.col(ref).alias("r"))))
+    letters = F.sort_array(F.collect_set(F.struct(F.col(pos).alias("p"), F.col(ref).alias("r"))))
     pieces = (df.groupBy(*keys, stretch.alias("_s")).agg(letters.alias("_l"))
               .withColumn("_t", F.array_join(F.transform("_l", lambda x: x["r"]), "")))
-    whole = F.array_sort(F.collect_list(F.struct("_s", "_t")))
+    whole = F.sort_array(F.collect_list(F.struct("_s", "_t")))
     return pieces.groupBy(*keys).agg(F.array_join(F.transform(whole, lambda x: x["_t"]), "").alias(out))
 
 
@@ -142,7 +142,7 @@ def region_sequences(regions: DataFrame, chunks: DataFrame, chunk_size: int, lo:
     names = [*keys, *(["chrom"] if "chrom" not in keys else []), "_lo"]
     piece = F.substring("r.sequence", (begin + 1).cast("int"), (end - begin).cast("int"))
     parts = met.select(*[F.col(f"l.{c}").alias(c) for c in names], at.alias("_c"), piece.alias("_p"))
-    ordered = F.array_sort(F.collect_list(F.struct("_c", "_p")))
+    ordered = F.sort_array(F.collect_list(F.struct("_c", "_p")))
     return (parts.groupBy(*names).agg(
         F.upper(F.array_join(F.transform(ordered, lambda x: x["_p"]), "")).alias(out))
         .withColumnRenamed("_lo", "seq_start"))

@@ -13,7 +13,7 @@ from locuskit.operators.ordered import exact_quantiles, value_counts
 
 def name_list(column: str, separator: str = ",") -> Column:
     """Distinct names in order, as text."""
-    return F.array_join(F.array_sort(F.collect_set(column)), separator)
+    return F.array_join(F.sort_array(F.collect_set(column)), separator)
 
 
 def mpra_regions(mpra: DataFrame) -> DataFrame:
