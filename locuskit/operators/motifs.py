@@ -82,12 +82,12 @@ def combination_hits(hits: DataFrame, carry: Sequence[str] = ("log2FC",),
             .agg(F.count(F.lit(1)).alias("n"), F.min("mot_stop").alias("stop"),
                  *[F.min(c).alias(c) for c in carry],
                  *[F.max(is_true(F.col(f))).alias(f) for f in flags]))
-    item = F.collect_list(F.struct("mot_start", "motif_id", "motif_name", F.col("n").cast("int")))
+    item = F.collect_list(F.struct("mot_start", "motif_id", "motif_name", F.col("n").cast("int").alias("n")))
     names = F.flatten(F.transform(F.sort_array("_items"),
                                   lambda x: F.array_repeat(x["motif_name"], x["n"])))
     grouped = (slim.groupBy(*bin_key)
-               .agg(F.sum("n").alias("num_hits"), F.max("mot_start").alias("_last"), F.min("mot_start").alias("_first"),
-                    F.min("stop").alias("_stop"), item.alias("_items"),
+               .agg(F.sum("n").alias("num_hits"), F.max("mot_start").alias("_last"),
+                    F.min("mot_start").alias("_first"), F.min("stop").alias("_stop"), item.alias("_items"),
                     *[F.min(c).alias(c) for c in carry], *[F.max(f).alias(f) for f in flags])
                .filter((F.col("num_hits") > 1) & (F.col("_last") > F.col("_stop"))))
     motifs = F.size(F.array_distinct(F.col("_items.motif_id"))).cast("bigint")
