@@ -282,6 +282,21 @@ def _(spark, sf):
     return out.drop("file_path")
 
 
+@check("relative_preds", """select l_partkey as rel_pos, l_returnflag as ref_allele,
+    l_linestatus as alt_allele, l_tax as log2fc, 'Enhancers' as region_type,
+    'R' || l_linestatus as region, case when l_linestatus = 'F' then 'HepG2' else 'K562' end
+    as cell_line, 'Dnase' as experiment from lineitem where l_discount > 0""")
+def _(spark, sf):
+    root = scratch_path(spark, "relative")
+    rows = table(spark, sf, "lineitem").select(
+        text(F.col("l_partkey") + 1).alias("a"), "l_returnflag", "l_linestatus",
+        F.when(F.col("l_discount") > 0, text("l_tax")).otherwise("NA").alias("d"))
+    for status, cell in (("F", "HepG2"), ("O", "K562")):
+        tb.export_delimited(rows.filter(F.col("l_linestatus") == status),
+                            f"{root}/Enhancers/R{status}-Dnase-{cell}.tsv", header=False)
+    return rd.read_relative_preds(spark, root).drop("file_path")
+
+
 @check("fasta_bins", """select event_id as index, 'chr' || (event_id % 22) as chrom,
     user_id as start, user_id + 300 as "end" from events""")
 def _(spark, sf):

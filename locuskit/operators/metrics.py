@@ -105,7 +105,11 @@ def mcc_at(df: DataFrame, score: str | Column, label: str, pos: object, cutoffs:
 
 
 def top_abs(df: DataFrame, n: int, effect: str, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """The n rows of largest |effect|, per group if ``by`` is given; ``key`` settles ties."""
+    """The n rows of largest |effect|, per group if ``by`` is given; ``key`` settles ties.
+
+    Per group, Spark keeps n rows in each task before the shuffle for n up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).
+    """
     ranked = df.filter(F.col(effect).isNotNull()).withColumn("_down", -F.abs(effect))
     if not by:
         return take_first(ranked, n, ["_down", key]).drop("_down")

@@ -140,14 +140,19 @@ def dedup_median(hits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def motif_mutation_stats(mut_hits: DataFrame) -> DataFrame:
-    """Per motif id: chromosomes, hits, rows and extremes of the predicted effect."""
-    return (mut_hits.groupBy("motif_id")
+    """Per motif id: chromosomes, hits, rows and extremes of the predicted effect.
+
+    Rows are collapsed to matches first, so the distinct counts see few rows per motif.
+    """
+    matches = (mut_hits.groupBy("motif_id", "chrom", "mot_start")
+               .agg(F.min("motif_name").alias("motif_name"), F.count(F.lit(1)).alias("n"),
+                    F.min("log2FC").alias("lo"), F.max("log2FC").alias("hi")))
+    return (matches.groupBy("motif_id")
             .agg(F.min("motif_name").alias("motif_name"),
                  F.count_distinct("chrom").alias("num_chroms"),
-                 F.count_distinct("mot_start").alias("num_motif_hits"),
-                 F.count(F.lit(1)).alias("num_mut"), F.min("log2FC").alias("min_log2FC"),
-                 F.max("log2FC").alias("max_log2FC"),
-                 F.max(F.abs("log2FC")).alias("max_abs_log2FC")))
+                 F.count_distinct("mot_start").alias("num_motif_hits"), F.sum("n").alias("num_mut"),
+                 F.min("lo").alias("min_log2FC"), F.max("hi").alias("max_log2FC"))
+            .withColumn("max_abs_log2FC", F.greatest(F.abs("min_log2FC"), F.abs("max_log2FC"))))
 
 
 def ambiguous_motif_names(mut_hits: DataFrame) -> DataFrame:

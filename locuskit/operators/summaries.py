@@ -12,14 +12,17 @@ from locuskit.operators.ordered import exact_quantiles, value_counts
 
 
 def name_list(column: str, separator: str = ",") -> Column:
-    """Distinct names in order, as text."""
-    return F.array_join(F.sort_array(F.collect_set(column)), separator)
+    """Names in order, as text; rows are distinct in ``column`` within their group."""
+    return F.array_join(F.sort_array(F.collect_list(column)), separator)
 
 
 def mpra_regions(mpra: DataFrame) -> DataFrame:
     """Extent (inclusive ends), length and experiments of each measured region."""
-    start, end = F.min("allele_pos"), F.max("allele_pos")
-    return (mpra.groupBy("region_type", "region", "chrom")
+    keys = ["region_type", "region", "chrom"]
+    per_experiment = mpra.groupBy(*keys, "experiment").agg(F.min("allele_pos").alias("lo"),
+                                                           F.max("allele_pos").alias("hi"))
+    start, end = F.min("lo"), F.max("hi")
+    return (per_experiment.groupBy(*keys)
             .agg(start.alias("start_pos"), end.alias("end_pos"),
                  (end - start + 1).alias("region_length"),
                  name_list("experiment").alias("experiments")))
@@ -27,8 +30,8 @@ def mpra_regions(mpra: DataFrame) -> DataFrame:
 
 def provenance_summary(df: DataFrame, key: str, other: str) -> DataFrame:
     """Per ``key``: how many distinct values of ``other``, and which."""
-    return df.groupBy(key).agg(F.count_distinct(other).alias("num_values"),
-                               name_list(other).alias("names"))
+    return (df.select(key, other).distinct().groupBy(key)
+            .agg(F.count(other).alias("num_values"), name_list(other).alias("names")))
 
 
 def class_counts(df: DataFrame, levels: Sequence[Sequence[str]]) -> DataFrame:

@@ -217,39 +217,46 @@ def report_tail(report: DataFrame, above: float | None = None, below: float | No
 
 
 def check_predictions(preds: DataFrame) -> DataFrame:
-    """Violations of the assumptions about prediction tables: (rule, chrom, start, end, detail)."""
+    """Violations of the assumptions about prediction tables: (rule, chrom, start, end, detail).
+
+    Rules about single rows share one pass. Rules about groups count distinct positions or
+    bins in rows that were collapsed to (element, bin, position) before.
+    """
     cre = ["cre_chrom", "cre_start", "cre_end"]
     bin_ = ["bin_chrom", "bin_start", "bin_end"]
-    positions = F.count_distinct("allele_pos")
     cre_len, bin_len = F.col("cre_end") - F.col("cre_start"), F.col("bin_end") - F.col("bin_start")
     cre_mid = F.floor(F.col("cre_start") / 2 + F.col("cre_end") / 2)
     bin_mid = F.floor(F.col("bin_start") / 2 + F.col("bin_end") / 2)
-
-    def tagged(df: DataFrame, rule: str, keys: Sequence[str], detail: Column) -> DataFrame:
-        chrom, start, end = [F.col(k) for k in keys]
-        return df.select(F.lit(rule).alias("rule"), chrom.alias("chrom"), start.alias("start"),
-                         end.alias("end"), detail.cast("bigint").alias("detail"))
-
-    one_bin = (preds.groupBy(*cre).agg(F.count_distinct("bin_start").alias("d"))
-               .filter(F.col("d") > 1))
-    outside = preds.filter((F.col("allele_pos") < F.col("bin_start"))
-                           | (F.col("allele_pos") >= F.col("bin_end")))
-    short = (preds.filter(cre_len < bin_len).groupBy(*cre).agg(positions.alias("d"))
-             .filter(F.col("d") != cre_len))
-    long = (preds.filter(cre_len >= bin_len).groupBy(*bin_).agg(positions.alias("d"))
-            .filter(F.col("d") != bin_len))
-    alleles = (preds.groupBy("bin_chrom", "allele_pos").agg(F.count_distinct("allele").alias("d"))
-               .filter(F.col("d") != 4))
-    apart = preds.filter((F.col("bin_chrom") != F.col("cre_chrom"))
-                         | (F.col("bin_start") >= F.col("cre_end"))
-                         | (F.col("bin_end") <= F.col("cre_start")))
-    skewed = preds.filter(bin_mid != cre_mid)
-    d = F.col("d")
-    parts = [tagged(one_bin, "one_bin_per_element", cre, d),
-             tagged(outside, "position_inside_bin", cre, F.col("allele_pos")),
-             tagged(short, "all_positions_of_element", cre, d),
-             tagged(long, "all_positions_of_bin", bin_, d),
-             tagged(alleles, "four_alleles", ["bin_chrom", "allele_pos", "allele_pos"], d),
-             tagged(apart, "bin_overlaps_element", cre, F.col("bin_start")),
-             tagged(skewed, "same_centre", cre, bin_mid - cre_mid)]
+    pos = F.col("allele_pos")
+
+    row_rules = {
+        "position_inside_bin": ((pos < F.col("bin_start")) | (pos >= F.col("bin_end")), pos),
+        "bin_overlaps_element": ((F.col("bin_chrom") != F.col("cre_chrom"))
+                                 | (F.col("bin_start") >= F.col("cre_end"))
+                                 | (F.col("bin_end") <= F.col("cre_start")), F.col("bin_start")),
+        "same_centre": (bin_mid != cre_mid, bin_mid - cre_mid)}
+    broken = F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(rule).alias("rule"), detail.cast("bigint").alias("detail")))
+        for rule, (test, detail) in row_rules.items()]))
+    by_row = (preds.select(*cre, F.explode(broken).alias("_b"))
+              .select("_b.rule", *[F.col(c).alias(a) for c, a in zip(cre, ("chrom", "start", "end"))],
+                      "_b.detail"))
+
+    def grouped(rows: DataFrame, rule: str, keys: Sequence[str], what: str, expected: Column,
+                too: str = "differs") -> DataFrame:
+        n = F.col("detail")
+        counts = rows.select(*keys, what).distinct().groupBy(*keys).agg(F.count(what).alias("detail"))
+        chrom, start, end = [F.col(k) for k in (*keys, keys[-1])[:3]]
+        return (counts.filter(n > expected if too == "many" else n != expected)
+                .select(F.lit(rule).alias("rule"), chrom.alias("chrom"), start.alias("start"),
+                        end.alias("end"), "detail"))
+
+    places = preds.select(*cre, *bin_, "allele_pos").distinct()
+    parts = [by_row,
+             grouped(places, "one_bin_per_element", cre, "bin_start", F.lit(1), "many"),
+             grouped(places.filter(cre_len < bin_len), "all_positions_of_element", cre, "allele_pos",
+                     cre_len),
+             grouped(places.filter(cre_len >= bin_len), "all_positions_of_bin", bin_, "allele_pos",
+                     bin_len),
+             grouped(preds, "four_alleles", ["bin_chrom", "allele_pos"], "allele", F.lit(4))]
     return reduce(lambda a, b: a.unionByName(b), parts)
