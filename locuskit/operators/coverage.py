@@ -98,45 +98,37 @@ def gap_after(coverage: DataFrame, compat: bool = False) -> DataFrame:
             .select("region_type", "region", *_part(F.col("chrom"), start, end)))
 
 
-def _next_starts(coverage: DataFrame, keys: list[str]) -> DataFrame:
-    """Each distinct covered start with the next one of its region and how often that occurs.
-
-    Starts are ordered within stretches of the chromosome, so a window holds at most
-    ``STRETCH`` distinct integers; a stretch's last start continues at the first start of
-    the next stretch that has any.
-    """
-    starts = (coverage.filter(F.col("pred_start").isNotNull()).groupBy(*keys, "pred_start")
-              .agg(F.count(F.lit(1)).alias("copies"))
-              .withColumn("_stretch", F.floor(F.col("pred_start") / STRETCH)))
-    spot = F.struct("pred_start", "copies")
-    firsts = starts.groupBy(*keys, "_stretch").agg(F.min(spot).alias("_first"))
-    following = firsts.select(*keys, "_stretch", F.lead("_first").over(
-        W.partitionBy(*keys).orderBy("_stretch")).alias("_later"))
-    near = starts.withColumn("_near", F.lead(spot).over(
-        W.partitionBy(*keys, "_stretch").orderBy("pred_start")))
-    joined = near.join(following, [*keys, "_stretch"])
-    nxt = F.coalesce("_near", "_later")
-    return (joined.select(*keys, "pred_start", nxt.alias("_next"))
-            .filter(F.col("_next").isNotNull())
-            .select(*keys, "pred_start", F.col("_next.pred_start").alias("next_start"),
-                    F.col("_next.copies").alias("next_copies")))
-
-
 def gaps_between(coverage: DataFrame, compat: bool = False) -> DataFrame:
     """From behind a covered stretch to the start of the next one of the region.
 
     ``compat`` matches stretches by region name alone and keeps pieces of length <= 0.
     One row per pair of neighbouring stretches, so tied next starts repeat a row.
+
+    Equal stretches are collapsed first. The next start is looked up within parts of
+    ``STRETCH`` positions of the chromosome, so no window grows with a region; the last
+    start of a part continues at the first one of the next part that has any.
     """
     keys = ["region"] if compat else ["region_type", "region", "chrom"]
-    nexts = _next_starts(coverage, keys)
-    covered = coverage.filter(F.col("pred_start").isNotNull())
-    joined = covered.join(nexts, [*keys, "pred_start"])
+    part = [*keys, "_part"]
+    covered = (coverage.filter(F.col("pred_start").isNotNull())
+               .groupBy("region_type", "region", "chrom", "pred_start", "pred_end")
+               .agg(F.count(F.lit(1)).alias("_n"))
+               .withColumn("_part", F.floor(F.col("pred_start") / STRETCH))
+               .withColumn("_copies", F.sum("_n").over(W.partitionBy(*part, "pred_start"))))
+    spot = F.struct("pred_start", "_copies")
+    # in descending order the rows before are those that start later
+    later_here = W.partitionBy(*part).orderBy(F.desc("pred_start")).rangeBetween(W.unboundedPreceding, -1)
+    firsts = covered.groupBy(*part).agg(F.min(spot).alias("_first"))
+    following = firsts.select(*part, F.lead("_first").over(
+        W.partitionBy(*keys).orderBy("_part")).alias("_later"))
+    found = (covered.withColumn("_near", F.min(spot).over(later_here)).join(following, part)
+             .withColumn("_next", F.coalesce("_near", "_later")).filter(F.col("_next").isNotNull()))
     if not compat:
-        joined = joined.filter(F.col("next_start") > F.col("pred_end") + 1)
-    return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("next_copies"))))
+        found = found.filter(F.col("_next.pred_start") > F.col("pred_end") + 1)
+    copies = F.sequence(F.lit(1).cast("bigint"), F.col("_n") * F.col("_next._copies"))
+    return (found.withColumn("_copy", F.explode(copies))
             .select("region_type", "region",
-                    *_part(F.col("chrom"), F.col("pred_end") + 1, F.col("next_start"))))
+                    *_part(F.col("chrom"), F.col("pred_end") + 1, F.col("_next.pred_start"))))
 
 
 def missing_parts(coverage: DataFrame, compat: bool = False) -> DataFrame:

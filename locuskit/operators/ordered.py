@@ -43,16 +43,21 @@ def with_segment(counts: DataFrame, order: str, weights: Sequence[str]) -> DataF
     bounds = counts.agg(F.struct(
         F.percentile_approx(order, [i / pieces for i in range(1, pieces)], 20 * pieces).alias("at"),
         *[F.sum(w).alias(f"_{i}") for i, w in enumerate(weights)]).alias("b")).scalar()
-    value = F.col(order)
-    below = lambda array: F.size(F.filter(array, lambda b: b < value))
+    at, value = F.col("_at"), F.col(order)
+
+    def below(first: Column, step: int, count: int) -> Column:
+        """How many of ``count`` bounds, from ``first`` on in steps, are below the value."""
+        tests = [F.coalesce((F.get(at, first + i * step) < value).cast("int"), F.lit(0))
+                 for i in range(count)]
+        return reduce(lambda a, b: a + b, tests)
+
     out = counts.withColumn("_at", bounds["at"])
     if pieces <= TIERED_ABOVE:
-        return out.withColumn("_seg", F.coalesce(below(F.col("_at")), F.lit(0))).drop("_at")
+        return out.withColumn("_seg", below(F.lit(0), 1, pieces - 1)).drop("_at")
     step = int(pieces ** 0.5)
-    tier = below(F.filter("_at", lambda _, i: i % step == step - 1))
-    out = out.withColumn("_tier", tier)
-    rest = F.slice("_at", F.col("_tier") * step + 1, step)
-    return (out.withColumn("_seg", F.coalesce(F.col("_tier") * step + below(rest), F.lit(0)))
+    tiers = (pieces - 1) // step
+    out = out.withColumn("_tier", below(F.lit(step - 1), step, tiers) * step)
+    return (out.withColumn("_seg", F.col("_tier") + below(F.col("_tier"), 1, step))
             .drop("_at", "_tier"))
 
 
