@@ -43,10 +43,10 @@ def test_mpra_edges(spark, tmp_path, rows):
 
 
 def test_relative_preds(spark, tmp_path, rows):
-    put(f"{tmp_path}/g/Enhancers/F9-DukeDnase-HepG2.tsv", (1, "A", "C", 0.5), (2, "A", "NA", 0.5))
+    put(f"{tmp_path}/g/Enhancers/F9-Dnase-HepG2.tsv", (1, "A", "C", 0.5), (2, "A", "NA", 0.5))
     put(f"{tmp_path}/g/Enhancers/F9.tsv", (1, "A", "C", 0.5))
     got = rows(rd.read_relative_preds(spark, f"{tmp_path}/g"), "rel_pos", "region", "cell_line", "experiment")
-    assert got == [(0, "F9", "HepG2", "DukeDnase")]
+    assert got == [(0, "F9", "HepG2", "Dnase")]
 
 
 def test_raw_preds(spark, tmp_path, rows):
