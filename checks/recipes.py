@@ -18,9 +18,10 @@ SCHEMAS: dict[str, StructType] = {}
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; its schema is inferred once and then given."""
+    tune(spark)
     path = f"{sf_dir}/{name}.parquet"
     if path not in SCHEMAS:
-        SCHEMAS[path] = tune(spark).read.parquet(path).schema
+        SCHEMAS[path] = spark.read.parquet(path).schema
     return spark.read.schema(SCHEMAS[path]).parquet(path)
 
 

@@ -96,3 +96,10 @@ def test_infill_and_semi(spark, rows):
     pairs = spark.createDataFrame([("p", "q"), ("q", "q"), ("r", "s")], "m string, n string")
     wanted = spark.createDataFrame([("q",)], "id string")
     assert rows(semi_by_list(pairs, ["m", "n"], wanted, "id")) == [("p", "q"), ("q", "q")]
+
+
+def test_shared_folder_is_read_from_the_session(spark, tmp_path):
+    from locuskit.session import cut_lineage, scratch_path
+    spark.sparkContext.setCheckpointDir(f"{tmp_path}/shared")
+    assert f"{tmp_path}/shared" in scratch_path(spark, "x")
+    assert cut_lineage(spark.range(5)).count() == 5
