@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuskit.llm.common import gram_hashes, prepare, rows_of
+from locuskit.llm.common import gram_hashes, prepare
 
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
