@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -114,3 +115,14 @@ def rows_of(batches: Iterable, *names: str):
     """Python tuples of the named columns of Arrow batches, one batch at a time."""
     for batch in batches:
         yield zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names])
+
+
+def grouped(batches: Iterable, *names: str):
+    """(key, rows) for each run of equal values in the first column of sorted batches."""
+    rows = (row for batch in rows_of(batches, *names) for row in batch)
+    return groupby(rows, key=lambda row: row[0])
+
+
+def side_by_side(df: DataFrame, key: str) -> DataFrame:
+    """Rows of equal keys together and next to each other, for ``grouped``."""
+    return df.repartition(key).sortWithinPartitions(key)

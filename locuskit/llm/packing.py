@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from collections.abc import Mapping
 
 import numpy as np
@@ -22,15 +23,18 @@ from pyspark.sql import functions as F
 from locuskit.llm.common import prepare, stored
 
 END_ID = 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 ROWS_PER_BUCKET = 5_000
+#: Marks that are a token of their own after a letter at the end of a word.
+MARKS = b".,!?;:"
 
 
 class Encoder:
     """Token ids of whole texts; ids of words between ASCII blanks are remembered.
 
     The tokenizer drops blanks and never joins across them, so a text's ids are those of its
-    words one after another. A text that holds a special token's marker is encoded whole.
+    words one after another; a mark after an ASCII letter is a token of its own too. A text
+    that holds a special token's marker is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -43,17 +47,21 @@ class Encoder:
         """Little-endian 32-bit ids."""
         raw = (text or "").encode()
         if b"<|" in raw:
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = raw.split()
-        new = list({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > CACHED_WORDS:
+            return array("I", self.model.encode(text, add_special_tokens=False).ids).tobytes()
+        words = raw.lower().split()
+        if len(self.known) > CACHED_WORDS:
             self.known.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
+        new = {w for w in words if w not in self.known}
+        stems = {w: w[:-1] for w in new if w[-1:] in MARKS and w[-2:-1].isalpha()}
+        cores = [w for w in (new - stems.keys()) | {*stems.values()} | {w[-1:] for w in stems}
+                 if w not in self.known]
+        for at in range(0, len(cores), 4096):
+            some = cores[at:at + 4096]
             for w, e in zip(some, self.model.encode_batch_fast([w.decode() for w in some],
                                                                add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+                self.known[w] = array("I", e.ids).tobytes()
+        for w, stem in stems.items():
+            self.known[w] = self.known[stem] + self.known[w[-1:]]
         return b"".join([self.known[w] for w in words])
 
 

@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from locuskit.llm import decontaminate_query, packing_query, quality_query, sharding_query  # noqa: F401
+from locuskit.llm import decontaminate_query, near_dedup_query, packing_query, quality_query, sharding_query  # noqa: F401
 from locuskit.llm.registry import ORACLE, QUERIES  # noqa: F401
