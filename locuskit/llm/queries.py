@@ -1,4 +1,4 @@
 """All queries of this subpackage."""
 
-from locuskit.llm import decontaminate_query, lattice_query, near_dedup_query, packing_query, quality_query, sharding_query, toxicity_query  # noqa: F401
+from locuskit.llm import decontaminate_query, lattice_query, licenses_query, near_dedup_query, packing_query, quality_query, sharding_query, toxicity_query  # noqa: F401
 from locuskit.llm.registry import ORACLE, QUERIES  # noqa: F401
