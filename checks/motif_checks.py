@@ -70,9 +70,10 @@ def _(spark, sf):
 
 
 @check("pair_stats", sql("features pairs", """select motif_id, motif_name, motif2_name,
-    count(*) as numpairs, min(motif_distance) as min_distance, max(motif_distance) as max_distance,
-    median(motif_distance) as median_distance, round(avg(motif_distance), 1) as avg_distance
-    from pairs group by all having count(*) > 1"""))
+    len(d) as numpairs, d[1] as min_distance, d[-1] as max_distance,
+    list_median(d) as median_distance, round(list_sum(d) / len(d), 1) as avg_distance
+    from (select motif_id, motif_name, motif2_name, list_sort(list(motif_distance)) as d
+    from pairs group by all) where len(d) > 1"""))
 def _(spark, sf):
     return mo.pair_stats(pairs(spark, sf))
 
@@ -85,10 +86,11 @@ def _(spark, sf):
     return kept.groupBy("motif_distance").agg(F.count(F.lit(1)).alias("n"))
 
 
-HIT_STATS = """select motif_id, motif_alt_id, motif_name, count(*) as num_hits,
-    count(*) filter (train) as train_hits, count(*) filter (test) as test_hits,
-    round(median(log2FC), 6) as median_log2FC, quantile_disc(log2FC, 0.75) as q75_log2FC,
-    quantile_disc(log2FC, 0.95) as q95_log2FC from hits group by all"""
+HIT_STATS = """select motif_id, motif_alt_id, motif_name, len(v) as num_hits, train_hits, test_hits,
+    round(list_median(v), 6) as median_log2FC, v[cast(ceil(0.75 * len(v)) as bigint)] as q75_log2FC,
+    v[cast(ceil(0.95 * len(v)) as bigint)] as q95_log2FC from (select motif_id, motif_alt_id,
+    motif_name, list_sort(list(log2FC)) as v, count_if(train) as train_hits,
+    count_if(test) as test_hits from hits group by all)"""
 
 
 @check("hit_stats", sql("features bins hits", HIT_STATS))

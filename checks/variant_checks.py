@@ -323,18 +323,25 @@ def coverage(spark, sf):
 
 
 COVER = "regions element_preds coverage"
-BEFORE = """select region_type, region, chrom || ':' || start_pos || '-' || min(pred_start)
-    as region_id, min(pred_start) - start_pos as region_length from coverage
-    where pred_length is not null group by region_type, region, chrom, start_pos
-    having min(pred_start) > start_pos"""
-AFTER = """select region_type, region, chrom || ':' || (max(pred_end) + {0}) || '-' || (end_pos + 1)
-    as region_id, end_pos + 1 - (max(pred_end) + {0}) as region_length from coverage
-    where pred_length is not null group by region_type, region, chrom, end_pos
-    having max(pred_end) < end_pos"""
-BETWEEN = """select a.region_type, a.region, a.chrom || ':' || (a.pred_end + 1) || '-' || b.pred_start
-    as region_id, b.pred_start - (a.pred_end + 1) as region_length from coverage a join coverage b
-    on a.region = b.region and a.pred_start < b.pred_start where not exists (select 1 from coverage c
-    where c.region = a.region and c.pred_start > a.pred_start and c.pred_start < b.pred_start)"""
+OUTLINE = """(select region_type, region, chrom, start_pos as a, end_pos as z,
+    list_sort(list(pred_start))[1] as lo, list_sort(list(pred_end))[-1] as hi from coverage
+    where cre_start is not null group by all)"""
+BEFORE = f"""select region_type, region, format('{{}}:{{}}-{{}}', chrom, a, lo) as region_id,
+    lo - a as region_length from {OUTLINE} where lo > a"""
+AFTER = """select region_type, region, format('{{}}:{{}}-{{}}', chrom, hi + {0}, z + 1) as region_id,
+    z + 1 - hi - {0} as region_length from """ + OUTLINE + " where hi < z"
+BETWEEN = """select region_type, region, format('{}:{}-{}', chrom, reach + 1, following) as region_id,
+    following - reach - 1 as region_length from (select region_type, region, chrom,
+    max(max(pred_end)) over along as reach, lead(pred_start) over along as following from coverage
+    where cre_start is not null group by region_type, region, chrom, pred_start
+    window along as (partition by region_type, region, chrom order by pred_start))
+    where following > reach + 1"""
+NEIGHBOURS = """select x.region_type, x.region, format('{}:{}-{}', x.chrom, x.pred_end + 1, following)
+    as region_id, following - x.pred_end - 1 as region_length from coverage x join
+    (select region, unnest(starts[:-2]) as pred_start, unnest(starts[2:]) as following
+    from (select region, list_sort(list(distinct pred_start)) as starts from coverage
+    where cre_start is not null group by region)) using (region, pred_start)
+    join coverage y on y.region = x.region and y.pred_start = following"""
 
 
 @check("region_coverage", sql(COVER, "select * from coverage"))
@@ -343,16 +350,19 @@ def _(spark, sf):
 
 
 @check("matching_regions", sql(COVER, """select region_type, region,
-    concat(chrom, ':', start_pos, '-', end_pos + 1) as region_id, region_length,
-    count(distinct cre_start) as total_cres, cast(sum(pred_length) as bigint) as total_pred_pos,
-    round(sum(region_cov), 3) as total_region_cov from coverage where pred_length is not null
-    group by all"""))
+    format('{}:{}-{}', chrom, start_pos, end_pos + 1) as region_id, 80::bigint as region_length,
+    len(list_distinct(list(cre_start))) as total_cres,
+    cast(list_sum(list(pred_length)) as bigint) as total_pred_pos,
+    round(list_sum(list(region_cov)), 3) as total_region_cov from coverage
+    where cre_start is not null group by region_type, region, chrom, start_pos, end_pos"""))
 def _(spark, sf):
     return co.matching_regions(coverage(spark, sf))
 
 
-@check("unmatched_regions", sql(COVER, """select region_type, region, concat(chrom, ':', start_pos,
-    '-', end_pos + 1) as region_id, region_length from coverage where pred_length is null"""))
+@check("unmatched_regions", sql("regions element_preds", """select region_type, region,
+    format('{}:{}-{}', chrom, start_pos, end_pos + 1) as region_id, 80::bigint as region_length
+    from regions anti join (select chrom, allele_pos - allele_pos % 100 as start_pos
+    from element_preds where allele_pos % 100 < 80) using (chrom, start_pos)"""))
 def _(spark, sf):
     return co.unmatched_regions(coverage(spark, sf))
 
@@ -372,19 +382,19 @@ def _(spark, sf):
     return co.gap_after(coverage(spark, sf), compat=True)
 
 
-@check("gaps_between", sql(COVER, f"select * from ({BETWEEN}) where region_length > 0"))
+@check("gaps_between", sql(COVER, BETWEEN))
 def _(spark, sf):
     return co.gaps_between(coverage(spark, sf))
 
 
-@check("gaps_between_compat", sql(COVER, BETWEEN))
+@check("gaps_between_compat", sql(COVER, NEIGHBOURS))
 def _(spark, sf):
     return co.gaps_between(coverage(spark, sf), compat=True)
 
 
 @check("missing_parts", sql(COVER, f"""select * from ({BEFORE}) union all
     select * from ({AFTER.format(1)}) union all
-    select * from ({BETWEEN}) where region_length > 0"""))
+    {BETWEEN}"""))
 def _(spark, sf):
     path = scratch_path(spark, "coverage")
     return co.missing_parts(materialize_if_absent(spark, path, lambda: coverage(spark, sf)))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from locuskit.functions import region_id
 from locuskit.operators.intervals import WIDTHS, bucketed_join
+from locuskit.operators.ordered import with_group_values
 
 REGION = ["region_type", "region", "chrom", "start_pos", "end_pos"]
 STRETCH = 1 << 20
@@ -98,17 +99,40 @@ def gap_after(coverage: DataFrame, compat: bool = False) -> DataFrame:
             .select("region_type", "region", *_part(F.col("chrom"), start, end)))
 
 
+def _uncovered(coverage: DataFrame) -> DataFrame:
+    """Where the next start lies behind all that earlier stretches of the region cover."""
+    keys = ["region_type", "region", "chrom"]
+    part = [*keys, "_part"]
+    covered = (coverage.filter(F.col("pred_start").isNotNull()).groupBy(*keys, "pred_start")
+               .agg(F.max("pred_end").alias("pred_end"))
+               .withColumn("_part", F.floor(F.col("pred_start") / STRETCH)))
+    here, along = W.partitionBy(*part).orderBy("pred_start"), W.partitionBy(*keys).orderBy("_part")
+    bounds = covered.groupBy(*part).agg(F.min("pred_start").alias("_first"), F.max("pred_end").alias("_last"))
+    across = bounds.select(
+        *part, F.lead("_first").over(along).alias("_later"),
+        F.max("_last").over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"))
+    local = covered.select(*part, F.lead("pred_start").over(here).alias("_near"), F.max("pred_end").over(
+        here.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_reach"))
+    start = F.greatest("_reach", "_earlier") + 1
+    following = F.coalesce("_near", "_later")
+    return (with_group_values(local, across, part, ["_later", "_earlier"]).filter(following > start)
+            .select("region_type", "region", *_part(F.col("chrom"), start, following)))
+
+
 def gaps_between(coverage: DataFrame, compat: bool = False) -> DataFrame:
     """From behind a covered stretch to the start of the next one of the region.
 
     ``compat`` matches stretches by region name alone and keeps pieces of length <= 0.
-    One row per pair of neighbouring stretches, so tied next starts repeat a row.
+    With it there is one row per pair of neighbouring stretches, so tied next starts repeat a
+    row; without it one per gap, and what any earlier stretch covers is no gap.
 
     Equal stretches are collapsed first. The next start is looked up within parts of
     ``STRETCH`` positions of the chromosome, so no window grows with a region; the last
     start of a part continues at the first one of the next part that has any.
     """
-    keys = ["region"] if compat else ["region_type", "region", "chrom"]
+    if not compat:
+        return _uncovered(coverage)
+    keys = ["region"]
     part = [*keys, "_part"]
     covered = (coverage.filter(F.col("pred_start").isNotNull())
                .groupBy("region_type", "region", "chrom", "pred_start", "pred_end")
@@ -123,8 +147,6 @@ def gaps_between(coverage: DataFrame, compat: bool = False) -> DataFrame:
         W.partitionBy(*keys).orderBy("_part")).alias("_later"))
     found = (covered.withColumn("_near", F.min(spot).over(later_here)).join(following, part)
              .withColumn("_next", F.coalesce("_near", "_later")).filter(F.col("_next").isNotNull()))
-    if not compat:
-        found = found.filter(F.col("_next.pred_start") > F.col("pred_end") + 1)
     copies = F.sequence(F.lit(1).cast("bigint"), F.col("_n") * F.col("_next._copies"))
     return (found.withColumn("_copy", F.explode(copies))
             .select("region_type", "region",

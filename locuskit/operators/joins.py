@@ -108,12 +108,16 @@ def semi_by_list(df: DataFrame, columns: Sequence[str], wanted: DataFrame, key:
 
 def add_split_flags(bins: DataFrame, splits: dict[str, DataFrame], index: str = "index",
                     check: Sequence[str] = ("chrom", "start", "end")) -> DataFrame:
-    """One boolean column per split; a listed bin with other coordinates is an error."""
+    """One boolean column per split; a listed bin that is absent or lies elsewhere is an error."""
     out = bins
     for name, ids in splits.items():
         listed = ids.select(F.col(index).alias("_id"), *[F.col(c).alias(f"_{c}") for c in check])
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in check])
-        flag = (F.when(F.col("_id").isNull(), False).when(same, True)
+        absent = (listed.join(bins.select(F.col(index).alias("_id")), "_id", "left_anti")
+                  .agg(F.min("_id").cast("string").alias("id")).scalar())
+        flag = (F.when(absent.isNotNull(), F.raise_error(F.concat(
+                    F.lit(f"no bin for split {name}: "), absent)).cast("boolean"))
+                .when(F.col("_id").isNull(), False).when(same, True)
                 .otherwise(F.raise_error(F.concat(F.lit(f"index mismatch with split {name}: "),
                                                   F.col("_id").cast("string"))).cast("boolean")))
         out = (out.join(listed.distinct(), F.col(index) == F.col("_id"), "left")

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locuskit.operators.joins import skew_join
-from locuskit.operators.ordered import running_totals, take_first
+from locuskit.operators.ordered import running_totals, take_first, with_group_values
 from locuskit.operators.sampling import sample_rows
 
 
@@ -99,8 +98,7 @@ def mcc_at(df: DataFrame, score: str | Column, label: str, pos: object, cutoffs:
            by: Sequence[str], direction: str = "ge") -> DataFrame:
     """As :func:`mcc`, with one ``cutoff`` per group from a table."""
     counts = _class_counts(df, _as_score(score), label, pos, by)
-    joined = skew_join(counts, cutoffs.select(*by, "cutoff"), by).select(
-        *[F.col(f"l.{c}") for c in counts.columns], "r.cutoff")
+    joined = with_group_values(counts, cutoffs, by, ["cutoff"])
     return _mcc(joined, _called(F.col("score"), F.col("cutoff"), direction), by)
 
 

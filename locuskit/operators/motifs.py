@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locuskit.functions import motif_name
 from locuskit.operators.joins import skew_join
-from locuskit.operators.ordered import exact_quantiles, value_counts
+from locuskit.operators.ordered import exact_quantiles, value_counts, with_group_values
 
 MOTIF = ["motif_id", "motif_alt_id", "motif_name"]
 MEDIAN = (0.5, "cont")
@@ -58,7 +58,7 @@ def pair_stats(pairs: DataFrame, min_pairs: int = 2) -> DataFrame:
                   F.round(F.sum(d * n) / F.sum(n), 1).alias("avg_distance"))
              .filter(F.col("numpairs") >= min_pairs))
     medians = exact_quantiles(counts, keys, "motif_distance", {"median_distance": MEDIAN})
-    return plain.join(medians.drop("total"), keys)
+    return with_group_values(plain, medians, keys, ["median_distance"])
 
 
 def hit_stats(hits: DataFrame, keys: Sequence[str] = MOTIF, value: str = "log2FC") -> DataFrame:
@@ -108,7 +108,7 @@ def combination_stats(combos: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                           train_seqs=F.col("train").cast("int"), test_seqs=F.col("test").cast("int"))
     sizes = named.groupBy(*keys).agg(F.min("num_hits").alias("num_motifs"),
                                      F.min("num_tfs").alias("num_tfs"))
-    return stats.join(sizes, keys)
+    return with_group_values(stats, sizes, keys, ["num_motifs", "num_tfs"])
 
 
 def combination_distance_stats(combos: DataFrame, more_than: int = 300) -> DataFrame:

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from locuskit.session import shuffle_partitions
 
-MAX_SEGMENTS = 1024
 TIERED_ABOVE = 32
 
 
@@ -35,9 +34,22 @@ def same_keys(left: str, right: str, keys: Sequence[str]) -> Column:
                   [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys])
 
 
+def with_group_values(rows: DataFrame, table: DataFrame, keys: Sequence[str],
+                      columns: Sequence[str]) -> DataFrame:
+    """Rows with ``columns`` of their group's row in ``table``; NULL keys meet NULL keys.
+
+    Without keys the table is a single row, read as a scalar. Rows without a group go.
+    """
+    if not keys:
+        one = table.select(F.struct(*columns).alias("s")).scalar()
+        return rows.filter(one.isNotNull()).select("*", *[one[c].alias(c) for c in columns])
+    joined = rows.alias("l").join(table.alias("r"), same_keys("l", "r", keys))
+    return joined.select(*[F.col(f"l.{c}") for c in rows.columns], *[F.col(f"r.{c}") for c in columns])
+
+
 def with_segment(counts: DataFrame, order: str, weights: Sequence[str]) -> DataFrame:
     """Add ``_seg``: how many segment bounds lie below the order value."""
-    pieces = max(2, min(shuffle_partitions(counts), MAX_SEGMENTS))
+    pieces = max(2, shuffle_partitions(counts))
     # the weights are summed too so that this branch reads the very columns of the main
     # one, which lets adaptive execution reuse the shuffle underneath
     bounds = counts.agg(F.struct(
@@ -158,22 +170,17 @@ def exact_quantiles(counts: DataFrame, keys: Sequence[str], value: str,
     return picked.select(*keys, "total", *out)
 
 
-SMALL_TOP = 10_000
-
-
 def take_first(df: DataFrame, k: int | Column, order: Sequence[str],
                rare_ties: bool = False) -> DataFrame:
     """Exactly the first ``k`` rows by the numeric columns ``order`` (last one unique).
 
-    ``k`` may be an expression over ``F.col("total")``. A small constant ``k`` is a plain
-    top-k; otherwise the cutoff value of each order column is found and the rows are
-    filtered in place, so no row is shuffled and no task holds the sample. Each order
-    column takes a pass, in which equal values are collapsed, unless ``rare_ties`` says
+    ``k`` may be an expression over ``F.col("total")``. Rows with a NULL in an order column
+    are never taken, NaN comes after every number. The cutoff value of each order column is
+    found and the rows are filtered in place, so no row is shuffled and no task holds the
+    sample, whatever ``k`` is. Each order column takes a pass, in which equal values are collapsed, unless ``rare_ties`` says
     that equal values of the first one are rare (random numbers, say): then both of two
     columns are settled in one.
     """
-    if isinstance(k, int) and k <= SMALL_TOP:
-        return df.orderBy(*order).limit(k)
     wanted = F.lit(k) if isinstance(k, int) else k
     upto = {"k": F.least(wanted, F.col("total"))}
     if rare_ties:
@@ -183,6 +190,7 @@ def take_first(df: DataFrame, k: int | Column, order: Sequence[str],
             F.struct("value", F.col(second).alias("tie")).alias("s")).scalar()
         return df.filter((F.col(first) < cut["value"])
                          | ((F.col(first) == cut["value"]) & (F.col(second) <= cut["tie"])))
+    df = df.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in order]))
     keep, tied, ties = F.lit(False), F.lit(True), df
     for column in order:
         cut = values_at_ranks(value_counts(ties, [], column), [], column, upto)

@@ -12,27 +12,31 @@ from locuskit.functions import hash_unit, lognormal_cdf
 from locuskit.operators.ordered import take_first, value_counts, values_at_ranks
 from locuskit.operators.summaries import histogram
 
-NEVER = 1.7e308
-
-
 def sample_rows(df: DataFrame, n: int, key: str, seed: int | str = 0) -> DataFrame:
     """Exactly n rows (or all, if fewer) without replacement; ``key`` is a unique integer."""
     drawn = df.withColumn("_u", hash_unit(F.col(key), seed=seed))
     return take_first(drawn, n, ["_u", key], rare_ties=True).drop("_u")
 
 
-def with_row_number(df: DataFrame, start_at: int = 0, name: str = "index") -> DataFrame:
-    """Contiguous row numbers in file order.
+def with_row_number(df: DataFrame, start_at: int = 0, name: str = "index", by_file: bool = False) -> DataFrame:
+    """Contiguous row numbers in the order of partitions, or of file paths with ``by_file``.
 
     ``df`` must have fixed partitions: a plain file scan with row-wise expressions, or a
-    checkpointed frame. Only the partition sizes are aggregated; no row is shuffled.
+    checkpointed frame. Spark deals out files by size, so for several files use ``by_file``,
+    which numbers by path and place in the file and needs a file scan. Only the sizes of
+    partitions and file pieces are aggregated.
     """
     tagged = df.withColumns({"_part": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
-    sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(
-        W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    # one row per partition: as many as there are tasks in the scan
-    return (tagged.join(F.broadcast(offsets), "_part")
+    piece = ["_part"]
+    if by_file:
+        tagged = tagged.withColumns({"_path": F.col("_metadata.file_path"),
+                                     "_block": F.col("_metadata.file_block_start")})
+        piece = ["_path", "_block", "_part"]
+    sizes = tagged.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    offsets = sizes.select(*piece, "_first", F.coalesce(F.sum("_n").over(
+        W.orderBy(*piece).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row per piece of the scan; Spark broadcasts it if it is small
+    return (tagged.join(offsets, piece)
             .select((F.col("_before") + F.col("_mid") - F.col("_first") + start_at).alias(name),
                     *df.columns))
 
@@ -128,17 +132,26 @@ def acceptance(df: DataFrame, column: str, method: str, bins: int = 1000, interp
 
 
 def arrival(weight: Column, key: Column, seed: int | str) -> Column:
-    """Exponential arrival time with rate ``weight``; rows without weight never arrive."""
-    return F.when(weight > 0, -F.ln(hash_unit(key, seed=seed)) / weight).otherwise(F.lit(NEVER))
+    """Exponential arrival time with rate ``weight``; NULL, that is never, without weight."""
+    return F.when(weight > 0, -F.ln(hash_unit(key, seed=seed)) / weight)
+
+
+def _enough(wanted: Column) -> Column:
+    """The wanted number of rows, an error if more than ``total``."""
+    return F.when(wanted > F.col("total"), F.raise_error(
+        F.lit("fewer rows with a weight than the sample needs")).cast("bigint")).otherwise(wanted)
 
 
 def weighted_sample(df: DataFrame, weight: str, frac: float, key: str, seed: int | str = 0) -> DataFrame:
     """floor(rows x frac) rows without replacement, drawn one by one in proportion to weight.
 
-    The earliest exponential arrivals are such a sample, so only a cutoff is needed.
+    The earliest exponential arrivals are such a sample, so only a cutoff is needed. Rows of
+    zero, negative or NULL weight count as rows but are never drawn; fewer weighted rows than
+    wanted is an error, and without any the sample is empty. ``key`` settles ties.
     """
-    timed = df.withColumn("_t", arrival(F.col(weight), F.col(key), seed))
-    return take_first(timed, F.floor(F.col("total") * F.lit(frac)), ["_t", key], True).drop("_t")
+    timed = df.filter(F.col(weight) > 0).withColumn("_t", arrival(F.col(weight), F.col(key), seed))
+    wanted = df.agg(F.floor(F.count(F.lit(1)) * F.lit(frac)).alias("k")).scalar()
+    return take_first(timed, _enough(wanted), ["_t", key], True).drop("_t")
 
 
 def sample_report(df: DataFrame, positive: Column, methods: dict[str, str],
@@ -147,22 +160,26 @@ def sample_report(df: DataFrame, positive: Column, methods: dict[str, str],
     """Share of positives per weighting method and sampled fraction.
 
     ``methods`` maps names to weight columns. All samples are cut from one table of
-    arrival times; a method and fraction add a cutoff, not a pass over the data.
+    arrival times; a method and fraction add a cutoff, not a pass over the data. Samples have
+    exactly floor(rows x fraction) rows, ties settled by ``key``; rows without weight are
+    never drawn, and fewer weighted rows than wanted is an error.
     """
     choices = F.array(*[F.struct(F.lit(name).alias("method"), F.col(c).cast("double").alias("w"))
                         for name, c in methods.items()])
     timed = (df.select(F.explode(choices).alias("_c"), F.col(key).alias("_k"),
                        positive.cast("int").alias("_pos"))
-             .select(F.col("_c.method").alias("method"), "_pos",
-                     arrival(F.col("_c.w"), F.col("_k"), seed).alias("_t")))
-    counts = value_counts(timed, ["method"], "_t", hits=F.col("_pos"))
-    total = F.col("total")
-    cuts = values_at_ranks(counts, ["method"], "_t",
-                           {str(f): F.floor(total * F.lit(f)) for f in fracs})
+             .select(F.col("_c.method").alias("method"), "_pos", "_k", F.lit(1).alias("n"),
+                     arrival(F.col("_c.w"), F.col("_k"), seed).alias("_t"))
+             .filter(F.col("_t").isNotNull()))
+    every = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    cuts = values_at_ranks(timed, ["method"], "_t",
+                           {str(f): _enough(F.floor(every * F.lit(f))) for f in fracs}, tie="_k")
     cuts = cuts.select("method", F.col("label").cast("double").alias("frac"),
-                       F.col("value").alias("_cut"))
+                       F.col("value").alias("_cut"), F.col("_k").alias("_last"))
+    t, inside = F.col("_t"), F.col("_k") <= F.col("_last")
     # methods x fractions rows
-    return (counts.join(F.broadcast(cuts), "method").filter(F.col("_t") <= F.col("_cut"))
+    return (timed.join(F.broadcast(cuts), "method")
+            .filter((t < F.col("_cut")) | ((t == F.col("_cut")) & inside))
             .groupBy("method", "frac")
-            .agg(F.sum("n").alias("sampled"), F.sum("hits").alias("positives"))
+            .agg(F.sum("n").alias("sampled"), F.sum("_pos").alias("positives"))
             .withColumn("share", F.try_divide("positives", "sampled")))

@@ -13,10 +13,8 @@ from locuskit.functions import columns_matching, ratio, row_mean
 from locuskit.operators.joins import skew_join
 from locuskit.operators.ordered import running_totals, value_counts
 
-# Last point at which the share of null tests is read, and the number of
-# tests below which that share is taken as 1
+# Fixed value: last point at which the share of null tests is read
 LAST_LAMBDA = 0.94
-FEW_TESTS = 100
 
 
 def power_of_ten(value: float) -> float:
@@ -53,20 +51,21 @@ def bonferroni_cutoff(df: DataFrame, alpha: float = 0.05) -> float:
 
 
 def qvalues(df: DataFrame, p: str = "pvalue", m: float | None = None, pi0: float | None = None,
-            out: str = "qvalue", hot_rows: int | None = None) -> DataFrame:
+            out: str = "qvalue", hot_rows: int | None = None, few_tests: int = 100) -> DataFrame:
     """Add step-up q-values; rows with equal p share one.
 
-    The estimated share of null tests is the interpolated count ratio at the last lambda.
+    The estimated share of null tests is the interpolated count ratio at the last lambda;
+    with fewer than ``few_tests`` rows it is taken as 1. A NULL p is an error.
     """
     ok = F.col(p).between(0, 1)
     tested = df.withColumn(p, F.when(ok, F.col(p)).otherwise(
-        F.raise_error(F.lit("p-values should be between 0 and 1")).cast("double")))
+        F.raise_error(F.lit("p-values should be between 0 and 1, none NULL")).cast("double")))
     counts = value_counts(tested, [], p)
     seen = counts.agg(F.struct(F.sum("n").alias("rows"), F.coalesce(F.sum(
         F.when(F.col(p) > LAST_LAMBDA, F.col("n"))), F.lit(0)).alias("above")).alias("s")).scalar()
     tests = seen["rows"].cast("double") if m is None else F.lit(float(m))
     share = F.lit(float(pi0)) if pi0 is not None else F.when(
-        seen["rows"] < FEW_TESTS, F.lit(1.0)).otherwise(
+        seen["rows"] < few_tests, F.lit(1.0)).otherwise(
         F.least(F.lit(1.0), seen["above"] / (tests * (1 - LAST_LAMBDA))))
     ranked = running_totals(counts, [], p, ["n"], keep_segment=True)
     raw = ranked.select(p, "_seg", F.least(share * tests * F.col(p) / F.col("cum_n"),

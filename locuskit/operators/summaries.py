@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuskit.operators.joins import skew_join
-from locuskit.operators.ordered import exact_quantiles, value_counts
+from locuskit.operators.ordered import exact_quantiles, same_keys, value_counts, with_group_values
 
 
 def name_list(column: str, separator: str = ",") -> Column:
@@ -69,8 +68,9 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: str | None = None,
     """Equal-width histogram over the shared range of all series, empty bins included.
 
     The last bin is closed. A single distinct value gets a range of width one around it.
+    NULL and NaN values are left out; a NULL series is a series.
     """
-    known = df.filter(F.col(value).isNotNull())
+    known = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     span = known.agg(F.struct(
         F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).alias("s"))
     flat = F.col("s.lo") == F.col("s.hi")
@@ -86,7 +86,8 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: str | None = None,
     width = (hi - lo) / bins
     n = F.coalesce(F.col("n"), F.lit(0))
     height = F.try_divide(n, F.col("total") * width) if density else n.cast("double")
-    return (full.join(counts, ["series", "bin"], "left")
+    found = full.alias("f").join(counts.alias("c"), same_keys("f", "c", ["series", "bin"]), "left")
+    return (found.select("f.series", "f.bin", "total", "n")
             .select("series", "bin", (lo + width * F.col("bin")).alias("bin_lo"),
                     (lo + width * (F.col("bin") + 1)).alias("bin_hi"), n.alias("n"),
                     height.alias("height")))
@@ -116,13 +117,13 @@ def box_stats(df: DataFrame, group: Sequence[str], value: str,
     ``whis`` is a multiple of the interquartile range, or a pair of percentiles.
     """
     counts, box = _box(df, group, value, whis)
-    v, n = F.col(f"l.{value}"), F.col("l.n")
-    names = [*group, "total", "q1", "med", "q3", "iqr"]
-    reach = (skew_join(counts, box, group)
-             .groupBy(*[F.col(f"r.{c}").alias(c) for c in names])
-             .agg(F.min(F.when(v >= F.col("r.lo_limit"), v)).alias("_lo"),
-                  F.max(F.when(v <= F.col("r.hi_limit"), v)).alias("_hi"),
-                  F.sum(F.when((v < F.col("r.lo_limit")) | (v > F.col("r.hi_limit")), n)
+    v, n, lo, hi = F.col(value), F.col("n"), F.col("lo_limit"), F.col("hi_limit")
+    names = ["total", "q1", "med", "q3", "iqr"]
+    reach = (with_group_values(counts, box, group, [*names, "lo_limit", "hi_limit"])
+             .groupBy(*group, *names)
+             .agg(F.min(F.when(v >= lo, v)).alias("_lo"),
+                  F.max(F.when(v <= hi, v)).alias("_hi"),
+                  F.sum(F.when((v < lo) | (v > hi), n)
                         .otherwise(F.lit(0))).alias("outliers")))
     notch = NOTCH * F.col("iqr") / F.sqrt(F.col("total"))
     return reach.select(
@@ -137,6 +138,6 @@ def box_outliers(df: DataFrame, group: Sequence[str], value: str,
                  whis: float | tuple[float, float] = 1.5) -> DataFrame:
     """Distinct values beyond the whiskers, with their number of rows."""
     counts, box = _box(df, group, value, whis)
-    beyond = (F.col(f"l.{value}") < F.col("r.lo_limit")) | (F.col(f"l.{value}") > F.col("r.hi_limit"))
-    return (skew_join(counts, box, group, beyond)
-            .select(*[F.col(f"l.{c}").alias(c) for c in [*group, value, "n"]]))
+    beyond = (F.col(value) < F.col("lo_limit")) | (F.col(value) > F.col("hi_limit"))
+    return (with_group_values(counts, box, group, ["lo_limit", "hi_limit"])
+            .filter(beyond).select(*group, value, "n"))

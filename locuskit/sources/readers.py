@@ -44,8 +44,9 @@ def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def _header_text(spark: SparkSession, path: str | list[str], sep: str = "\t", **options) -> DataFrame:
-    """All columns as text, named by the header."""
-    return spark.read.options(header=True, sep=sep, inferSchema=False, **options).csv(path)
+    """All columns as text, named by the header; empty and ``NA`` cells are NULL."""
+    fixed = {"header": True, "sep": sep, "inferSchema": False, "nullValue": "NA"}
+    return spark.read.options(**(fixed | options)).csv(path)
 
 
 def read_bins(spark: SparkSession, path: str, start_at: int = 0) -> DataFrame:
@@ -54,7 +55,7 @@ def read_bins(spark: SparkSession, path: str, start_at: int = 0) -> DataFrame:
     named = raw.select(*renamed_by_pattern(raw, BIN_RULES))
     types = {"start": "bigint", "end": "bigint", "log2FC": "double"}
     types |= {c: "bigint" for c in columns_matching(named, r"_rep")}
-    return with_row_number(_typed(named, types), start_at)
+    return with_row_number(_typed(named, types), start_at, by_file=True)
 
 
 def read_motif_scan(spark: SparkSession, paths: str | list[str], q_cutoff: float = 0.1) -> DataFrame:
