@@ -37,6 +37,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored stages of one run, each in a folder of its own, dropped once no later stage reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, scratch_path(spark, name), 0
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``stored``; the frame carries its folder as ``scratch_folder``."""
+        self.n += 1
+        path = f"{self.root}/{self.n:03d}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_folder = path
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the folders of stored frames that nothing reads any more."""
+        context = self.spark.sparkContext
+        for df in frames:
+            path = context._jvm.org.apache.hadoop.fs.Path(df.scratch_folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
