@@ -107,7 +107,8 @@ def links(prints: DataFrame, distance: int, scratch: Scratch, crowd: int = 256)
     """
     index = variants(prints, distance)
     several = scratch.store(index.groupBy("slot", "rest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "entries")
-    members = scratch.store(index.join(several, ["slot", "rest"]), "members")
+    # merged at every size: the list of entries grows with the input
+    members = scratch.store(index.join(several.hint("merge"), ["slot", "rest"]), "members")
     few = members.filter(F.col("n") <= crowd)
     first = [seg[0] for seg in segments(distance)]
     pairs = few.alias("a").join(few.alias("b"), ["slot", "rest"]).filter(
