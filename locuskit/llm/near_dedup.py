@@ -6,9 +6,10 @@ positions by a hash of its own path, one or two so that 1 / threshold are expect
 class goes to one child per chosen position, named by its value there. At a pair of that
 similarity the expected number of shared children is 1 at every depth, while less similar
 pairs die out. Nodes of at most ``LEAF`` classes are compared exhaustively: sketches leave
-groups of possible partners, whose full sets are then compared. Larger nodes branch further,
-several generations at a time, until none is left. ``trees`` independent trees bring a pair's
-chance to meet near 1. Links join into components.
+groups of possible partners, whose full sets are then compared. Larger nodes branch further;
+those still large after ``GENERATIONS`` generations hold crowds of sets that are alike in every
+value chosen, and ``crowds`` finds their links exactly. ``trees`` independent trees bring a
+pair's chance to meet near 1. Links join into components.
 """
 
 from __future__ import annotations
@@ -21,15 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locuskit.llm.common import blank_words, gram_hashes, grouped, mix, prepare, side_by_side, stored
+from locuskit.llm.common import Scratch, blank_words, gram_hashes, grouped, mix, prepare, side_by_side
 from locuskit.llm.components import components
+from locuskit.llm.crowds import crowd_links
 
 SKETCH = 128
 LEAF, LEAF_SHINGLES = 256, 1 << 21
 GENERATIONS = 6
-#: Passes of ``GENERATIONS`` in which nodes may choose two positions; then one each, so that
-#: the number of rows no longer grows; then what is left is compared with a pivot.
-WIDE_PASSES, MOST_PASSES = 2, 12
 _RNG = np.random.default_rng(20240607)
 _FACTORS = (_RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -210,6 +209,38 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int)
     return one.select("cls", "t").mapInArrow(run, "cls binary, values binary")
 
 
+def _descend(classes: DataFrame, rate: float, trees: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(leaves (node, cls) to compare by sketches, crowds (crowd, cls) that stay large).
+
+    The first pass makes one generation below the roots, the second ``GENERATIONS`` more below
+    the nodes that are still large. What is large after those is alike in all of them: a crowd,
+    named by its least class, so that the same crowd of several trees is one.
+    """
+    small = (F.col("n") <= 2) | ((F.col("n") <= LEAF) & (F.col("total") <= LEAF_SHINGLES))
+
+    def grow(frontier: DataFrame, roots: int, generations: int):
+        grown = scratch.store(_grow(frontier, rate, roots, generations), "nodes")
+        sizes = scratch.store(grown.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+                              .filter("n > 1").select("node", small.alias("small")), "node-sizes")
+        return grown, sizes.filter("small").select("node"), sizes.filter("not small").select("node"), sizes
+
+    grown, few, many, sizes = grow(classes, trees, 1)
+    first = scratch.store(grown.join(few, "node").select("node", "cls"), "leaves")
+    frontier = scratch.store(grown.join(many, "node").select("node", "cls").join(
+        classes.select("cls", "n_shingles", "sketch"), "cls"), "frontier")
+    scratch.drop(grown, sizes)
+    grown, few, many, sizes = grow(frontier, 0, GENERATIONS)
+    leaf = grown.join(few, "node")  # below a node that is still large, else it is another leaf's affair
+    leaf = leaf.filter("depth = 1").unionByName(leaf.filter("depth > 1").join(
+        many.select(F.col("node").alias("parent")), "parent", "left_semi").select(leaf.columns))
+    leaves = scratch.store(first.unionByName(leaf.select("node", "cls")), "leaves")
+    last = grown.filter(F.col("depth") == GENERATIONS).join(many, "node").select("node", "cls")
+    names = last.groupBy("node").agg(F.xxhash64(F.min("cls")).alias("crowd"))
+    crowds = scratch.store(last.join(names, "node").select("crowd", "cls").distinct(), "crowd-members")
+    scratch.drop(first, grown, sizes, frontier)
+    return leaves, crowds
+
+
 def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k: int = 5, trees: int = 10,
                     slack: float = 0.14, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id, kept) of every row.
@@ -222,56 +253,28 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k:
     the threshold before full sets are no longer compared.
     """
     num, den = threshold
-    rate = den / num
     prepare(docs.sparkSession)
-    rows = stored(described(docs, key, text, k), "sketches")
-    classes = stored(rows.filter("cls is not null").groupBy("cls").agg(
+    scratch = Scratch(docs.sparkSession, "near-dedup")
+    rows = scratch.store(described(docs, key, text, k), "sketches")
+    classes = scratch.store(rows.filter("cls is not null").groupBy("cls").agg(
         F.min(key).alias("least"), F.min(F.struct(F.col(key).alias("key"), "crc")).alias("pick"),
         F.min("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")), "classes")
-
-    small = (F.col("n") <= 2) | ((F.col("n") <= LEAF) & (F.col("total") <= LEAF_SHINGLES))
-    leaves, frontier, step = [], classes, 0
-    while True:
-        wide = rate if step <= WIDE_PASSES else 1.0
-        grown = stored(_grow(frontier, wide, 0 if step else trees, GENERATIONS if step else 1), "nodes")
-        sizes = stored(grown.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
-                       .filter("n > 1").select("node", "n", small.alias("small")), "node-sizes")
-        large = sizes.filter("not small")
-        leaf = grown.join(sizes.filter("small").select("node"), "node")
-        if step:  # below the starting nodes or below a large one, else it is another leaf's affair
-            leaf = leaf.filter("depth = 1").unionByName(leaf.filter("depth > 1").join(
-                large.select(F.col("node").alias("parent")), "parent", "left_semi").select(leaf.columns))
-        leaves.append(leaf.select("node", "cls"))
-        ends = grown.filter(F.col("depth") == (GENERATIONS if step else 1)).join(large, "node").select("node", "n", "cls")
-        step += 1
-        if large.isEmpty() or ends.isEmpty():
-            break
-        if step > MOST_PASSES:  # hundreds of equal minwise values: alike, so a pivot stands for the node
-            ends = stored(ends, "alike")
-            part = F.ceil(F.col("n") / (LEAF // 2)).cast("bigint")
-            pivots = ends.groupBy("node").agg(F.min("cls").alias("cls"), F.max(part).alias("parts")).select(
-                F.xxhash64("node", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).alias("node"), "cls")
-            leaves.append(pivots.unionByName(ends.select(
-                F.xxhash64("node", F.pmod(F.xxhash64("cls"), part)).alias("node"), "cls")))
-            break
-        frontier = stored(ends.select("node", "cls").join(classes.select("cls", "n_shingles", "sketch"), "cls"),
-                          "frontier")
-    found = leaves[0]
-    for more in leaves[1:]:
-        found = found.unionByName(more)
-    found = found.join(classes.select("cls", "n_shingles", "sketch"), "cls")
-    groups = stored(side_by_side(found, "node").mapInArrow(_clusters(num, den, slack), "members binary, cls binary")
-                    .distinct(), "groups")
-    wanted = groups.select("cls").distinct().join(classes.select("cls", "pick"), "cls")
-    sets = _full_sets(docs, wanted, key, text, k)
-    links = stored(side_by_side(groups.join(sets, "cls"), "members").mapInArrow(
+    leaves, crowds = _descend(classes, den / num, trees, scratch)
+    groups = scratch.store(side_by_side(leaves.join(classes.select("cls", "n_shingles", "sketch"), "cls"), "node").mapInArrow(
+        _clusters(num, den, slack), "members binary, cls binary").distinct(), "groups")
+    wanted = groups.select("cls").unionByName(crowds.select("cls")).distinct().join(classes.select("cls", "pick"), "cls")
+    sets = scratch.store(_full_sets(docs, wanted, key, text, k), "sets")
+    links = scratch.store(side_by_side(groups.join(sets, "cls"), "members").mapInArrow(
         _links(num, den), "a binary, b binary"), "links")
-    joined = stored(components(links), "components")
-    named = joined.join(classes.select(F.col("cls").alias("node"), "least"), "node")
-    roots = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    more = crowd_links(crowds, sets, num, den, scratch)
+    scratch.drop(leaves, groups, crowds, sets)
+    named = scratch.store(components(links.unionByName(more)).join(
+        classes.select(F.col("cls").alias("node"), "least"), "node"), "components")
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     several = named.join(roots, "root").select(F.col("node").alias("cls"), "component_id")
-    lone = classes.join(several.select("cls"), "cls", "left_anti").select("cls", F.col("least").alias("component_id"))
-    of_class = stored(several.unionByName(lone), "class-components")
+    of_class = scratch.store(classes.select("cls", "least").join(several, "cls", "left").select(
+        "cls", F.coalesce("component_id", "least").alias("component_id")), "class-components")
+    scratch.drop(links, named, classes)
     out = rows.select(key, "n_shingles", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col(key)).otherwise(F.col("component_id"))
     return out.select(key, "n_shingles", component.alias("component_id"), F.col(key).eqNullSafe(component).alias("kept"))
