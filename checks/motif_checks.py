@@ -69,11 +69,12 @@ def _(spark, sf):
                                                            "pvalue")
 
 
-@check("pair_stats", sql("features pairs", """select motif_id, motif_name, motif2_name,
-    len(d) as numpairs, d[1] as min_distance, d[-1] as max_distance,
-    list_median(d) as median_distance, round(list_sum(d) / len(d), 1) as avg_distance
-    from (select motif_id, motif_name, motif2_name, list_sort(list(motif_distance)) as d
-    from pairs group by all) where len(d) > 1"""))
+@check("pair_stats", sql("features pairs", """select motif_id, motif_name, motif2_name, n as numpairs,
+    max(motif_distance) filter (i = 1) as min_distance, max(motif_distance) filter (i = n) as max_distance,
+    avg(motif_distance) filter (2 * i between n and n + 2) as median_distance,
+    round(sum(motif_distance) / n, 1) as avg_distance from (select *, row_number() over (partition by
+    motif_id, motif_name, motif2_name order by motif_distance) as i, count(*) over (partition by motif_id,
+    motif_name, motif2_name) as n from pairs) where n > 1 group by motif_id, motif_name, motif2_name, n"""))
 def _(spark, sf):
     return mo.pair_stats(pairs(spark, sf))
 
@@ -86,11 +87,13 @@ def _(spark, sf):
     return kept.groupBy("motif_distance").agg(F.count(F.lit(1)).alias("n"))
 
 
-HIT_STATS = """select motif_id, motif_alt_id, motif_name, len(v) as num_hits, train_hits, test_hits,
-    round(list_median(v), 6) as median_log2FC, v[cast(ceil(0.75 * len(v)) as bigint)] as q75_log2FC,
-    v[cast(ceil(0.95 * len(v)) as bigint)] as q95_log2FC from (select motif_id, motif_alt_id,
-    motif_name, list_sort(list(log2FC)) as v, count_if(train) as train_hits,
-    count_if(test) as test_hits from hits group by all)"""
+HIT_STATS = """select motif_id, motif_alt_id, motif_name, n as num_hits, count(*) filter (train)
+    as train_hits, count(*) filter (test) as test_hits,
+    round(avg(log2FC) filter (2 * i between n and n + 2), 6) as median_log2FC,
+    max(log2FC) filter (i = ceil(0.75 * n)) as q75_log2FC, max(log2FC) filter (i = ceil(0.95 * n)) as q95_log2FC
+    from (select *, row_number() over (partition by motif_id, motif_alt_id, motif_name order by log2FC) as i,
+    count(*) over (partition by motif_id, motif_alt_id, motif_name) as n from hits)
+    group by motif_id, motif_alt_id, motif_name, n"""
 
 
 @check("hit_stats", sql("features bins hits", HIT_STATS))
@@ -236,12 +239,13 @@ def _(spark, sf):
 
 
 @check("join_by_index", sql("bins", """select chrom, start, "end", t as "true", value as predicted
-    from (select event_id as index, event_id / 100.0::double as t, value from events) p
-    join (select *, start as index from bins where chrom = 'click') b using (index)"""))
+    from (select event_id * 128 + ascii(event_type) as index, event_id / 100.0::double as t, value from events) p
+    join (select *, start * 128 + ascii(chrom) as index from bins) b using (index)"""))
 def _(spark, sf):
-    b = bins(spark, sf).filter(F.col("chrom") == "click").withColumn("index", F.col("start"))
+    number = lambda at, chrom: F.col(at) * 128 + F.ascii(chrom)
+    b = bins(spark, sf).withColumn("index", number("start", "chrom"))
     p = table(spark, sf, "events").select(
-        F.col("event_id").alias("index"), (F.col("event_id") / F.lit(100.0)).alias("true"),
+        number("event_id", "event_type").alias("index"), (F.col("event_id") / F.lit(100.0)).alias("true"),
         F.col("value").alias("predicted"))
     return join_by_index(p, b)
 
@@ -276,3 +280,38 @@ def _(spark, sf):
     f = features(spark, sf).select("motif_id", "start", "pvalue")
     parts = {"low": f.filter("pvalue < 0.5"), "high": f.filter("pvalue >= 0.5")}
     return tagged_union({k: d.drop("pvalue") for k, d in parts.items()}, "dataset")
+
+
+def mixed_spans(spark, sf):
+    """Intervals of ten bases to ten megabases: one per event."""
+    e = table(spark, sf, "events")
+    length = F.element_at(F.array(*[F.lit(10 ** i).cast("bigint") for i in range(1, 8)]),
+                          (F.col("user_id") % 7 + 1).cast("int"))
+    start = F.col("event_id") * 100
+    return e.select(F.col("event_type").alias("chrom"), "event_id", start.alias("lo"), (start + length).alias("hi"))
+
+
+MIXED = """spans as (select event_type as chrom, event_id, event_id * 100 as lo,
+    event_id * 100 + (10 ** (user_id % 7 + 1))::bigint as hi from events),
+    marks as (select event_type as chrom, event_id * 9973 % 1000003 * 10 as place from events where event_id % 97 < 3)"""
+
+
+@check("interval_mixed_lengths", f"""with {MIXED} select event_id, count(*) as n, min(place) as lowest, max(place) as highest
+    from spans join marks using (chrom) where place between lo and hi group by event_id""")
+def _(spark, sf):
+    marks = table(spark, sf, "events").filter("event_id % 97 < 3").select(
+        F.col("event_type").alias("chrom"), (F.col("event_id") * 9973 % 1000003 * 10).alias("at"))
+    pairs = iv.bucketed_join(mixed_spans(spark, sf), marks, F.col("lo"), F.col("hi"), F.col("at"))
+    return pairs.groupBy(F.col("l.event_id").alias("event_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("r.at").alias("lowest"), F.max("r.at").alias("highest"))
+
+
+@check("partitioned_join_range", sql("features", """select f.chrom, f.start, b.start as other, b.pvalue
+    from features f join features b on b.chrom = f.chrom and b.value between f.value - f.pvalue / 500
+    and f.value + f.pvalue / 500 where b.start <> f.start"""))
+def _(spark, sf):
+    f = features(spark, sf)
+    width = F.col("pvalue") / 500
+    return partitioned_join(f, f, "chrom", F.col("l.start") != F.col("r.start"),
+                            [F.col("l.chrom"), F.col("l.start"), F.col("r.start").alias("other"), F.col("r.pvalue")],
+                            between=(F.col("value") - width, F.col("value") + width, F.col("value")), piece_rows=500)

@@ -173,20 +173,23 @@ CTES = {
         where f.stop <= b."end")""",
     "pairs": """pairs as (select f.chrom, f.start, f.motif_id, g.motif_id as motif2_id,
         f.motif_name, g.motif_name as motif2_name, f.stop - f.start as motif_length,
-        g.start - f.start as motif_distance from features f, features g where f.chrom = g.chrom
-        and g.start > f.stop and g.stop - f.start <= 100)""",
-    "mut_hits": """mut_hits as (select chrom, allele_pos, p.ref_allele, p.allele as alt_allele, p.log2FC,
-        f.start as mot_start, f.stop as mot_end, f.motif_id, f.motif_alt_id, f.motif_name
-        from preds p join features f using (chrom)
-        where greatest(f.start - p.allele_pos, p.allele_pos - f.stop) <= 5)""",
-    "combos": """combos as (select chrom, seq_start, seq_end, len(names) as num_hits,
-        len(list_distinct(ids)) as num_tfs, list_max(starts) - list_min(starts) as max_motif_dist,
-        array_to_string(names, ', ') as motif_names, array_to_string(list_sort(names), ', ')
-        as motif_names_o, log2FC, train, test from (select chrom, seq_start, seq_end,
-        list(motif_name order by mot_start, motif_id) as names, list(motif_id) as ids,
-        list(mot_start) as starts, min(mot_stop) as first_end, min(log2FC) as log2FC,
-        bool_or(train) as train, bool_or(test) as test from hits group by chrom, seq_start, seq_end)
-        where len(names) > 1 and list_max(starts) > first_end)""",
+        there - f.start as motif_distance from (select *, unnest(generate_series(stop + 1, start + 100))
+        as there from features) f join features g on g.chrom = f.chrom and g.start = there
+        where g.stop <= f.start + 100)""",
+    "mut_hits": """mut_hits as (select f.chrom, place as allele_pos, p.ref_allele, p.allele as alt_allele,
+        p.log2FC, f.start as mot_start, f.stop as mot_end, f.motif_id, f.motif_alt_id, f.motif_name
+        from (select *, unnest(generate_series(start - 5, stop + 5)) as place from features) f
+        join preds p on p.chrom = f.chrom and p.allele_pos = place)""",
+    "combos": """spots as (select *, row_number() over (in_bin order by mot_start, motif_id) as i,
+        row_number() over (partition by chrom, seq_start, seq_end, motif_id) as again,
+        count(*) over in_bin as n from hits window in_bin as (partition by chrom, seq_start, seq_end)),
+        combos as (select chrom, seq_start, seq_end, n as num_hits, count(*) filter (again = 1) as num_tfs,
+        max(mot_start) filter (i = n) - max(mot_start) filter (i = 1) as max_motif_dist,
+        string_agg(motif_name, ', ' order by i) as motif_names,
+        string_agg(motif_name, ', ' order by motif_name) as motif_names_o, any_value(log2FC) as log2FC,
+        any_value(train) as train, any_value(test) as test from spots x where exists (select 1 from hits a
+        join hits b on a.chrom = b.chrom and a.seq_start = b.seq_start and b.mot_start > a.mot_stop
+        where a.chrom = x.chrom and a.seq_start = x.seq_start) group by chrom, seq_start, seq_end, n)""",
     "mpra": """mpra as (select case when l_partkey % 2 = 0 then 'Enhancers' else 'Promoters' end
         as region_type, 'R' || (l_partkey // 50) as region, 'chr' || (l_partkey // 200) as chrom,
         l_partkey as allele_pos, substr('ACGT', l_partkey % 4 + 1, 1) as ref_allele,

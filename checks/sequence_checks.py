@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.recipes import DNA_SQL, base, bins, dna, part_seqs, sql, table, text
 from checks.registry import check
 from locuskit.functions import revcomp
+from locuskit.operators import placement as pl
 from locuskit.operators import sequences as se
 from locuskit.session import scratch_path
 from locuskit.sources import readers as rd
@@ -97,69 +98,81 @@ def _(spark, sf):
                             {"Enhancers": (weights, 3), "Promoters": (double, 3)}, "zero")
 
 
+# Each text is changed at one place: its middle tenth taken out, or sevenfold N put in, or thirty
+# letters doubled; odd ones are read from the other strand. ``a``, ``qb`` and ``tb`` are where the left
+# part ends on both, and where the right part begins on the query and on the target.
 TURNED = f"""docs as (select item_id as region, {DNA_SQL.format("text")} as seq from benchmark),
-    cuts as (select region, substr(seq, 1, cast(floor(length(seq) * 0.45::double) as bigint))
-    || substr(seq, cast(floor(length(seq) * 0.55::double) as bigint) + 1) as cut from docs),
+    spots as (select *, cast(floor(length(seq) * 0.45::double) as bigint) as a, case when region // 2 % 3 = 0
+    then cast(floor(length(seq) * 0.55::double) as bigint) else cast(floor(length(seq) * 0.45::double) as bigint)
+    end as tb, case region // 2 % 3 when 0 then '' when 1 then 'NNNNNNN' else
+    right(substr(seq, 1, cast(floor(length(seq) * 0.45::double) as bigint)), 30) end as ins from docs),
+    cuts as (select *, a + length(ins) as qb, substr(seq, 1, a) || ins || substr(seq, tb + 1) as cut from spots),
     query as (select region, case when region % 2 = 0 then cut
     else reverse(translate(cut, 'ACGT', 'TGCA')) end as seq from cuts)"""
-BLOCKS = """both_ as (select region, 1 as strand, seq from {0} union all
-    select region, -1, reverse(translate(seq, 'ACGT', 'TGCA')) from {0}),
-    qk as (select region, strand, k, min(i) as q from (select region, strand, i, substr(seq, i + 1, 11)
-    as k from (select *, unnest(generate_series(0, length(seq) - 11)) as i from both_))
-    group by region, strand, k having count(*) = 1),
-    tk as (select region, k, min(i) as t from (select region, i, substr(seq, i + 1, 11) as k
-    from (select *, unnest(generate_series(0, length(seq) - 11)) as i from {1}))
-    group by region, k having count(*) = 1),
-    dg as (select region, strand, t - q as d, count(*) as votes, min(t) as t_start,
-    max(t) + 11 as t_end, min(q) as q_start, max(q) + 11 as q_end from qk join tk using (region, k)
-    group by region, strand, t - q),
-    win as (select region, strand from (select region, strand, row_number() over (partition by region
-    order by sum(votes) desc, strand desc) as rn from dg group by region, strand) where rn = 1),
-    lagged as (select dg.*, row_number() over w - 1 as block,
-    greatest(0, coalesce(lag(q_end) over w, 0) - q_start) as cut from dg join win
-    using (region, strand) where votes >= 11
-    window w as (partition by region order by q_start, q_end)),
-    blocks as (select region, strand, cast(block as int) as block, t_start + cut as t_start, t_end,
-    q_start + cut as q_start, q_end, votes from lagged)"""
+# the left part also takes the letters that go on alike, and the right part begins behind them
+BLOCKS = """ext as (select *, (select coalesce(min(i), least(length(cut), length(seq)) - a) from
+    (select unnest(generate_series(0, least(length(cut), length(seq)) - a - 1)) as i)
+    where substr(cut, a + i + 1, 1) <> substr(seq, a + i + 1, 1)) as e from cuts),
+    pieces as (select region, case when region % 2 = 0 then 1 else -1 end as strand, 0 as block,
+    0::bigint as t_start, a + e as t_end, 0::bigint as q_start, a + e as q_end from ext union all
+    select region, case when region % 2 = 0 then 1 else -1 end, 1, tb + e, length(seq)::bigint, qb + e,
+    length(cut)::bigint from ext)"""
 
 
 def turned(spark, sf):
-    """Whole texts as targets; queries lack their middle tenth, odd ones are reversed."""
+    """Whole texts as targets, changed ones as queries."""
     docs = table(spark, sf, "benchmark").select(F.col("item_id").alias("region"), dna("text").alias("seq"))
+    kind = F.floor(F.col("region") / 2) % 3
     n = F.char_length("seq")
-    cut = F.concat(F.substring("seq", F.lit(1), F.floor(n * 0.45).cast("int")),
-                   F.substring("seq", (F.floor(n * 0.55) + 1).cast("int"), n))
+    a, b = F.floor(n * 0.45).cast("int"), F.floor(n * 0.55).cast("int")
+    left = F.substring("seq", F.lit(1), a)
+    extra = F.when(kind == 0, "").when(kind == 1, "NNNNNNN").otherwise(F.right(left, F.lit(30)))
+    rest = F.substring("seq", F.when(kind == 0, b).otherwise(a) + 1, n)
+    cut = F.concat(left, extra, rest)
     query = docs.select("region", F.when(F.col("region") % 2 == 0, cut).otherwise(revcomp(cut)).alias("seq"))
     return query, docs
 
 
-@check("place_by_kmers", f"with {TURNED}, {BLOCKS.format('query', 'docs')} select * from blocks")
+@check("place_by_kmers", f"with {TURNED}, {BLOCKS} select * from pieces")
 def _(spark, sf):
     query, docs = turned(spark, sf)
-    return se.place_by_kmers(query, docs, 11, 11)
+    return pl.place_by_kmers(query, docs).drop("votes")
 
 
-@check("remap_positions", f"""with {TURNED}, {BLOCKS.format('docs', 'query')},
-    gaps as (select region, q_end as a, lead(q_start) over (partition by region order by block) as b
-    from blocks),
-    info as (select region, max(strand) as strand, min(q_start) as first, max(length(seq)) as n
-    from blocks join docs using (region) group by region),
-    rel as (select region, i, substr(seq, i + 1, 1) as ref, unnest(['A', 'C', 'G', 'T']) as alt from
-    (select *, unnest(generate_series(0, length(seq) - 1)) as i from docs)),
-    here as (select region, case when strand = -1 then n - 1 - i else i end as p,
+REL = """rel as (select region, i, substr(seq, i + 1, 1) as ref, unnest(['A', 'C', 'G', 'T']) as alt from
+    (select *, unnest(generate_series(0, length(seq) - 1)) as i from query))"""
+
+
+def changes(seqs):
+    return se.saturation_variants(seqs, ["region"]).select(
+        "region", F.col("pos").alias("rel_pos"), F.col("ref").alias("ref_allele"), F.col("alt").alias("alt_allele"))
+
+
+# The positions and letters are read off the target itself: every letter of it that the query
+# holds, with each other base, and nothing else.
+@check("positions_on_target", f"""with {TURNED}, {BLOCKS}, here as (select region, substr(d.seq, p + 1, 1) as letter, p
+    from (select region, unnest(generate_series(t_start, t_end - 1)) as p from pieces) join docs d using (region))
+    select region, p as rel_pos, letter as ref_allele, alt as alt_allele
+    from here, (values ('A'), ('C'), ('G'), ('T')) v(alt) where translate(alt, 'ACGT', 'TGCA') <> translate(letter,
+    'ACGT', 'TGCA')""")
+def _(spark, sf):
+    query, docs = turned(spark, sf)
+    return pl.positions_on_target(changes(query), pl.place_by_kmers(query, docs))
+
+
+@check("remap_positions", f"""with {TURNED}, {BLOCKS}, {REL},
+    sizes as (select region, length(seq) as n from query),
+    gaps as (select x.region, x.strand, x.q_end as a, y.q_start as b, x.q_start as first
+    from pieces x join pieces y using (region) where x.block = 0 and y.block = 1),
+    turn as (select region, case when strand = -1 then n - 1 - i else i end as p, a, b, first,
     case when strand = -1 then translate(ref, 'ACGT', 'TGCA') else ref end as ref_allele,
-    case when strand = -1 then translate(alt, 'ACGT', 'TGCA') else alt end as alt_allele, first
-    from rel join info using (region) where alt <> ref)
-    select region, p - first - coalesce((select sum(b - a) from gaps g where g.region = h.region
-    and g.b > g.a and g.b <= h.p), 0)::bigint as rel_pos, ref_allele, alt_allele from here h
-    where not exists (select 1 from gaps g where g.region = h.region and h.p >= g.a and h.p < g.b)""")
+    case when strand = -1 then translate(alt, 'ACGT', 'TGCA') else alt end as alt_allele
+    from rel join gaps using (region) join sizes using (region) where alt <> ref)
+    select region, p - first - case when p >= b then b - a else 0 end as rel_pos, ref_allele, alt_allele
+    from turn where not (p >= a and p < b)""")
 def _(spark, sf):
     query, docs = turned(spark, sf)
-    blocks = se.place_by_kmers(docs, query, 11, 11)
-    rel = se.saturation_variants(docs, ["region"]).select(
-        "region", F.col("pos").alias("rel_pos"), F.col("ref").alias("ref_allele"),
-        F.col("alt").alias("alt_allele"))
-    return se.remap_positions(rel, blocks)
+    return pl.remap_positions(changes(query), pl.place_by_kmers(query, docs))
 
 
 # Readers: the driver's tables are written in the layout of an input file, then read.

@@ -323,13 +323,19 @@ def coverage(spark, sf):
 
 
 COVER = "regions element_preds coverage"
-OUTLINE = """(select region_type, region, chrom, start_pos as a, end_pos as z,
-    list_sort(list(pred_start))[1] as lo, list_sort(list(pred_end))[-1] as hi from coverage
-    where cre_start is not null group by all)"""
-BEFORE = f"""select region_type, region, format('{{}}:{{}}-{{}}', chrom, a, lo) as region_id,
-    lo - a as region_length from {OUTLINE} where lo > a"""
-AFTER = """select region_type, region, format('{{}}:{{}}-{{}}', chrom, hi + {0}, z + 1) as region_id,
-    z + 1 - hi - {0} as region_length from """ + OUTLINE + " where hi < z"
+# every position of a matched region next to the predicted positions before and behind it
+PLACES = """spots as (select distinct chrom, allele_pos from element_preds),
+    places as (select region_type, region, chrom, start_pos, end_pos,
+    unnest(generate_series(start_pos, end_pos)) as p from regions r where exists (select 1 from spots s
+    where s.chrom = r.chrom and s.allele_pos // 100 * 100 = r.start_pos and s.allele_pos <= r.end_pos))"""
+BEFORE = """select region_type, region, format('{}:{}-{}', chrom, min(p), max(p) + 1) as region_id,
+    count(*) as region_length from (select places.*, allele_pos from places asof left join spots
+    on spots.chrom = places.chrom and spots.allele_pos <= places.p)
+    where allele_pos is null or allele_pos < start_pos group by region_type, region, chrom"""
+AFTER = """select region_type, region, format('{{}}:{{}}-{{}}', chrom, min(p) - {0}, max(p) + 1) as region_id,
+    count(*) + {0} as region_length from (select places.*, allele_pos from places asof left join spots
+    on spots.chrom = places.chrom and spots.allele_pos >= places.p)
+    where allele_pos is null or allele_pos > end_pos group by region_type, region, chrom"""
 BETWEEN = """select region_type, region, format('{}:{}-{}', chrom, reach + 1, following) as region_id,
     following - reach - 1 as region_length from (select region_type, region, chrom,
     max(max(pred_end)) over along as reach, lead(pred_start) over along as following from coverage
@@ -349,12 +355,15 @@ def _(spark, sf):
     return coverage(spark, sf)
 
 
-@check("matching_regions", sql(COVER, """select region_type, region,
+@check("matching_regions", sql("regions element_preds", """select region_type, region,
     format('{}:{}-{}', chrom, start_pos, end_pos + 1) as region_id, 80::bigint as region_length,
-    len(list_distinct(list(cre_start))) as total_cres,
-    cast(list_sum(list(pred_length)) as bigint) as total_pred_pos,
-    round(list_sum(list(region_cov)), 3) as total_region_cov from coverage
-    where cre_start is not null group by region_type, region, chrom, start_pos, end_pos"""))
+    count(distinct cre_start) as total_cres, sum(n)::bigint as total_pred_pos,
+    round(sum(round(n * 100 / 80.0::double, 1)), 3) as total_region_cov from (
+    select region_type, region, chrom, start_pos, end_pos, cre_start, cre_end, count(*) as n from (
+    select *, unnest(generate_series(lo, hi)) as p from (select r.*, cre_start, cre_end,
+    min(allele_pos) as lo, max(allele_pos) as hi from regions r join element_preds e on e.chrom = r.chrom
+    and e.allele_pos // 100 * 100 = r.start_pos and e.allele_pos <= r.end_pos group by all))
+    group by all) group by all"""))
 def _(spark, sf):
     return co.matching_regions(coverage(spark, sf))
 
@@ -367,17 +376,17 @@ def _(spark, sf):
     return co.unmatched_regions(coverage(spark, sf))
 
 
-@check("gap_before", sql(COVER, BEFORE))
+@check("gap_before", sql("regions element_preds", "").rstrip() + ", " + PLACES + BEFORE)
 def _(spark, sf):
     return co.gap_before(coverage(spark, sf))
 
 
-@check("gap_after", sql(COVER, AFTER.format(1)))
+@check("gap_after", sql("regions element_preds", "").rstrip() + ", " + PLACES + AFTER.format(0))
 def _(spark, sf):
     return co.gap_after(coverage(spark, sf))
 
 
-@check("gap_after_compat", sql(COVER, AFTER.format(0)))
+@check("gap_after_compat", sql("regions element_preds", "").rstrip() + ", " + PLACES + AFTER.format(1))
 def _(spark, sf):
     return co.gap_after(coverage(spark, sf), compat=True)
 
@@ -392,12 +401,11 @@ def _(spark, sf):
     return co.gaps_between(coverage(spark, sf), compat=True)
 
 
-@check("missing_parts", sql(COVER, f"""select * from ({BEFORE}) union all
-    select * from ({AFTER.format(1)}) union all
-    {BETWEEN}"""))
+@check("missing_parts", sql(COVER, "").rstrip() + ", " + PLACES + f"""select * from ({BEFORE}) union all
+    select * from ({AFTER.format(0)}) union all
+    {BETWEEN}""")
 def _(spark, sf):
-    path = scratch_path(spark, "coverage")
-    return co.missing_parts(materialize_if_absent(spark, path, lambda: coverage(spark, sf)))
+    return co.missing_parts(coverage(spark, sf))
 
 
 @check("mpra_regions", sql("mpra", """select region_type, region, chrom,

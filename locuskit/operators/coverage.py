@@ -13,14 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import region_id
-from locuskit.operators.intervals import WIDTHS, bucketed_join
+from locuskit.operators.intervals import bucketed_join
 from locuskit.operators.ordered import with_group_values
 
 REGION = ["region_type", "region", "chrom", "start_pos", "end_pos"]
 STRETCH = 1 << 20
 
 
-def region_coverage(regions: DataFrame, preds: DataFrame, widths: Sequence[int] = WIDTHS,
+def region_coverage(regions: DataFrame, preds: DataFrame, widths: Sequence[int] | None = None,
                     hot_rows: int | None = None) -> DataFrame:
     """Covered stretch per (region, element); regions without any keep one NULL row.
 
@@ -99,24 +99,35 @@ def gap_after(coverage: DataFrame, compat: bool = False) -> DataFrame:
             .select("region_type", "region", *_part(F.col("chrom"), start, end)))
 
 
-def _uncovered(coverage: DataFrame) -> DataFrame:
-    """Where the next start lies behind all that earlier stretches of the region cover."""
-    keys = ["region_type", "region", "chrom"]
+def _sweep(stretches: DataFrame, keys: Sequence[str], lo: Column | None = None,
+           hi: Column | None = None) -> DataFrame:
+    """(keys, a, b): the parts [a, b) that no stretch of the keys covers.
+
+    ``stretches`` has (keys, pred_start, pred_end). One ordered pass over parts of ``STRETCH``
+    positions gives the running reach and the next start within a part; the parts' own
+    (first start, reach), one row each, are combined along the keys and supply what comes before
+    a part. ``lo`` and ``hi``, first and last position of the keys, add the outer parts.
+    Three shuffles, of which only the first moves the stretches.
+    """
     part = [*keys, "_part"]
-    covered = (coverage.filter(F.col("pred_start").isNotNull()).groupBy(*keys, "pred_start")
-               .agg(F.max("pred_end").alias("pred_end"))
-               .withColumn("_part", F.floor(F.col("pred_start") / STRETCH)))
-    here, along = W.partitionBy(*part).orderBy("pred_start"), W.partitionBy(*keys).orderBy("_part")
-    bounds = covered.groupBy(*part).agg(F.min("pred_start").alias("_first"), F.max("pred_end").alias("_last"))
-    across = bounds.select(
-        *part, F.lead("_first").over(along).alias("_later"),
-        F.max("_last").over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"))
-    local = covered.select(*part, F.lead("pred_start").over(here).alias("_near"), F.max("pred_end").over(
-        here.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("_reach"))
-    start = F.greatest("_reach", "_earlier") + 1
-    following = F.coalesce("_near", "_later")
-    return (with_group_values(local, across, part, ["_later", "_earlier"]).filter(following > start)
-            .select("region_type", "region", *_part(F.col("chrom"), start, following)))
+    placed = stretches.select(*keys, "pred_start", "pred_end", F.floor(F.col("pred_start") / STRETCH).alias("_part"))
+    here, along = W.partitionBy(*part).orderBy("pred_start", "pred_end"), W.partitionBy(*keys).orderBy("_part")
+    upto = here.rowsBetween(W.unboundedPreceding, W.currentRow)
+    local = placed.select(*part, F.lead("pred_start").over(here).alias("_near"),
+                          F.max("pred_end").over(upto).alias("_reach"), F.min("pred_start").over(upto).alias("_first"))
+    # the last row of a part knows all of it
+    parts = local.filter(F.col("_near").isNull()).select(
+        *part, "_reach", "_first", F.max("_reach").over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_earlier"),
+        F.lead("_first").over(along).alias("_later"))
+    behind = F.greatest("_reach", "_earlier") + 1
+    inner = with_group_values(local.filter(F.col("_near") > F.col("_reach") + 1), parts, part, ["_earlier"]).select(
+        *keys, behind.alias("a"), F.col("_near").alias("b"))
+    none = F.lit(None).cast("bigint")
+    edges = F.array(
+        F.struct(F.coalesce(F.col("_earlier") + 1, none if lo is None else lo).alias("a"), F.col("_first").alias("b")),
+        F.struct(behind.alias("a"), F.when(F.col("_later").isNull(), none if hi is None else hi + 1).alias("b")))
+    outer = parts.select(*keys, F.explode(edges).alias("_e")).select(*keys, "_e.a", "_e.b")
+    return inner.unionByName(outer).filter(F.col("b") > F.col("a"))
 
 
 def gaps_between(coverage: DataFrame, compat: bool = False) -> DataFrame:
@@ -131,7 +142,8 @@ def gaps_between(coverage: DataFrame, compat: bool = False) -> DataFrame:
     start of a part continues at the first one of the next part that has any.
     """
     if not compat:
-        return _uncovered(coverage)
+        found = _sweep(coverage.filter(F.col("pred_start").isNotNull()), ["region_type", "region", "chrom"])
+        return found.select("region_type", "region", *_part(F.col("chrom"), F.col("a"), F.col("b")))
     keys = ["region"]
     part = [*keys, "_part"]
     covered = (coverage.filter(F.col("pred_start").isNotNull())
@@ -156,12 +168,11 @@ def gaps_between(coverage: DataFrame, compat: bool = False) -> DataFrame:
 def missing_parts(coverage: DataFrame, compat: bool = False) -> DataFrame:
     """Every uncovered part of the partly covered regions.
 
-    ``coverage`` is read for the outer parts and for those in between; store it first when
-    it is costly to compute.
+    The parts before, between and behind come from one sweep. With ``compat`` the looser forms
+    of the three are taken, each read from ``coverage`` again.
     """
-    ends = [F.when(some, F.struct(start.alias("a"), end.alias("b")))
-            for some, start, end in (_before(), _after(compat))]
-    outer = (_outline(coverage).select("region_type", "region", "chrom",
-                                       F.explode(F.array_compact(F.array(*ends))).alias("_e"))
-             .select("region_type", "region", *_part(F.col("chrom"), F.col("_e.a"), F.col("_e.b"))))
-    return outer.unionByName(gaps_between(coverage, compat))
+    if compat:
+        return gap_before(coverage).unionByName(gap_after(coverage, True)).unionByName(gaps_between(coverage, True))
+    covered = coverage.filter(F.col("pred_length").isNotNull())
+    gaps = _sweep(covered, REGION, F.col("start_pos"), F.col("end_pos"))
+    return gaps.select("region_type", "region", *_part(F.col("chrom"), F.col("a"), F.col("b")))

@@ -1,12 +1,12 @@
-"""Joins of genomic intervals with positions, by bucketed equi-join.
+"""Joins of genomic intervals with positions, by an equi-join on nested bins.
 
 Every join here has the form "a position of one side lies between two positions of the
-other". Intervals are expanded to the buckets they touch, positions fall into exactly one
-bucket, and the two meet by hash on (chromosome, bucket); the full predicate then decides.
-A position has one bucket, so no pair is produced twice. Where interval lengths differ by
-orders of magnitude several bucket widths can be given: an interval uses the smallest
-width that is at least a sixteenth of its length, and a position looks into one bucket per
-width.
+other". The chromosome is cut into bins at several levels, each sixteen times as wide as the one
+below. An interval belongs to the lowest level whose bins are at least a sixteenth of its length,
+so it touches at most 17 of them; a position lies in one bin of each level. The two meet by
+hash on (chromosome, bin); the full predicate then decides. No pair is produced twice, as an
+interval has one level and a position one bin in it. Positions look only into levels that some
+interval uses, so a table of short intervals costs one lookup.
 """
 
 from __future__ import annotations
@@ -19,39 +19,58 @@ from pyspark.sql import functions as F
 from locuskit.functions import motif_name
 from locuskit.operators.joins import skew_join
 
-WIDTHS = (256,)
 MOST_BUCKETS = 16
+#: 256 bases to 268 megabases; a longer interval is cut into more than 17 of the widest bins.
+LEVELS = tuple(256 * MOST_BUCKETS ** i for i in range(6))
 
 
 def _bucket(position: Column, size: Column) -> Column:
     return position - F.pmod(position, size)
 
 
+def _level(length: Column, widths: Sequence[int]) -> Column:
+    """The smallest width of which at most sixteen make up the length; the last one if none."""
+    size = F.lit(widths[-1]).cast("bigint")
+    for smaller in reversed(widths[:-1]):
+        size = F.when(length <= smaller * MOST_BUCKETS, F.lit(smaller).cast("bigint")).otherwise(size)
+    return size
+
+
+def interval_bins(intervals: DataFrame, lo: Column, hi: Column, widths: Sequence[int] = LEVELS) -> DataFrame:
+    """Add ``_lo``, ``_hi``, ``_size`` and ``_bucket``: a row for each bin that an interval touches."""
+    spans = (intervals.select("*", lo.cast("bigint").alias("_lo"), hi.cast("bigint").alias("_hi"))
+             .filter(F.col("_lo") <= F.col("_hi"))
+             .select("*", _level(F.col("_hi") - F.col("_lo"), sorted(widths)).alias("_size")))
+    return spans.select("*", F.explode(F.sequence(_bucket(F.col("_lo"), F.col("_size")), F.col("_hi"), F.col("_size")))
+                        .alias("_bucket"))
+
+
+def position_bins(points: DataFrame, at: Column, widths: Sequence[int] = LEVELS, used: Column | None = None) -> DataFrame:
+    """Add ``_at``, ``_size`` and ``_bucket``: a row for each level, of the ``used`` ones if given."""
+    sizes = F.array(*[F.lit(w).cast("bigint") for w in sorted(widths)])
+    if used is not None:
+        sizes = F.array_intersect(sizes, used)
+    places = points.select("*", at.cast("bigint").alias("_at")).filter(F.col("_at").isNotNull())
+    return (places.select("*", F.explode(sizes).alias("_size"))
+            .select("*", _bucket(F.col("_at"), F.col("_size")).alias("_bucket")))
+
+
 def bucketed_join(intervals: DataFrame, points: DataFrame, lo: Column, hi: Column, at: Column,
                   residual: Column | None = None, keys: Sequence[str] = ("chrom",),
-                  widths: Sequence[int] = WIDTHS, hot_rows: int | None = None) -> DataFrame:
+                  widths: Sequence[int] | None = None, hot_rows: int | None = None) -> DataFrame:
     """Pairs with equal ``keys`` and lo <= at <= hi; sides are aliased ``l`` and ``r``.
 
     ``lo`` and ``hi`` are integer expressions over ``intervals``, ``at`` over ``points``;
-    ``residual`` uses the aliases.
+    ``residual`` uses the aliases. Without ``widths`` the levels are ``LEVELS`` and an aggregate
+    over the intervals' lengths tells which of them occur; given widths are all looked up.
     """
-    sizes = [F.lit(w).cast("bigint") for w in sorted(widths)]
-    length, size = F.col("_hi") - F.col("_lo"), sizes[-1]
-    for smaller in reversed(sizes[:-1]):
-        size = F.when(length <= smaller * MOST_BUCKETS, smaller).otherwise(size)
-    spans = (intervals.select("*", lo.cast("bigint").alias("_lo"), hi.cast("bigint").alias("_hi"))
-             .filter(F.col("_lo") <= F.col("_hi")))
-    places = points.select("*", at.cast("bigint").alias("_at")).filter(F.col("_at").isNotNull())
-    on = [*keys, "_bucket"]
-    if len(sizes) > 1:
-        spans = spans.select("*", size.alias("_size"))
-        places = places.select("*", F.explode(F.array(*sizes)).alias("_size"))
-        on, size = [*on, "_size"], F.col("_size")
-    left = spans.select("*", F.explode(F.sequence(_bucket(F.col("_lo"), size), F.col("_hi"), size))
-                        .alias("_bucket"))
-    right = places.select("*", _bucket(F.col("_at"), size).alias("_bucket"))
+    levels, used = widths or LEVELS, None
+    if widths is None:
+        length = hi.cast("bigint") - lo.cast("bigint")
+        used = intervals.filter(length >= 0).agg(F.collect_set(_level(length, sorted(levels)))).scalar()  # at most six
+    left, right = interval_bins(intervals, lo, hi, levels), position_bins(points, at, levels, used)
     inside = (F.col("r._at") >= F.col("l._lo")) & (F.col("r._at") <= F.col("l._hi"))
-    return skew_join(left, right, on, inside if residual is None else inside & residual, hot_rows)
+    return skew_join(left, right, [*keys, "_bucket", "_size"], inside if residual is None else inside & residual, hot_rows)
 
 
 def _named(features: DataFrame) -> DataFrame:
@@ -61,7 +80,7 @@ def _named(features: DataFrame) -> DataFrame:
 
 
 def contained_join(bins: DataFrame, features: DataFrame, carry: Sequence[str] = ("log2FC",),
-                   widths: Sequence[int] = WIDTHS, hot_rows: int | None = None) -> DataFrame:
+                   widths: Sequence[int] | None = None, hot_rows: int | None = None) -> DataFrame:
     """Features that lie fully inside a bin, with the bin's ``carry`` columns."""
     slim_bins = bins.select("chrom", "start", "end", *carry)
     slim = _named(features)
@@ -82,7 +101,7 @@ def within_distance_join(features: DataFrame, k: int = 1000, widths: Sequence[in
     """Ordered feature pairs: the second starts after the first stops and ends within k."""
     slim = _named(features).drop("motif_alt_id")
     pairs = bucketed_join(slim, slim, F.col("stop") + 1, F.col("start") + k, F.col("start"),
-                          F.col("l.start") + k >= F.col("r.stop"), widths=widths or (max(WIDTHS[0], k // 4),),
+                          F.col("l.start") + k >= F.col("r.stop"), widths=widths or (max(LEVELS[0], k // 4),),
                           hot_rows=hot_rows)
     return pairs.select(
         F.col("l.chrom").alias("chrom"), F.col("l.start").alias("start"),
@@ -94,7 +113,7 @@ def within_distance_join(features: DataFrame, k: int = 1000, widths: Sequence[in
         (F.col("r.start") - F.col("l.start")).alias("motif_distance"))
 
 
-def padded_point_join(features: DataFrame, preds: DataFrame, pad: int = 5, widths: Sequence[int] = WIDTHS,
+def padded_point_join(features: DataFrame, preds: DataFrame, pad: int = 5, widths: Sequence[int] | None = None,
                       hot_rows: int | None = None) -> DataFrame:
     """Predictions whose position is in a feature widened by ``pad`` on both sides."""
     slim = _named(features)

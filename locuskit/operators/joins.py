@@ -66,16 +66,25 @@ def skew_join(left: DataFrame, right: DataFrame, on: Sequence[str],
     return a.join(b, match if condition is None else match & condition)
 
 
-def partitioned_join(left: DataFrame, right: DataFrame, partition_col: str, condition: Column,
-                     select: Sequence[Column], hot_rows: int | None = None) -> DataFrame:
+def partitioned_join(left: DataFrame, right: DataFrame, partition_col: str, condition: Column | None,
+                     select: Sequence[Column], hot_rows: int | None = None,
+                     between: tuple[Column, Column, Column] | None = None, piece_rows: int = 10_000) -> DataFrame:
     """Theta join within equal values of ``partition_col`` (sides ``l`` and ``r``).
 
-    One declarative join in place of a loop over partition values. When the condition
-    bounds a position of the right side by an interval of the left one, use
-    :func:`locuskit.operators.intervals.bucketed_join`, which compares far fewer pairs.
+    One declarative join in place of a loop over partition values. ``between`` is a range
+    condition (lo, hi, at): bounds over the left side, a number over the right one, with
+    lo <= at <= hi; the join is then cut along the data (see
+    :func:`locuskit.operators.band.range_join`). For intervals and positions on chromosomes
+    :func:`locuskit.operators.intervals.bucketed_join` does it with one shuffle.
     A right side without the partition column is joined by the condition alone, which
-    must then hold an equality for Spark to hash on.
+    must then hold an equality for Spark to hash on, or by ``between``.
     """
+    if between is not None:
+        from locuskit.operators.band import range_join
+        lo, hi, at = between
+        keys = [partition_col] if partition_col in right.columns else []
+        kept = left.filter(F.col(partition_col).isNotNull())
+        return range_join(kept, right, lo, hi, at, keys, condition, piece_rows).select(*select)
     if partition_col in right.columns:
         return skew_join(left, right, [partition_col], condition, hot_rows).select(*select)
     return (left.filter(F.col(partition_col).isNotNull()).alias("l")

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locuskit.operators.ordered import running_totals, take_first, with_group_values
+from locuskit.operators.ordered import running_totals, take_first, take_first_each, with_group_values
 from locuskit.operators.sampling import sample_rows
 
+#: Largest n for which Spark limits the rows of a window's group before the shuffle (its default).
+RANKED = 1000
+
 
 def _class_counts(df: DataFrame, score: Column, label: str, pos: object, by: Sequence[str]) -> DataFrame:
     """Positives and negatives per distinct (group, score)."""
@@ -105,12 +108,15 @@ def mcc_at(df: DataFrame, score: str | Column, label: str, pos: object, cutoffs:
 def top_abs(df: DataFrame, n: int, effect: str, key: str, by: Sequence[str] = ()) -> DataFrame:
     """The n rows of largest |effect|, per group if ``by`` is given; ``key`` settles ties.
 
-    Per group, Spark keeps n rows in each task before the shuffle for n up to
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).
+    Up to ``RANKED`` rows per group Spark keeps n of them in each task before it shuffles, and one
+    task ranks what is left of a group. Beyond, each group's cutoff value is found and its rows
+    filtered in place, so that no task holds n rows of a hot group.
     """
     ranked = df.filter(F.col(effect).isNotNull()).withColumn("_down", -F.abs(effect))
     if not by:
         return take_first(ranked, n, ["_down", key]).drop("_down")
+    if n > RANKED:
+        return take_first_each(ranked, n, by, "_down", key).drop("_down")
     # the filter on the row number lets Spark keep n rows per group before it shuffles
     place = F.row_number().over(W.partitionBy(*by).orderBy("_down", key))
     return (ranked.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place", "_down"))

@@ -200,3 +200,20 @@ def take_first(df: DataFrame, k: int | Column, order: Sequence[str],
         tied = tied & (F.col(column) == spot["value"])
         ties, upto = df.filter(tied), {"k": F.least(spot["left"], F.col("total"))}
     return df.filter(keep | tied)
+
+
+def take_first_each(df: DataFrame, k: int, keys: Sequence[str], order: str, tie: str) -> DataFrame:
+    """The first ``k`` rows of each group by the numeric columns ``order`` and ``tie`` (unique in it).
+
+    As :func:`take_first`, with a cutoff for each group: rows are compared with their group's row
+    of a small table, and only those that tie with the cutoff are ordered, in pieces. No task
+    holds a group, whatever its size and ``k`` are. Rows with a NULL in ``order`` or ``tie`` are
+    never taken; NULL keys form a group.
+    """
+    rows = df.filter(F.col(order).isNotNull() & F.col(tie).isNotNull())
+    cuts = values_at_ranks(value_counts(rows, keys, order), keys, order, {"k": F.least(F.lit(k), F.col("total"))})
+    cuts = cuts.select(*keys, F.col("value").alias("_cut"), (F.col("rank") - F.col("below")).alias("_left"))
+    marked = with_group_values(rows, cuts, keys, ["_cut", "_left"])
+    tied = running_totals(marked.filter(F.col(order) == F.col("_cut")).withColumn("_one", F.lit(1)), keys, tie, ["_one"])
+    return marked.filter(F.col(order) < F.col("_cut")).select(*df.columns).unionByName(
+        tied.filter(F.col("cum__one") <= F.col("_left")).select(*df.columns))

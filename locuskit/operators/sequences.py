@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from locuskit.functions import revcomp
 from locuskit.operators.joins import skew_join
 
 # Two sizes of pieces: a substring costs time in its offset, so long sequences are cut
@@ -92,36 +91,67 @@ def saturation_variants(seqs: DataFrame, keys: Sequence[str] = ("id",), seq: str
                     F.explode(_alternatives(F.col("window"))).alias("alt")))
 
 
+#: Letters of packed k-mers by digit; any other letter is digit 5 and has no weight.
+LETTERS = "ACGTN"
+DIGITS = len(LETTERS) + 1
+#: The longest k-mer whose code fits into 63 bits.
+LONGEST = 24
+
+
+def packed(kmer: Column) -> Column:
+    """A k-mer of up to ``LONGEST`` letters as a number, a digit per letter, the first one highest."""
+    digits = F.translate(F.regexp_replace(kmer, f"[^{LETTERS}]", "x"), LETTERS + "x", "012345")
+    return F.conv(digits, DIGITS, 10).cast("bigint")
+
+
+def _unpacked(code: Column, k: int) -> Column:
+    return F.translate(F.lpad(F.conv(code.cast("string"), 10, DIGITS), k, "0"), "012345", LETTERS + "?")
+
+
+def _packed_weight(column: Column, code: Column, k: int, missing: str) -> Column:
+    return _weight(column, _unpacked(code, k), missing)
+
+
 def delta_kmer_score(seqs: DataFrame, weights: DataFrame, k: int, keys: Sequence[str] = ("id",),
-                     seq: str = "seq", start: str | None = None, missing: str = "error") -> DataFrame:
+                     seq: str = "seq", start: str | None = None, missing: str = "error",
+                     model: Sequence[str] = ()) -> DataFrame:
     """Change of the k-mer score for every base change with k - 1 letters on both sides.
 
-    A change touches the k k-mers of the window of 2k - 1 letters around it, so each
-    (position, base, offset) looks up one k-mer with and one without the change and the
-    differences are summed in the task that made them. ``start`` names a column with the
-    coordinate of the first letter. A sequence shorter than 2k - 1 is an error.
+    Every k-mer of a sequence is packed into a number and looks up its own weight once. Its 3k
+    changed forms are sums on that number, so they look up theirs without a text being cut;
+    the differences are summed by changed position and base. ``model`` names columns of both
+    tables, so one call scores sequences of many models. ``start`` names a column with the
+    coordinate of the first letter. Letters but A, C, G, T and N have no weight, k may be up to
+    ``LONGEST``, and a sequence shorter than 2k - 1 is an error.
     """
     wide = 2 * k - 1
-    kept = [*keys, *([start] if start else [])]
+    if k > LONGEST:
+        raise ValueError(f"k-mers of at most {LONGEST} letters can be packed")
+    kept = [*keys, *[m for m in model if m not in keys], *([start] if start else [])]
     checked = seqs.withColumn(seq, F.when(F.char_length(seq) >= wide, F.col(seq)).otherwise(
         F.raise_error(F.lit(f"sequence length must be at least {wide} characters"))))
-    around = windows(checked, kept, seq, wide)
-    changes = (around.withColumn("ref", F.substring("window", k, 1))
-               .withColumn("alt", F.explode(_alternatives(F.col("ref"))))
-               .withColumn("_m", F.concat(F.substring("window", 1, k - 1), F.col("alt"),
-                                          F.substring("window", k + 1, k - 1)))
-               .withColumn("_o", F.explode(F.sequence(F.lit(1), F.lit(k)))))
-    pairs = changes.select(*kept, "pos", "ref", "alt",
-                           F.substring("window", F.col("_o"), F.lit(k)).alias("_old"),
-                           F.substring("_m", F.col("_o"), F.lit(k)).alias("_new"))
-    old = weights.select(F.col("kmer").alias("_old"), F.col("weight").alias("_w_old"))
-    new = weights.select(F.col("kmer").alias("_new"), F.col("weight").alias("_w_new"))
-    joined = pairs.join(old, "_old", "left").join(new, "_new", "left")
-    change = (_weight(F.col("_w_new"), F.col("_new"), missing)
-              - _weight(F.col("_w_old"), F.col("_old"), missing))
+    checked = checked.withColumn("_last", F.char_length(seq) - k)
+    table = weights.filter(F.col("kmer").rlike(f"^[{LETTERS}]+$")).select(
+        *model, packed(F.col("kmer")).alias("_code"), F.col("weight").alias("_w"))
+    rows = windows(checked, [*kept, "_last"], seq, k).withColumn("_code", packed(F.col("window")))
+    old = (rows.join(table, [*model, "_code"], "left")
+           .withColumn("_old", _packed_weight(F.col("_w"), F.col("_code"), k, missing)).drop("_w"))
+    place = F.struct(F.col("_o"), F.substring("window", F.col("_o") + 1, F.lit(1)).alias("ref"),
+                     F.element_at(F.array(*[F.lit(DIGITS ** (k - 1 - o)).cast("bigint") for o in range(k)]),
+                                  F.col("_o") + 1).alias("unit"))
+    spots = (old.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+             .withColumn("pos", F.col("pos") + F.col("_o")).filter(F.col("pos").between(k - 1, F.col("_last")))
+             .withColumn("_s", place).select(*kept, "pos", "_old", "_code", "_s.ref", "_s.unit"))
+    digit = F.expr(f"(_code div unit) % {DIGITS}")
+    bases = F.array(*[F.struct(F.lit(b).alias("alt"), F.lit(i).alias("d")) for i, b in enumerate(BASES)])
+    changed = (spots.withColumn("_d", digit).withColumn("_b", F.explode(F.filter(bases, lambda x: x["alt"] != F.col("ref"))))
+               .select(*kept, "pos", "_old", "ref", F.col("_b.alt").alias("alt"),
+                       (F.col("_code") + (F.col("_b.d") - F.col("_d")) * F.col("unit")).alias("_code")))
+    new = changed.join(table, [*model, "_code"], "left")
+    change = _packed_weight(F.col("_w"), F.col("_code"), k, missing) - F.col("_old")
     offset = F.col(start) if start else F.lit(0)
-    return (joined.groupBy(*kept, "pos", "ref", "alt").agg(F.sum(change).alias("score"))
-            .select(*keys, (F.col("pos") + offset + (k - 1)).alias("pos"), "ref", "alt", "score"))
+    return (new.groupBy(*kept, "pos", "ref", "alt").agg(F.sum(change).alias("score"))
+            .select(*keys, (F.col("pos") + offset).alias("pos"), "ref", "alt", "score"))
 
 
 def region_sequences(regions: DataFrame, chunks: DataFrame, chunk_size: int, lo: Column, hi: Column,
@@ -153,82 +183,19 @@ def score_regions(regions: DataFrame, chunks: DataFrame, chunk_size: int,
     """Score changes at every position of each region with the model of its region type.
 
     ``models`` maps a region type to (weights, k). Regions are inclusive and are widened by
-    k - 1 on both sides so that their first and last bases are scored too.
+    k - 1 on both sides so that their first and last bases are scored too. All models of one
+    k-mer length are one table, and all their regions one plan.
     """
     out = None
-    for region_type, (weights, k) in models.items():
-        part = regions.filter(F.col("region_type") == region_type)
+    for k in sorted({k for _, k in models.values()}):
+        tables = [w.select(F.lit(t).alias("region_type"), "kmer", "weight") for t, (w, n) in models.items() if n == k]
+        weights = reduce(lambda a, b: a.unionByName(b), tables)
+        part = regions.filter(F.col("region_type").isin([t for t, (_, n) in models.items() if n == k]))
         seqs = region_sequences(part, chunks, chunk_size, F.col("start_pos") - (k - 1),
-                                F.col("end_pos") + k, ["region", "chrom"])
-        scored = (delta_kmer_score(seqs, weights, k, ["region", "chrom"], "seq", "seq_start", missing)
+                                F.col("end_pos") + k, ["region", "chrom", "region_type"])
+        scored = (delta_kmer_score(seqs, weights, k, ["region", "chrom"], "seq", "seq_start", missing, ["region_type"])
                   .select("region", "chrom", F.col("pos").alias("allele_pos"),
                           F.col("ref").alias("ref_allele"), F.col("alt").alias("alt_allele"),
                           F.col("score").alias("log2FC")))
         out = scored if out is None else out.unionByName(scored)
     return out
-
-
-def place_by_kmers(query: DataFrame, target: DataFrame, k: int = 11, min_votes: int = 1,
-                   key: str = "region", seq: str = "seq") -> DataFrame:
-    """Strand and gap-free blocks of each query on the target of the same region.
-
-    k-mers that occur once on either side anchor a diagonal (target minus query position);
-    the strand with more anchors wins, forward on ties, and every diagonal with at least
-    ``min_votes`` anchors is a block. Repeated k-mers anchor nothing, so a low-complexity
-    region adds no pairs. Blocks are half-open, numbered along the query as oriented.
-    """
-    both = query.select(key, F.explode(F.array(
-        F.struct(F.lit(1).alias("strand"), F.col(seq).alias("s")),
-        F.struct(F.lit(-1).alias("strand"), revcomp(F.col(seq)).alias("s")))).alias("_q")).select(
-        key, F.col("_q.strand").alias("strand"), F.col("_q.s").alias("s"))
-
-    def singles(df: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-        return (windows(df, keys, column, k).groupBy(*keys, "window")
-                .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias(name))
-                .filter(F.col("n") == 1).drop("n"))
-
-    anchors = (singles(both, [key, "strand"], "s", "q").join(singles(target, [key], seq, "t"),
-                                                            [key, "window"]))
-    diagonals = (anchors.groupBy(key, "strand", (F.col("t") - F.col("q")).alias("_d"))
-                 .agg(F.count(F.lit(1)).alias("votes"), F.min("t").alias("t_start"),
-                      (F.max("t") + k).alias("t_end"), F.min("q").alias("q_start"),
-                      (F.max("q") + k).alias("q_end")))
-    totals = diagonals.groupBy(key, "strand").agg(F.sum("votes").alias("v"))
-    winner = totals.groupBy(key).agg(F.max_by("strand", F.struct("v", "strand")).alias("strand"))
-    kept = diagonals.join(winner, [key, "strand"]).filter(F.col("votes") >= min_votes)
-    order = W.partitionBy(key).orderBy("q_start", "q_end")
-    overlap = F.greatest(F.lit(0), F.coalesce(F.lag("q_end").over(order), F.lit(0)) - F.col("q_start"))
-    return (kept.withColumn("block", F.row_number().over(order) - 1).withColumn("_cut", overlap)
-            .select(key, "strand", "block", (F.col("t_start") + F.col("_cut")).alias("t_start"), "t_end",
-                    (F.col("q_start") + F.col("_cut")).alias("q_start"), "q_end", "votes"))
-
-
-def remap_positions(rel: DataFrame, blocks: DataFrame, pos: str = "rel_pos", ref: str = "ref_allele",
-                    alt: str = "alt_allele", key: str = "region") -> DataFrame:
-    """Positions relative to the first block, gaps of the query removed.
-
-    On the reverse strand positions count from the other end and alleles are
-    complemented; the effect stays with its row. Every gap shifts what follows by the sum
-    of the gaps before it.
-    """
-    order = W.partitionBy(key).orderBy("block")
-    gaps = (blocks.withColumn("_to", F.lead("q_start").over(order))
-            .groupBy(key).agg(
-                F.max("strand").alias("strand"), F.min("q_start").alias("_first"),
-                F.collect_list(F.when(F.col("_to") > F.col("q_end"), F.struct(
-                    F.col("q_end").alias("a"), F.col("_to").alias("b")))).alias("_gaps")))
-    lengths = rel.groupBy(key).agg((F.max(pos) + 1).alias("_len"))
-    side = gaps.join(lengths, key)
-    back = F.col("r.strand") == -1
-    here = F.when(back, F.col("r._len") - 1 - F.col(f"l.{pos}")).otherwise(F.col(f"l.{pos}"))
-    turned = {ref: F.when(back, revcomp(F.col(f"l.{ref}"))).otherwise(F.col(f"l.{ref}")),
-              alt: F.when(back, revcomp(F.col(f"l.{alt}"))).otherwise(F.col(f"l.{alt}"))}
-    placed = (skew_join(rel, side, [key])
-              .select(*[turned.get(c, here if c == pos else F.col(f"l.{c}")).alias(c)
-                        for c in rel.columns], "r._gaps", "r._first"))
-    p = F.col(pos)
-    shift = F.aggregate("_gaps", F.lit(0).cast("bigint"), lambda acc, g: acc + F.when(
-        g["b"] <= p, g["b"] - g["a"]).otherwise(F.lit(0)))
-    return (placed.filter(~F.exists("_gaps", lambda g: (p >= g["a"]) & (p < g["b"])))
-            .select(*[(p - shift - F.col("_first")).alias(c) if c == pos else F.col(c)
-                      for c in rel.columns]))

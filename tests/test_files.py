@@ -165,7 +165,7 @@ def test_placement_and_positions(spark, rows):
     flip = query[::-1].translate(str.maketrans("ACGT", "TGCA"))
     targets = spark.createDataFrame([("f", target), ("r", target)], "region string, seq string")
     queries = spark.createDataFrame([("f", query), ("r", flip)], "region string, seq string")
-    blocks = se.place_by_kmers(queries, targets, 11, 5)
+    blocks = pl.place_by_kmers(queries, targets, 11, 5)
     spans = {(b.region, b.strand, b.t_start, b.t_end, b.q_start, b.q_end) for b in blocks.collect()}
     assert spans == {(x, s, *p) for x, s in (("f", 1), ("r", -1))
                      for p in ((10, 120, 5, 115), (120, 250, 122, 252))}
@@ -173,7 +173,7 @@ def test_placement_and_positions(spark, rows):
         "region", F.col("pos").alias("rel_pos"), F.col("ref").alias("ref_allele"),
         F.col("alt").alias("alt_allele"))
     for region in "fr":
-        refs = {x.rel_pos: x.ref_allele for x in se.remap_positions(rel, blocks).collect() if x.region == region}
+        refs = {x.rel_pos: x.ref_allele for x in pl.remap_positions(rel, blocks).collect() if x.region == region}
         assert [refs[i] for i in range(240)] == list(target[10:250])
 
 
