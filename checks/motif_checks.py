@@ -8,6 +8,8 @@ from locuskit.operators import intervals as iv
 from locuskit.operators import motifs as mo
 from locuskit.operators.joins import (add_split_flags, join_by_index, partitioned_join, semi_by_list,
                                       skew_join, split_sizes, tagged_union)
+from locuskit.session import scratch_path
+from locuskit.sources import colocated as cl
 
 
 def hits(spark, sf):
@@ -315,3 +317,14 @@ def _(spark, sf):
     return partitioned_join(f, f, "chrom", F.col("l.start") != F.col("r.start"),
                             [F.col("l.chrom"), F.col("l.start"), F.col("r.start").alias("other"), F.col("r.pvalue")],
                             between=(F.col("value") - width, F.col("value") + width, F.col("value")), piece_rows=500)
+
+
+@check("stored_interval_join", sql("features bins hits", "select chrom, seq_start, mot_start, mot_stop, motif_id, log2FC from hits"))
+def _(spark, sf):
+    path = scratch_path(spark, "colocated")
+    name = path.rsplit("-", 1)[-1]
+    b = cl.store_intervals(bins(spark, sf), f"bins_{name}", f"{path}/bins", F.col("start"), F.col("end"), buckets=8)
+    m = cl.store_positions(features(spark, sf), f"matches_{name}", f"{path}/matches", F.col("start"), buckets=8)
+    pairs = cl.stored_join(b, m, F.col("l.end") >= F.col("r.stop"))
+    return pairs.select(F.col("l.chrom").alias("chrom"), F.col("l.start").alias("seq_start"), F.col("r.start").alias("mot_start"),
+                        F.col("r.stop").alias("mot_stop"), F.col("r.motif_id").alias("motif_id"), F.col("l.log2FC").alias("log2FC"))

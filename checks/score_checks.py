@@ -180,6 +180,13 @@ TOP = """(select doc_id, score, quality from labelled order by abs(score) desc,
 DRAW = UNIT.format("doc_id", 42)
 
 
+@check("top_abs_grouped_many", """select event_id, event_type, value from (select *, row_number() over
+    (partition by event_type order by abs(value - 50) desc, event_id) as place from events) where place <= 5000""")
+def _(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", "event_type", "value", (F.col("value") - 50).alias("effect"))
+    return me.top_abs(rows, 5000, "effect", "event_id", ["event_type"]).drop("effect")
+
+
 @check("top_abs_with_negatives", sql("labelled", TOP.format(50, DRAW)))
 def _(spark, sf):
     rows = labelled(spark, sf).select("doc_id", "score", "quality")
@@ -328,9 +335,41 @@ def _(spark, sf):
     return rounded(sa.score_density(value_rows(spark, sf).drop("event_type"), "value", 100), "pdf", "cdf")
 
 
-@check("score_density_smooth")
+def cubic(y):
+    """Slopes at the bin mids, then the cubic between two of them, of column ``y``."""
+    return f"""{y}_d as (select *, (lead({y}) over o - {y}) / step as up from t window o as (order by bin)),
+    {y}_n as (select *, lag(up) over o as back, lead(up) over o as up2, lag(up, 2) over o as back2 from {y}_d
+    window o as (order by bin)),
+    {y}_e as (select *, (3 * up - up2) / 2 as first, (3 * back - back2) / 2 as last from {y}_n),
+    {y}_s as (select bin, {y}, case when back is null then
+    case when up2 is null then up when sign(first) <> sign(up) then 0
+    when sign(up) <> sign(up2) and abs(first) > 3 * abs(up) then 3 * up else first end
+    when up is null then case when back2 is null then back when sign(last) <> sign(back) then 0
+    when sign(back) <> sign(back2) and abs(last) > 3 * abs(back) then 3 * back else last end
+    when back * up <= 0 then 0 else 2 * back * up / (back + up) end as slope from {y}_e),
+    {y}_c as (select v.event_id, a.{y} * (1 + u) * (1 + u) * (1 - 2 * u) + a.slope * v.step * (1 + u) * (1 + u) * u as x
+    from (select event_id, u - 1 as u, slot + 1 as bin, step from v) v join {y}_s a using (bin) union all
+    select v.event_id, a.{y} * (1 - u) * (1 - u) * (1 + 2 * u) + a.slope * v.step * u * (1 - u) * (1 - u)
+    from v join {y}_s a on a.bin = v.slot),
+    {y}_v as (select event_id, sum(x) as {y} from {y}_c group by event_id)"""
+
+
+# each end of an interval carries a cubic of its own: with u counted from that end, it is 1 there with
+# slope 0, or 0 with slope 1, and 0 at the other end; the value is the sum over both ends
+SMOOTH = f"""r as (select min(value) as lo, max(value) as hi, (max(value) - min(value)) / 100 as step from events),
+    m as (select bin, count(c) / (select count(*) from events) as pdf from (select unnest(range(100)) as bin)
+    left join (select least(floor((value - lo) / (hi - lo) * 100), 99)::bigint as c from events, r) on c = bin group by bin),
+    t as (select bin, pdf, sum(pdf) over (order by bin) as cdf, step, lo + (bin + 0.5::double) * step as mid from m, r),
+    v as (select event_id, value, step, least(greatest(floor((value - lo) / step - 0.5::double), 0), 98)::bigint as slot,
+    (value - lo) / step - 0.5::double - least(greatest(floor((value - lo) / step - 0.5::double), 0), 98) as u
+    from events, r), {cubic("pdf")}, {cubic("cdf")}"""
+
+
+@check("score_density_smooth", f"""with {SMOOTH} select event_id, value, round(pdf, 6) as pdf, round(cdf, 6) as cdf
+    from v join pdf_v using (event_id) join cdf_v using (event_id)""")
 def _(spark, sf):
-    return sa.score_density(value_rows(spark, sf), "value", 100, interpolate=True)
+    rows = sa.score_density(value_rows(spark, sf).drop("event_type"), "value", 100, interpolate=True)
+    return rounded(rows, "pdf", "cdf", digits=6)
 
 
 ERF = """(sign({0}) * (1 - ((((1.061405429::double * (1 / (1 + 0.3275911::double * abs({0})))
@@ -356,6 +395,12 @@ def _(spark, sf):
     return rounded(rows.select("event_id", "accept"), "accept")
 
 
+@check("acceptance_ecdf", f"""with {MASS} select event_id, round(cdf, 9) as accept from b join m using (bin)""")
+def _(spark, sf):
+    rows = sa.acceptance(value_rows(spark, sf), "value", "ecdf", 100, interpolate=False)
+    return rounded(rows.select("event_id", "accept"), "accept")
+
+
 @check("sample_report", f"""with w as (select 'by value' as method, event_id, event_type, value as w
     from events union all select 'even', event_id, event_type, 1.0::double from events),
     s as (select *, row_number() over (partition by method order by

@@ -240,6 +240,14 @@ def placed(spark, sf):
         (F.col("l_tax") - F.col("l_discount")).alias("v"))
 
 
+def write_raw(p, path):
+    s, v = F.col("s"), F.col("v")
+    x = F.when(F.col("allele") == "A", 0 - v).otherwise(v * F.ascii("allele"))
+    span = lambda a, b: F.concat("chrom", F.lit(":"), text(a), F.lit("-"), text(b))
+    lines(p, span(s, s + 238), span(s - s % 3, s + 300), F.concat(F.lit("pos="), text("pos")),
+          F.concat(F.lit("ref="), "ref_allele"), "allele", text(x)).write.text(path)
+
+
 @check("allele_preds_raw", f"""with {PLACED} select chrom as cre_chrom, s as cre_start,
     s + 238 as cre_end, chrom as bin_chrom, s - s % 3 as bin_start, s + 300 as bin_end,
     pos as allele_pos, ref_allele, allele, round(x / ln(2), 9) as log2FC,
@@ -248,16 +256,24 @@ def placed(spark, sf):
     from p)""")
 def _(spark, sf):
     path = scratch_path(spark, "raw")
-    p = placed(spark, sf)
-    s, v = F.col("s"), F.col("v")
-    x = F.when(F.col("allele") == "A", 0 - v).otherwise(v * F.ascii("allele"))
-    span = lambda a, b: F.concat("chrom", F.lit(":"), text(a), F.lit("-"), text(b))
-    lines(p, span(s, s + 238), span(s - s % 3, s + 300), F.concat(F.lit("pos="), text("pos")),
-          F.concat(F.lit("ref="), "ref_allele"), "allele", text(x)).write.text(path)
+    write_raw(placed(spark, sf), path)
     out = rd.read_allele_preds_raw(spark, path)
     return out.withColumns({c: F.round(c, 9) for c in ("log2FC", "FC_to_ref")})
 
 
+@check("ingest_raw_preds", f"""with {PLACED}, x as (select *, case when allele = 'A' then 0 - v else v * ascii(allele)
+    end as x from p), ref as (select s, pos, max(x) as r from x where allele = ref_allele group by s, pos)
+    select chrom, s as cre_start, s + 238 as cre_end, chrom as bin_chrom, s - s % 3 as bin_start, s + 300 as bin_end,
+    pos as allele_pos, ref_allele, allele, round(x, 9) as effect, round(x - r, 9) as "log2FC"
+    from x join ref using (s, pos) where allele <> ref_allele""")
+def _(spark, sf):
+    source, target = scratch_path(spark, "raw"), scratch_path(spark, "raw-preds")
+    write_raw(placed(spark, sf), source)
+    rd.ingest_allele_preds(spark, source, target, form="raw")
+    out = tb.read_table(spark, target)
+    return out.withColumns({c: F.round(c, 9) for c in ("effect", "log2FC")})
+
+
 @check("allele_preds_spdi", f"""with {PLACED} select chrom, s as cre_start, s + 238 as cre_end,
     v as log2FC, pos as allele_pos, ref_allele, allele from p""")
 def _(spark, sf):
@@ -357,26 +373,22 @@ def _(spark, sf):
     return rd.read_bayes_counts(spark, path).withColumn("naive_theta", F.round("naive_theta", 9))
 
 
-@check("kmer_weights", sql("part_seqs", "") + ", " + KMERS + """ select kmer, max(weight) as weight
-    from (select kmer, weight from model union all
-    select reverse(translate(kmer, 'ACGT', 'TGCA')), weight from model where kmer >
-    reverse(translate(kmer, 'ACGT', 'TGCA')) and reverse(translate(kmer, 'ACGT', 'TGCA'))
-    not in (select kmer from model)
-    union all select reverse(translate(kmer, 'ACGT', 'TGCA')), weight from model where kmer <=
-    reverse(translate(kmer, 'ACGT', 'TGCA')) and reverse(translate(kmer, 'ACGT', 'TGCA'))
-    not in (select kmer from model)) group by kmer""")
+# Three files, later ones repeat k-mers with other weights: of all lines that name a k-mer or its
+# reverse complement the last one counts.
+@check("kmer_weights", sql("part_seqs", "") + ", " + KMERS + """, rows as (select 1 as file, kmer, weight from model
+    union all select 2, kmer, weight + 1000 from model where weight::bigint % 2 = 0 union all
+    select 3, kmer, 0 - weight from model where weight::bigint % 3 = 0),
+    named as (select kmer as name, file, kmer, 0 as turn, weight from rows union all
+    select reverse(translate(kmer, 'ACGT', 'TGCA')), file, kmer, 1, weight from rows)
+    select name as kmer, weight from (select *, row_number() over (partition by name
+    order by file desc, kmer desc, turn desc) as i from named) where i = 1""")
 def _(spark, sf):
-    path = scratch_path(spark, "weights")
-    weights = model(spark, sf)
-    # keep one weight per k-mer: lines of reverse complements that have their own line are
-    # followed by that line
-    both = weights.join(weights.select(revcomp(F.col("kmer")).alias("kmer"),
-                                       F.col("weight").alias("other")), "kmer", "left")
-    first = both.filter(F.col("other").isNull())
-    first.select(F.concat_ws("  ", "kmer", text("weight")).alias("value")).write.text(path)
-    single = rd.read_kmer_weights(spark, path)
-    rest = both.filter(F.col("other").isNotNull()).select("kmer", "weight")
-    return single.join(rest.select("kmer"), "kmer", "left_anti").unionByName(rest)
+    path, w = scratch_path(spark, "weights"), F.col("weight")
+    m = model(spark, sf)
+    for i, part in enumerate((m, m.filter(w % 2 == 0).withColumn("weight", w + 1000),
+                              m.filter(w % 3 == 0).withColumn("weight", 0 - w)), 1):
+        part.orderBy("kmer").select(F.concat_ws("  ", "kmer", text("weight")).alias("value")).write.text(f"{path}/{i}")
+    return rd.read_kmer_weights(spark, f"{path}/*")
 
 
 @check("cv_preds", """select event_id as index, value as "true", value / 2 as predicted from events""")

@@ -286,6 +286,12 @@ def _(spark, sf):
     return va.check_predictions(alleles(spark, sf))
 
 
+@check("mismatch_counts", sql(MATCHED, """select region_type, count(*) as total, count(pred_ref_allele) as compared,
+    count(*) filter (ref_allele <> pred_ref_allele) as mismatches from matched group by region_type"""))
+def _(spark, sf):
+    return va.mismatch_counts(matched(spark, sf), ["region_type"])
+
+
 @check("effect_ratio", """select l_orderkey, l_linenumber, l_partkey,
     round((input_rep1 + input_rep2) / 2, 6) as avg_input_ref,
     round(least((input_rep1 + input_rep2) / 2, input_rep2, ob, oc), 6) as min_avg_count,

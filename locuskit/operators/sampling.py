@@ -24,7 +24,8 @@ def with_row_number(df: DataFrame, start_at: int = 0, name: str = "index", by_fi
     ``df`` must have fixed partitions: a plain file scan with row-wise expressions, or a
     checkpointed frame. Spark deals out files by size, so for several files use ``by_file``,
     which numbers by path and place in the file and needs a file scan. Only the sizes of
-    partitions and file pieces are aggregated.
+    partitions and file pieces are aggregated. They come back to the rows as one array, two
+    numbers for each piece of the scan, looked up by partition: no row is joined or moved.
     """
     tagged = df.withColumns({"_part": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
     piece = ["_part"]
@@ -33,12 +34,18 @@ def with_row_number(df: DataFrame, start_at: int = 0, name: str = "index", by_fi
                                      "_block": F.col("_metadata.file_block_start")})
         piece = ["_path", "_block", "_part"]
     sizes = tagged.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    offsets = sizes.select(*piece, "_first", F.coalesce(F.sum("_n").over(
+    offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(
         W.orderBy(*piece).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    # one row per piece of the scan; Spark broadcasts it if it is small
-    return (tagged.join(offsets, piece)
-            .select((F.col("_before") + F.col("_mid") - F.col("_first") + start_at).alias(name),
-                    *df.columns))
+    own = offsets.groupBy("_part").agg(F.sort_array(F.collect_list(F.struct("_first", "_before"))).alias("_pieces"))
+    every = own.agg(F.max("_part").alias("m")).select(F.explode(F.sequence(F.lit(0), "m")).alias("_part"))
+    table = every.join(own, "_part", "left").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_part", F.coalesce("_pieces", F.array()).alias("_pieces")))),
+        lambda x: x["_pieces"])).scalar()
+    # a partition packs several pieces of small files: the last one that begins at or before the row
+    here = F.element_at(F.filter("_mine", lambda x: x["_first"] <= F.col("_mid")), -1)
+    return (df.withColumns({"_part": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+            .withColumn("_mine", F.get(table, F.col("_part"))).withColumn("_here", here)
+            .select((F.col("_here._before") + F.col("_mid") - F.col("_here._first") + start_at).alias(name), *df.columns))
 
 
 def thin_class(df: DataFrame, label: str, thinned: object, other: object, prob: float, key: str,
@@ -147,11 +154,15 @@ def weighted_sample(df: DataFrame, weight: str, frac: float, key: str, seed: int
 
     The earliest exponential arrivals are such a sample, so only a cutoff is needed. Rows of
     zero, negative or NULL weight count as rows but are never drawn; fewer weighted rows than
-    wanted is an error, and without any the sample is empty. ``key`` settles ties.
+    wanted is an error. ``key`` settles ties.
     """
-    timed = df.filter(F.col(weight) > 0).withColumn("_t", arrival(F.col(weight), F.col(key), seed))
-    wanted = df.agg(F.floor(F.count(F.lit(1)) * F.lit(frac)).alias("k")).scalar()
-    return take_first(timed, _enough(wanted), ["_t", key], True).drop("_t")
+    size = df.agg(F.struct(F.floor(F.count(F.lit(1)) * F.lit(frac)).alias("k"),
+                           F.count_if(F.col(weight) > 0).alias("w")).alias("s")).scalar()
+    # asked of every row, so that it is noticed where no row has a weight
+    some = F.when(size["k"] > size["w"], F.raise_error(
+        F.lit("fewer rows with a weight than the sample needs")).cast("boolean")).otherwise(F.col(weight) > 0)
+    timed = df.filter(some).withColumn("_t", arrival(F.col(weight), F.col(key), seed))
+    return take_first(timed, size["k"], ["_t", key], True).drop("_t")
 
 
 def sample_report(df: DataFrame, positive: Column, methods: dict[str, str],

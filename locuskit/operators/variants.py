@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import log2_or_null, ratio, row_mean, row_min, single_base
@@ -143,6 +144,13 @@ def ref_mismatches(df: DataFrame, ref: str = "ref_allele", pred_ref: str = "pred
     return df.filter(F.col(ref) != F.col(pred_ref))
 
 
+def mismatch_counts(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
+    """Rows, compared rows and mismatches per model; a NULL allele on either side compares nothing."""
+    differs = F.col("ref_allele") != F.col("pred_ref_allele")
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), F.count(differs).alias("compared"),
+                               F.count_if(differs).alias("mismatches"))
+
+
 def mismatch_positions(df: DataFrame, split: int = 5) -> DataFrame:
     """Mismatching positions per region, marked as few (<= split) or many."""
     return (ref_mismatches(df).groupBy("region_type", "region")
@@ -159,15 +167,11 @@ def relative_to_reference(df: DataFrame, effect: str = "log2FC", out: str = "FC_
                                                  "bin_start", "bin_end", "allele_pos")) -> DataFrame:
     """Effect minus the effect of the reference allele at the same position.
 
-    The reference rows are collapsed to one per position and joined back, so a position
-    with any number of rows stays spread over tasks.
+    One shuffle and one read: the position's rows, one for each allele and copy of it, are
+    put side by side. Positions without a reference row get NULL.
     """
-    is_ref = F.col("allele") == F.col("ref_allele")
-    refs = (df.filter(is_ref).groupBy(*keys).agg(F.max(effect).alias("_ref"))
-            .select(*[F.col(k).alias(f"_{k}") for k in keys], "_ref"))
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-    return (df.join(refs, on, "left")
-            .select(*df.columns, (F.col(effect) - F.col("_ref")).alias(out)))
+    ref = F.max(F.when(F.col("allele") == F.col("ref_allele"), F.col(effect))).over(W.partitionBy(*keys))
+    return df.select(*df.columns, (F.col(effect) - ref).alias(out))
 
 
 def allele_profile(df: DataFrame, chrom: str, start: int, with_reference: bool = True) -> DataFrame:
@@ -219,44 +223,38 @@ def report_tail(report: DataFrame, above: float | None = None, below: float | No
 def check_predictions(preds: DataFrame) -> DataFrame:
     """Violations of the assumptions about prediction tables: (rule, chrom, start, end, detail).
 
-    Rules about single rows share one pass. Rules about groups count distinct positions or
-    bins in rows that were collapsed to (element, bin, position) before.
+    Every row says once what it means for each rule. Equal statements are counted in the task
+    that makes them, so what is shuffled is distinct (rule, group, value), and a second sum gives
+    the number of values of each group: one read and two shuffles for all rules together. A rule
+    about single rows reports each of them, a rule about groups each group.
     """
-    cre = ["cre_chrom", "cre_start", "cre_end"]
-    bin_ = ["bin_chrom", "bin_start", "bin_end"]
+    cre, bin_ = ["cre_chrom", "cre_start", "cre_end"], ["bin_chrom", "bin_start", "bin_end"]
     cre_len, bin_len = F.col("cre_end") - F.col("cre_start"), F.col("bin_end") - F.col("bin_start")
     cre_mid = F.floor(F.col("cre_start") / 2 + F.col("cre_end") / 2)
     bin_mid = F.floor(F.col("bin_start") / 2 + F.col("bin_end") / 2)
-    pos = F.col("allele_pos")
-
-    row_rules = {
-        "position_inside_bin": ((pos < F.col("bin_start")) | (pos >= F.col("bin_end")), pos),
-        "bin_overlaps_element": ((F.col("bin_chrom") != F.col("cre_chrom"))
-                                 | (F.col("bin_start") >= F.col("cre_end"))
-                                 | (F.col("bin_end") <= F.col("cre_start")), F.col("bin_start")),
-        "same_centre": (bin_mid != cre_mid, bin_mid - cre_mid)}
-    broken = F.array_compact(F.array(*[
-        F.when(test, F.struct(F.lit(rule).alias("rule"), detail.cast("bigint").alias("detail")))
-        for rule, (test, detail) in row_rules.items()]))
-    by_row = (preds.select(*cre, F.explode(broken).alias("_b"))
-              .select("_b.rule", *[F.col(c).alias(a) for c, a in zip(cre, ("chrom", "start", "end"))],
-                      "_b.detail"))
-
-    def grouped(rows: DataFrame, rule: str, keys: Sequence[str], what: str, expected: Column,
-                too: str = "differs") -> DataFrame:
-        n = F.col("detail")
-        counts = rows.select(*keys, what).distinct().groupBy(*keys).agg(F.count(what).alias("detail"))
+    pos, none = F.col("allele_pos"), F.lit(None)
+
+    def said(rule: str, keys: Sequence[str], shown: Column = none, value: Column = none, expected: Column = none) -> Column:
         chrom, start, end = [F.col(k) for k in (*keys, keys[-1])[:3]]
-        return (counts.filter(n > expected if too == "many" else n != expected)
-                .select(F.lit(rule).alias("rule"), chrom.alias("chrom"), start.alias("start"),
-                        end.alias("end"), "detail"))
-
-    places = preds.select(*cre, *bin_, "allele_pos").distinct()
-    parts = [by_row,
-             grouped(places, "one_bin_per_element", cre, "bin_start", F.lit(1), "many"),
-             grouped(places.filter(cre_len < bin_len), "all_positions_of_element", cre, "allele_pos",
-                     cre_len),
-             grouped(places.filter(cre_len >= bin_len), "all_positions_of_bin", bin_, "allele_pos",
-                     bin_len),
-             grouped(preds, "four_alleles", ["bin_chrom", "allele_pos"], "allele", F.lit(4))]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        return F.struct(F.lit(rule).alias("rule"), chrom.alias("chrom"), start.alias("start"), end.alias("end"),
+                        shown.cast("bigint").alias("shown"), value.cast("string").alias("value"),
+                        expected.cast("bigint").alias("expected"))
+
+    statements = F.array_compact(F.array(
+        F.when((pos < F.col("bin_start")) | (pos >= F.col("bin_end")), said("position_inside_bin", cre, pos)),
+        F.when((F.col("bin_chrom") != F.col("cre_chrom")) | (F.col("bin_start") >= F.col("cre_end"))
+               | (F.col("bin_end") <= F.col("cre_start")), said("bin_overlaps_element", cre, F.col("bin_start"))),
+        F.when(bin_mid != cre_mid, said("same_centre", cre, bin_mid - cre_mid)),
+        said("one_bin_per_element", cre, value=F.col("bin_start"), expected=F.lit(1)),
+        F.when(cre_len < bin_len, said("all_positions_of_element", cre, value=pos, expected=cre_len)),
+        F.when(cre_len >= bin_len, said("all_positions_of_bin", bin_, value=pos, expected=bin_len)),
+        said("four_alleles", ["bin_chrom", "allele_pos"], value=F.col("allele"), expected=F.lit(4))))
+    group = ["rule", "chrom", "start", "end", "shown", "expected"]
+    distinct = (preds.select(F.explode(statements).alias("_s")).select("_s.*")
+                .groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n")))
+    counts = distinct.groupBy(*group).agg(F.count("value").alias("detail"), F.sum("n").alias("n"))
+    single, n = F.col("shown").isNotNull(), F.col("detail")
+    broken = F.when(F.col("rule") == "one_bin_per_element", n > F.col("expected")).otherwise(n != F.col("expected"))
+    copies = F.when(single, F.col("n")).otherwise(1).cast("int")
+    return (counts.filter(single | broken).select("rule", "chrom", "start", "end", F.explode(
+        F.array_repeat(F.coalesce("shown", n), copies)).alias("detail")))

@@ -16,6 +16,7 @@ from locuskit.functions import (columns_matching, ln_to_log2, renamed_by_pattern
                                 single_base, text_or_null)
 from locuskit.operators.sampling import with_row_number
 from locuskit.operators.variants import count_averages, relative_to_reference
+from locuskit.session import shuffle_partitions
 from locuskit.sources.tables import write_table
 
 # Header and file name patterns, and column names of the input files
@@ -43,6 +44,13 @@ def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in types.items() if c in df.columns})
 
 
+def spread_compressed(df: DataFrame) -> DataFrame:
+    """Rows of gzip files dealt to all tasks: such a file cannot be split, so one task reads it whole."""
+    if not any(f.endswith(".gz") for f in df.inputFiles()):
+        return df
+    return df.repartition(shuffle_partitions(df))
+
+
 def _header_text(spark: SparkSession, path: str | list[str], sep: str = "\t", **options) -> DataFrame:
     """All columns as text, named by the header; empty and ``NA`` cells are NULL."""
     fixed = {"header": True, "sep": sep, "inferSchema": False, "nullValue": "NA"}
@@ -55,13 +63,13 @@ def read_bins(spark: SparkSession, path: str, start_at: int = 0) -> DataFrame:
     named = raw.select(*renamed_by_pattern(raw, BIN_RULES))
     types = {"start": "bigint", "end": "bigint", "log2FC": "double"}
     types |= {c: "bigint" for c in columns_matching(named, r"_rep")}
-    return with_row_number(_typed(named, types), start_at, by_file=True)
+    return spread_compressed(with_row_number(_typed(named, types), start_at, by_file=True))
 
 
 def read_motif_scan(spark: SparkSession, paths: str | list[str], q_cutoff: float = 0.1) -> DataFrame:
     """Motif matches up to a q-value from one or many scan files."""
     rows = _typed(_header_text(spark, paths), SCAN_TYPES)
-    return rows.filter(F.col("q-value") <= q_cutoff).withColumnsRenamed(SCAN_NAMES)
+    return spread_compressed(rows.filter(F.col("q-value") <= q_cutoff)).withColumnsRenamed(SCAN_NAMES)
 
 
 def ingest_motif_scan(spark: SparkSession, paths: str | list[str], path: str,
@@ -139,7 +147,7 @@ def read_mpra(spark: SparkSession, folder: str, single_base_only: bool = True) -
     """
     raw = (spark.read.options(header=True, sep="\t", nullValue="NA").schema(MPRA_SCHEMA)
            .csv(f"{folder}/*/*.tsv"))
-    rows = raw.withColumns(_from_path())
+    rows = spread_compressed(raw.withColumns(_from_path()))
     if single_base_only:
         rows = rows.filter(single_base(F.col("Ref"), F.col("Alt")))
     named = rows.select(
@@ -191,26 +199,28 @@ def read_bayes_calls(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return split_variant_id(spark.read.option("sep", "\t").schema(CALLS_SCHEMA).csv(path))
 
 
-def _one_value(df: DataFrame, column: Column, what: str) -> int:
-    found = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    if found["lo"] is None or found["lo"] != found["hi"]:
-        raise ValueError(f"expected one number of {what}, got {found['lo']} to {found['hi']}")
-    return found["lo"]
+def _one_number(lo: int | None, hi: int | None, what: str) -> int:
+    if lo is None or lo != hi:
+        raise ValueError(f"expected one number of {what}, got {lo} to {hi}")
+    return lo
 
 
 def read_bayes_counts(spark: SparkSession, path: str | list[str], averages: bool = True) -> DataFrame:
     """Replicate counts; the number of columns follows the replicate numbers in the file.
 
-    Both numbers must be the same in all rows (one aggregate each, run here).
+    Both numbers must be the same in all rows (one aggregate, run here).
     """
     cells = spark.read.text(path).select(F.split("value", "\t").alias("c"))
-    number = lambda i: F.nullif(F.get("c", F.lit(i)), F.lit("NA")).cast("bigint")
-    n_in = _one_value(cells, number(1), "inputs")
-    n_out = _one_value(cells, number(2 + 2 * n_in), "outputs")
+    number = lambda i: F.nullif(F.get("c", i), F.lit("NA")).cast("bigint")
+    inputs = number(F.lit(1))
+    found = cells.select(inputs.alias("i"), number((2 + 2 * inputs).cast("int")).alias("o")).agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("i", "o") for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    n_in = _one_number(found["lo_i"], found["hi_i"], "inputs")
+    n_out = _one_number(found["lo_o"], found["hi_o"], "outputs")
     names = (["n_inputs"] + [f"input{i}_{a}" for i in range(1, n_in + 1) for a in ("ref", "alt")]
              + ["n_outputs"] + [f"output{i}_{a}" for i in range(1, n_out + 1) for a in ("ref", "alt")])
     rows = split_variant_id(cells.select(F.get("c", F.lit(0)).alias("variantID"),
-                                         *[number(i + 1).alias(c) for i, c in enumerate(names)]))
+                                         *[number(F.lit(i + 1)).alias(c) for i, c in enumerate(names)]))
     if not averages:
         return rows
     groups = {f"{side}_{a}": columns_matching(rows, f"^{side}[0-9]+_{a}$")
@@ -219,8 +229,11 @@ def read_bayes_counts(spark: SparkSession, path: str | list[str], averages: bool
 
 
 def read_kmer_weights(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(kmer, weight) with each k-mer's upper-case reverse complement; the later line wins."""
-    lines = with_row_number(spark.read.text(path).filter(F.trim("value") != ""), name="line")
+    """(kmer, weight) with each k-mer's upper-case reverse complement; the later line wins.
+
+    Of several files the one later by path wins. ``path`` may be a list or a pattern.
+    """
+    lines = spread_compressed(with_row_number(spark.read.text(path).filter(F.trim("value") != ""), name="line", by_file=True))
     cells = F.split(F.trim("value"), r"\s+")
     parsed = lines.select("line", cells[0].alias("kmer"), cells[1].cast("double").alias("weight"))
     both = parsed.select("weight", F.explode(F.array(

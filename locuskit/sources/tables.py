@@ -10,15 +10,25 @@ from pyspark.sql import types as T
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
-                existing: str = "overwrite_or_ignore", compression: str = "snappy") -> None:
+                existing: str = "overwrite_or_ignore", compression: str = "snappy",
+                sort_by: Sequence[str] = (), most_rows: int = 0) -> None:
     """Write a plain or partitioned Parquet table.
 
     ``overwrite_or_ignore`` adds files beside those of other writes, ``delete_matching``
-    replaces just the partitions that occur in ``df``, ``overwrite`` replaces all. Rows of
-    a partition come from several tasks, so a chromosome with a third of all rows is
-    written in parallel.
+    replaces just the partitions that occur in ``df``, ``overwrite`` replaces all.
+
+    A partitioned table is rebalanced by its partition columns first: small partitions share a
+    task, so that each has one file, and one with a third of all rows is split into tasks of the
+    advisory size, so that it has several. ``sort_by`` orders the rows of a file, which lets
+    readers skip row groups by their statistics. ``most_rows`` bounds the rows of a file.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *sort_by)
+    elif sort_by:
+        df = df.sortWithinPartitions(*sort_by)
     writer = df.write.option("compression", compression)
+    if most_rows:
+        writer = writer.option("maxRecordsPerFile", most_rows)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if existing == "overwrite_or_ignore":

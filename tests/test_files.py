@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from locuskit.operators import placement as pl
 from locuskit.operators import sequences as se
 from locuskit.operators.sampling import with_row_number
 from locuskit.plans import motif_activity, region_gaps, variant_scoring
@@ -201,3 +202,125 @@ def test_plans(spark, tmp_path, rows):
     assert rows(report, "subset", "mcc") == [("both", 1.0), ("down", 1.0), ("up", 1.0)]
     lists = region_gaps.region_descriptors(spark, mpra, preds.filter("allele_pos in (2, 3)"), f"{tmp_path}/gaps")
     assert rows(lists["all_missing"], "region_id") == [("c:1-2",), ("c:4-5",)]
+
+
+def test_row_numbers_over_files_of_any_size(spark, tmp_path):
+    import random
+    r, want = random.Random(1), []
+    for name, n in (("b", 5), ("a", 7000), ("c", 1), ("d", 0), ("e", 300)):
+        text = [f"{name}{i}\t{r.random()}" for i in range(n)]
+        (tmp_path / f"{name}.txt").write_text("".join(x + "\n" for x in text))
+    for name, n in (("a", 7000), ("b", 5), ("c", 1), ("e", 300)):
+        want += [f"{name}{i}" for i in range(n)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = with_row_number(spark.read.text(str(tmp_path)).select(F.split("value", "\t")[0].alias("v")), by_file=True)
+        got = sorted((x["index"], x["v"]) for x in df.collect())
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == list(enumerate(want))
+    assert "Join" not in plan.split("scalar-subquery")[0]
+
+
+def test_later_file_wins_over_earlier(spark, tmp_path, rows):
+    for name, lines in (("2", "AC 5\nGT 6\n"), ("1", "AC 1\nCC 2\n"), ("3", "\nCC 9\n")):
+        (tmp_path / f"{name}.txt").write_text(lines)
+    assert rows(rd.read_kmer_weights(spark, str(tmp_path))) == [("AC", 6.0), ("CC", 9.0), ("GG", 9.0), ("GT", 6.0)]
+
+
+def test_gzip_is_dealt_to_all_tasks(spark, tmp_path):
+    import gzip
+    with gzip.open(tmp_path / "scan.tsv.gz", "wt") as f:
+        f.write("motif_id\tsequence_name\tstart\tstop\tp-value\tq-value\n")
+        f.writelines(f"m{i % 5}\tchr1\t{i}\t{i + 8}\t0.001\t0.01\n" for i in range(5000))
+    got = rd.read_motif_scan(spark, str(tmp_path / "scan.tsv.gz"))
+    assert got.rdd.getNumPartitions() == 8 and got.count() == 5000
+
+
+def test_partitioned_files_follow_their_size(spark, tmp_path):
+    """One with most of the rows has several files, a small one that shares no shuffle partition with it one."""
+    df = spark.range(200_000).select(
+        F.when(F.col("id") % 20 > 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 7)).alias("chrom"),
+        F.col("id").alias("start"), F.rand(1).alias("x"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        tb.write_table(df.repartition(16), f"{tmp_path}/t", ["chrom"], sort_by=["start"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "t").iterdir() if p.is_dir()}
+    hot = files.pop("chrom=hot")
+    assert 1 < hot < 16 and all(n in (1, hot) for n in files.values()) and sum(files.values()) < 16
+    assert tb.read_table(spark, f"{tmp_path}/t").count() == 200_000
+    tb.write_table(df.limit(1000), f"{tmp_path}/u", ["chrom"], most_rows=100)
+    import pyarrow.parquet as pq
+    assert max(pq.ParquetFile(p).metadata.num_rows for p in (tmp_path / "u").rglob("*.parquet")) <= 100
+
+
+def test_chains_with_inserted_deleted_and_repeated_letters(spark):
+    """Blocks rise on both sides, never overlap, and hold equal letters, on either strand."""
+    import random
+    r = random.Random(12)
+    flip = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    targets, queries = [], []
+    for n in range(60):
+        t = "".join(r.choice("ACGT") for _ in range(400))
+        unit = t[50:70]
+        t = t[:200] + unit * (n % 3) + t[200:]
+        q = t
+        for _ in range(3):
+            at, kind = r.randrange(40, len(q) - 60), r.randrange(3)
+            q = (q[:at] + q[at + r.randrange(1, 30):] if kind == 0 else
+                 q[:at] + "".join(r.choice("ACGT") for _ in range(r.randrange(1, 30))) + q[at:] if kind == 1 else
+                 q[:at] + q[at - 15:at] + q[at:])
+        targets.append((n, t))
+        queries.append((n, flip(q) if n % 2 else q))
+    made = {n: (flip(q) if n % 2 else q) for n, q in queries}
+    blocks = pl.place_by_kmers(spark.createDataFrame(queries, "region int, seq string"),
+                               spark.createDataFrame(targets, "region int, seq string")).collect()
+    held = {}
+    for b in sorted(blocks, key=lambda b: (b.region, b.block)):
+        assert b.strand == (-1 if b.region % 2 else 1)
+        held.setdefault(b.region, []).append(b)
+    assert len(held) == 60
+    for n, own in held.items():
+        t, q = dict(targets)[n], made[n]
+        for a, b in zip(own, own[1:]):
+            assert a.t_end <= b.t_start and a.q_end <= b.q_start
+        assert all(t[b.t_start:b.t_end] == q[b.q_start:b.q_end] for b in own)
+        assert sum(b.t_end - b.t_start for b in own) >= 0.75 * min(len(t), len(q))
+
+
+def test_heaviest_chain_equals_brute_force():
+    import random
+    r = random.Random(2)
+    for _ in range(200):
+        t = r.sample(range(30), r.randrange(12))
+        best = [1] * len(t)
+        for i in range(len(t)):
+            best[i] = 1 + max([best[j] for j in range(i) if t[j] < t[i]], default=0)
+        chain = pl.rising_chain(t)
+        assert len(chain) == max(best, default=0)
+        assert all(a < b and t[a] < t[b] for a, b in zip(chain, chain[1:]))
+
+
+def test_packed_scores_equal_plain_ones(spark):
+    """Two models at once, letters without weight, against sums over all k-mers."""
+    import random
+    r, k = random.Random(6), 4
+    weights = [(m, "".join(w), r.choice([-2.0, 0.5, 1.0, 3.0])) for m in "xy" for w in
+               {tuple(r.choice("ACGTN") for _ in range(k)) for _ in range(300)}]
+    seqs = [(i, m, "".join(r.choice("ACGTACGTNa") for _ in range(r.randrange(7, 30)))) for i in range(12) for m in "xy"]
+    got = {tuple(x)[:5]: x.score for x in se.delta_kmer_score(
+        spark.createDataFrame(seqs, "id int, m string, seq string"), spark.createDataFrame(weights, "m string, kmer string, weight double"),
+        k, ["id", "m"], missing="zero", model=["m"]).collect()}
+    table = {(m, w): x for m, w, x in weights}
+    score = lambda m, s: sum(table.get((m, s[i:i + k]), 0.0) for i in range(len(s) - k + 1))
+    want = {}
+    for i, m, s in seqs:
+        for p in range(k - 1, len(s) - k + 1):
+            for b in "ACGT":
+                if b != s[p]:
+                    window = s[p - k + 1:p + k]
+                    want[i, m, p, s[p], b] = score(m, window[:k - 1] + b + window[k:]) - score(m, window)
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)

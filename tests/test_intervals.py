@@ -1,13 +1,16 @@
 """Bucketed joins against brute force, for any width and for hot buckets."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from locuskit.operators import coverage as co
 from locuskit.operators import intervals as iv
-from locuskit.operators.joins import add_split_flags, infill, semi_by_list, skew_join
+from locuskit.operators.band import range_join
+from locuskit.operators.joins import add_split_flags, infill, partitioned_join, semi_by_list, skew_join
+from locuskit.sources import colocated as cl
 
 
 def make(spark, seed, n=120, hot=False):
@@ -105,3 +108,90 @@ def test_shared_folder_is_read_from_the_session(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(f"{tmp_path}/shared")
     assert f"{tmp_path}/shared" in scratch_path(spark, "x")
     assert cut_lineage(spark.range(5)).count() == 5
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_nested_bins_for_any_length(spark, rows, hot):
+    r = random.Random(8)
+    spans = [("a" if r.random() < 0.6 else "b", s := r.randrange(-10 ** 6, 10 ** 8), s + 10 ** r.randrange(9)) for _ in range(150)]
+    points = [("a" if r.random() < 0.6 else "b", 77 if hot and r.random() < 0.4 else r.randrange(-10 ** 6, 2 * 10 ** 8)) for _ in range(400)]
+    s = spark.createDataFrame(spans, "chrom string, lo long, hi long")
+    p = spark.createDataFrame(points, "chrom string, at long")
+    got = iv.bucketed_join(s, p, F.col("lo"), F.col("hi"), F.col("at")).select("l.chrom", "l.lo", "l.hi", "r.at")
+    assert rows(got) == sorted(((c, lo, hi, at) for c, lo, hi in spans for d, at in points if c == d and lo <= at <= hi), key=repr)
+    most = iv.interval_bins(s.distinct(), F.col("lo"), F.col("hi")).groupBy("chrom", "lo", "hi").count().agg(F.max("count")).first()[0]
+    assert most <= 17
+
+
+def test_positions_look_only_into_used_levels(spark):
+    s = spark.createDataFrame([("a", 5, 25), ("a", 9, 3)], "chrom string, lo long, hi long")
+    p = spark.createDataFrame([("a", 10)], "chrom string, at long")
+    used = s.filter("hi >= lo").agg(F.collect_set(iv._level(F.col("hi") - F.col("lo"), iv.LEVELS))).scalar()
+    assert iv.position_bins(p, F.col("at"), used=used).count() == 1
+    assert iv.position_bins(p, F.col("at")).count() == len(iv.LEVELS)
+
+
+@pytest.mark.parametrize("piece_rows", [3, 40, 10_000])
+def test_range_join_with_hot_values(spark, rows, piece_rows):
+    r = random.Random(piece_rows)
+    left = [("a" if r.random() < 0.7 else r.choice(["b", None]), i, lo := r.choice([1.5, r.gauss(0, 5)]), lo + r.choice([-1, 0, 0.5, 30])) for i in range(150)]
+    right = [("a" if r.random() < 0.7 else r.choice(["b", None]), i, r.choice([1.5, 1.5, r.gauss(0, 5), None])) for i in range(150)]
+    a = spark.createDataFrame(left, "k string, i long, lo double, hi double")
+    b = spark.createDataFrame(right, "k string, j long, x double")
+    got = range_join(a, b, F.col("lo"), F.col("hi"), F.col("x"), ["k"], F.col("l.i") != F.col("r.j"), piece_rows)
+    assert rows(got, "l.i", "r.j") == sorted(((i, j) for k, i, lo, hi in left for m, j, x in right
+                                             if k is not None and k == m and x is not None and lo <= x <= hi and i != j), key=repr)
+    # the parts of a piece stay near the stated size
+    parts = got.groupBy("l.k", "l._piece", "l._sl", "l._sr").agg(F.count_distinct("l.i").alias("m"), F.count_distinct("r.j").alias("n"))
+    top = parts.agg(F.max("m"), F.max("n")).first()
+    assert max(top) <= 3 * piece_rows + 4
+
+
+def test_range_form_of_the_partitioned_join(spark, rows):
+    a = spark.createDataFrame([("p", 1.0, 2.0), (None, 0.0, 9.0), ("q", 0.0, 1.0)], "k string, lo double, hi double")
+    b = spark.createDataFrame([("p", 1.5), ("q", 1.5), ("p", 2.5)], "k string, x double")
+    out = partitioned_join(a, b, "k", None, [F.col("l.k"), F.col("r.x")], between=(F.col("lo"), F.col("hi"), F.col("x")))
+    assert rows(out) == [("p", 1.5)]
+    free = partitioned_join(a, b.drop("k"), "k", None, [F.col("l.k"), F.col("r.x")], between=(F.col("lo"), F.col("hi"), F.col("x")))
+    assert rows(free) == [("p", 1.5), ("p", 1.5)]
+
+
+def sweep(stretches, lo, hi):
+    covered = {p for a, b in stretches for p in range(a, b + 1)}
+    free = [p for p in range(lo, hi + 1) if p not in covered]
+    starts = [p for p in free if p - 1 not in free]
+    return [f"c:{p}-{next(q for q in range(p, hi + 2) if q not in free)}" for p in starts]
+
+
+def test_missing_parts_equal_single_positions(spark, rows, monkeypatch):
+    monkeypatch.setattr(co, "STRETCH", 16)  # many parts, with nested, tied and touching stretches
+    r = random.Random(3)
+    data, want = [], []
+    for n in range(40):
+        lo, hi = 100 * n, 100 * n + 79
+        some = [(a := r.randrange(lo, hi), min(hi, a + r.choice([0, 1, 5, 40]))) for _ in range(r.randrange(1, 7))]
+        some += some[:1]
+        data += [("E", f"r{n}", "c", lo, hi, 80, a, b, a, b, b - a + 1, 0.0) for a, b in some]
+        want += [(f"r{n}", g) for g in sweep(some, lo, hi)]
+    c = spark.createDataFrame(data, SCHEMA)
+    assert rows(co.missing_parts(c), "region", "region_id") == sorted(want, key=repr)
+    inner = [(x, g) for x, g in want if int(g.split(":")[1].split("-")[0]) % 100 and int(g.split("-")[1]) % 100 != 80]
+    assert rows(co.gaps_between(c), "region", "region_id") == sorted(inner, key=repr)
+    plan = co.missing_parts(c)._jdf.queryExecution().executedPlan().toString()
+    assert len(set(re.findall(r"Exchange hashpartitioning\([^)]*\)[^,]*, \[plan_id=(\d+)", plan))) <= 4
+
+
+def test_stored_tables_join_without_an_exchange(spark, rows, tmp_path):
+    spans, points, s, p = make(spark, 5, hot=True)
+    a = cl.store_intervals(s, "colocated_a", f"{tmp_path}/a", F.col("lo"), F.col("hi"), buckets=4)
+    b = cl.store_positions(p, "colocated_b", f"{tmp_path}/b", F.col("at"), buckets=4)
+    out = cl.stored_join(a, b).select("l.chrom", "l.lo", "l.hi", "r.at")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out) == sorted(((c, lo, hi, at) for c, lo, hi in spans for d, at in points if c == d and lo <= at <= hi), key=repr)
+    cl.drop_stored(spark, "colocated_a", "colocated_b")
+
+
+def test_absent_split_id_and_gaps_of_one_region(spark):
+    bins = spark.createDataFrame([(1, "c", 0, 9)], "index long, chrom string, start long, end long")
+    with pytest.raises(Exception, match="no bin for split"):
+        add_split_flags(bins, {"train": bins.withColumn("index", F.lit(7).cast("long"))}).collect()

@@ -13,7 +13,7 @@ from locuskit.operators import sampling as sa
 from locuskit.operators import stats as st
 from locuskit.operators import summaries as su
 from locuskit.operators import variants as va
-from locuskit.operators.ordered import exact_quantiles, running_totals, take_first, value_counts
+from locuskit.operators.ordered import exact_quantiles, running_totals, take_first, take_first_each, value_counts
 
 
 @pytest.fixture(scope="module")
@@ -192,3 +192,69 @@ def test_relative_effect_by_key_in_any_order(spark, rows):
     df = spark.createDataFrame(data, "c string, allele_pos long, ref_allele string, allele string, log2FC double")
     out = va.relative_to_reference(df, keys=["c", "allele_pos"])
     assert rows(out, "allele", "FC_to_ref") == [("A", 0.0), ("C", 2.0), ("T", None)]
+
+
+@pytest.mark.parametrize("k", [1, 40, 700])
+def test_top_of_each_group_by_cutoff(spark, k):
+    """A hot group, many ties with the cutoff, a NULL group and NULL values."""
+    r = random.Random(k)
+    data = [(r.choice(["hot"] * 8 + ["b", None]), r.choice([3.0, 3.0, None, r.gauss(0, 4)]), i) for i in range(1500)]
+    df = spark.createDataFrame(data, "g string, v double, id long")
+    got = sorted(x.id for x in take_first_each(df, k, ["g"], "v", "id").collect())
+    want = []
+    for g in ("hot", "b", None):
+        want += [i for _, i in sorted((v, i) for h, v, i in data if h == g and v is not None)[:k]]
+    assert got == sorted(want)
+
+
+def test_top_abs_above_the_window_limit(spark):
+    df = spark.range(9000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1009 - 500).cast("double").alias("e"), "id")
+    got = sorted(r.id for r in me.top_abs(df, 1500, "e", "id", ["g"]).collect())
+    want = []
+    for g in range(3):
+        want += [i for _, i in sorted((-abs(i * 7919 % 1009 - 500), i) for i in range(9000) if i % 3 == g)[:1500]]
+    assert got == sorted(want)
+    plan = me.top_abs(df, 1500, "e", "id", ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+
+
+def test_sample_without_any_weight_is_an_error(spark):
+    df = spark.range(100).select("id", (F.col("id") * 0.0).alias("w"))
+    with pytest.raises(Exception, match="fewer rows with a weight"):
+        sa.weighted_sample(df, "w", 0.5, "id").collect()
+    assert sa.weighted_sample(df, "w", 0.001, "id").count() == 0
+    half = df.withColumn("w", F.when(F.col("id") < 50, 1.0).otherwise(0.0))
+    assert sa.weighted_sample(half, "w", 0.5, "id").count() == 50
+
+
+def test_checks_of_predictions_in_one_read(spark, rows):
+    cols = ("cre_chrom string, cre_start long, cre_end long, bin_chrom string, bin_start long, bin_end long, allele_pos long, "
+            "ref_allele string, allele string, log2FC double")
+    good = [("c", 10, 12, "c", 8, 14, p, "A", a, 0.0) for p in (10, 11) for a in "ACGT"]
+    assert va.check_predictions(spark.createDataFrame(good, cols)).count() == 0
+    bad = good + [("c", 10, 12, "c", 9, 14, 20, "A", "A", 0.0)] * 2
+    got = rows(va.check_predictions(spark.createDataFrame(bad, cols)), "rule", "detail")
+    assert got == [("all_positions_of_element", 3), ("four_alleles", 1), ("one_bin_per_element", 2),
+                   ("position_inside_bin", 20), ("position_inside_bin", 20)]
+    plan = va.check_predictions(spark.createDataFrame(bad, cols))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_relative_effect_shuffles_once(spark, rows):
+    df = spark.createDataFrame([("p", 1, "A", "A", 2.0), ("p", 1, "A", "C", 5.0), ("p", 2, "A", "C", 1.0), (None, 1, "A", "A", 1.0)],
+                               "k string, pos int, ref_allele string, allele string, v double")
+    out = va.relative_to_reference(df, "v", "d", ["k", "pos"])
+    assert rows(out, "k", "pos", "allele", "d") == [("p", 1, "A", 0.0), ("p", 1, "C", 3.0), ("p", 2, "C", None), (None, 1, "A", 0.0)]
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_mismatches_per_model(spark, rows):
+    df = spark.createDataFrame([("m", "A", "A"), ("m", "A", "C"), ("m", "A", None), ("n", "G", "G")],
+                               "model string, ref_allele string, pred_ref_allele string")
+    assert rows(va.mismatch_counts(df)) == [("m", 3, 2, 1), ("n", 1, 1, 0)]
+
+
+def test_null_groups_and_tied_series(spark, rows):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None), ("a", float("nan"))], "g string, v double")
+    assert sum(r.n for r in su.histogram(df, "v", 4, "g").collect()) == 3
+    assert rows(su.box_stats(df.filter("not isnan(v)"), ["g"], "v"), "g", "n")[-1] == (None, 2)
