@@ -17,10 +17,11 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
     ``overwrite_or_ignore`` adds files beside those of other writes, ``delete_matching``
     replaces just the partitions that occur in ``df``, ``overwrite`` replaces all.
 
-    A partitioned table is rebalanced by its partition columns first: small partitions share a
-    task, so that each has one file, and one with a third of all rows is split into tasks of the
-    advisory size, so that it has several. ``sort_by`` orders the rows of a file, which lets
-    readers skip row groups by their statistics. ``most_rows`` bounds the rows of a file.
+    A partitioned table is rebalanced by its partition columns first: a partition lies in one
+    task, so in one file, unless its task is above the advisory size; a partition with a third
+    of all rows is split into tasks of that size and has as many files. ``sort_by`` orders the
+    rows of a file, which lets readers skip row groups by their statistics. ``most_rows`` bounds
+    the rows of a file.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *sort_by)
