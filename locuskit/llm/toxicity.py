@@ -19,11 +19,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locuskit.llm.common import blank_words, prepare, residue
+from locuskit.llm.common import Scratch, blank_words, prepare, residue
 
 WINDOW, LEVEL = 8, 12
 BASE_BYTES, EXTRA_BYTES = 64 << 10, 1 << 10
-#: The classifier is fitted on at most so many labelled texts of each class and so many
+#: The classifier is fitted on at most so many labelled texts of each class and so many others
 #: of any class for the calibration, of at most ``SAMPLE_CHARS`` characters each.
 SAMPLE_CLASS, SAMPLE_ANY, SAMPLE_CHARS = 1500, 3000, 20_000
 #: A word recurs in a class if so many of its sample texts hold it, and so many times the other's share.
@@ -123,26 +123,38 @@ def fit(toxic: list[str], ordinary: list[str], any_: list[tuple[str, int]]) -> M
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
              held_out: tuple[int, int] = (4, 2), sample_class: int = SAMPLE_CLASS, sample_any: int = SAMPLE_ANY) -> DataFrame:
-    """(key, held_out, score, predicted) of every row; no shuffle beyond the labelled sample.
+    """(key, held_out, score, predicted) of every row.
 
     Rows whose crc32(key) leaves ``held_out[1]`` modulo ``held_out[0]`` teach nothing. Null
-    and empty texts are scored as an empty window. Without usable labels all scores equal
-    the prior of a model without weights. Null labels and keys teach nothing.
+    and empty texts are scored as an empty window, very long ones whole, window by window.
+    Without usable labels all scores equal the prior of a model without weights. Null labels and
+    keys teach nothing; of rows that share a key one teaches. An empty table gives an empty
+    result. Columns other than those named take no part, whatever their names.
+
+    The sample is drawn on keys alone: labels meet the keys of texts of at most ``SAMPLE_CHARS``
+    characters, a hash of the key deals them to the dictionaries (three of four) or to the
+    calibration, and only the texts of the at most 2 x ``sample_class`` + ``sample_any`` drawn
+    keys are read for the fit. No text is shuffled.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     modulus, rest = held_out
+    scratch = Scratch(spark, "toxicity")
     teach = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & (residue(F.col(key), modulus) != rest))
-    marked = docs.select(key, text).filter(F.char_length(text) <= SAMPLE_CHARS).join(
-        teach.groupBy(key).agg(F.max(label).alias("_label")), key)
-    drawn = marked.select(text, "_label", F.xxhash64(F.lit("sample"), key).alias("_u"))
-
-    def sample(rows: DataFrame, n: int) -> list:
-        return rows.orderBy("_u", text).limit(n).collect()
-
-    bad = [r[0] for r in sample(drawn.filter("_label = 1"), sample_class)]
-    good = [r[0] for r in sample(drawn.filter("_label = 0"), sample_class)]
-    # other rows for the calibration: their draw is another hash
-    any_ = [(r[0], r[1]) for r in sample(drawn.withColumn("_u", F.xxhash64(F.lit("calibration"), "_u")), sample_any)]
+    known = docs.filter(F.char_length(text) <= SAMPLE_CHARS).select(key).distinct()
+    part = F.pmod(F.xxhash64(F.lit("part"), key), F.lit(4))
+    use = F.when(part == 0, "calibration").when(F.col("_label") == 1, "toxic").when(F.col("_label") == 0, "ordinary")
+    drawn = scratch.store(known.join(teach.groupBy(key).agg(F.max(label).alias("_label")), key).select(
+        key, "_label", use.alias("_use"), F.xxhash64(F.lit("sample"), key).alias("_u")), "keys")
+    most = {"toxic": sample_class, "ordinary": sample_class, "calibration": sample_any}
+    keys = [r for name, n in most.items()
+            for r in drawn.filter(F.col("_use") == name).orderBy("_u", key).limit(n).select(key, "_label", "_use").collect()]
+    scratch.drop(drawn)
+    picked = spark.createDataFrame(keys, f"`{key}` {docs.schema[key].dataType.simpleString()}, _label int, _use string")
+    sample = (docs.select(key, text).join(F.broadcast(picked), key)  # a row for each drawn key
+              .groupBy(key, "_label", "_use").agg(F.min(text).alias("_text")).orderBy(key).collect()) if keys else []
+    bad, good = ([r["_text"] for r in sample if r["_use"] == name] for name in ("toxic", "ordinary"))
+    any_ = [(r["_text"], r["_label"]) for r in sample if r["_use"] == "calibration"]
     model = fit(bad, good, any_)
     kind = docs.schema[key].dataType.simpleString()
 
