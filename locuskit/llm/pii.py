@@ -26,6 +26,8 @@ KINDS = (*BASE, "secret")
 _IDENT = r"[A-Za-z0-9_@.\x02-]"
 #: An unlabelled identifier: a run of at least six characters with two digits.
 IDENTIFIER = rf"(?<!{_IDENT})(?={_IDENT}*?[0-9]{_IDENT}*?[0-9]){_IDENT}{{6,}}+"
+#: A pattern is looked for in so many pieces between blanks, each whole, left of a span.
+PIECES = 8
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,left:string>>"
 
 
@@ -67,7 +69,7 @@ def _spans(text: Column, pattern: str, kind: str, rank: int, good) -> Column:
         start = acc["at"] + F.char_length(p["gap"])
         end = start + F.char_length(p["value"])
         one = F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"),
-                       F.lit(kind).alias("kind"), p["value"].alias("value"), F.right(p["gap"], F.lit(40)).alias("left"))
+                       F.lit(kind).alias("kind"), p["value"].alias("value"), F.substring_index(p["gap"], " ", -PIECES).alias("left"))
         return F.struct(end.cast("int").alias("at"),
                         F.when(good(p["value"]), F.concat(acc["out"], F.array(one).cast(SPAN))).otherwise(acc["out"]).alias("out"))
     first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
@@ -77,8 +79,8 @@ def _spans(text: Column, pattern: str, kind: str, rank: int, good) -> Column:
 def _patterns(left: Column) -> Column:
     """The last word with the marks behind it, and the last two words with theirs."""
     low = F.lower(F.translate(left, "\x01\x02", " ."))
-    one = F.regexp_extract(low, r"([\p{L}]+[^\p{L}0-9]*)$", 1)
-    two = F.regexp_extract(low, r"([\p{L}]+[^\p{L}0-9]+[\p{L}]+[^\p{L}0-9]*)$", 1)
+    one = F.regexp_extract(low, r"((?<!\p{L})\p{L}++[^\p{L}0-9]*+)$", 1)
+    two = F.regexp_extract(low, r"((?<!\p{L})\p{L}++[^\p{L}0-9]++\p{L}++[^\p{L}0-9]*+)$", 1)
     return F.filter(F.array_distinct(F.array(one, two)), lambda p: F.char_length(p) > 1)
 
 

@@ -31,7 +31,15 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option
         "colgroup": {"tr", "thead", "tbody", "tfoot"}}
 #: An implied end does not reach beyond these.
 WALLS = frozenset(["ul", "ol", "menu", "dl", "table", "select", "div", "body"])
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+#: What starts a tag's implied end looks no further than these for an open paragraph.
+PARAGRAPH_WALLS = ("td", "th", "caption", "table", "button")
+#: tag: the open elements it ends.
+ENDED_BY = {t: [h for h, ends in ENDS.items() if t in ends] for t in set().union(*ENDS.values())}
+#: Largest spans of a cell.
+COLSPAN, ROWSPAN = 1000, 65534
+_GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\s*(?:!important\s*)?(?=;|$)", re.I)
+_SELECTOR = re.compile(r"^([a-z][a-z0-9]*|\*)?((?:[.#][\w-]+)*)$", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -48,41 +56,33 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
-        self.open, self.counts = [self.root], {"html": 1}
+        self.open, self.at, self.styles = [self.root], {"html": [0]}, []
 
     def _pop(self) -> None:
-        self.counts[self.open.pop().tag] -= 1
+        self.at[self.open.pop().tag].pop()
 
     def _push(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
+        self.at.setdefault(tag, []).append(len(self.open))
         self.open.append(node)
-        self.counts[tag] = self.counts.get(tag, 0) + 1
+
+    def _last(self, tags) -> int:
+        """Where the innermost open element of these tags is; 0 if none is open."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
 
     def _close_for(self, tag: str) -> None:
-        if tag in BLOCK and self.counts.get("p"):  # a block ends an open paragraph
-            for node in reversed(self.open):
-                if node.tag == "p":
-                    self.handle_endtag("p")
-                    break
-                if node.tag in ("td", "th", "caption", "table", "button"):
-                    break
-        while True:
-            for at in range(len(self.open) - 1, 0, -1):
-                held = self.open[at].tag
-                if tag in ENDS.get(held, ()):
-                    while len(self.open) > at:
-                        self._pop()
-                    break
-                if held in WALLS or at < len(self.open) - 64:
-                    return
-            else:
-                return
+        if tag in BLOCK and self._last(["p"]) > self._last(PARAGRAPH_WALLS):  # a block ends an open paragraph
+            self.handle_endtag("p")
+        while self._last(ENDED_BY.get(tag, ())) > self._last(WALLS):
+            upto = self._last(ENDED_BY[tag])
+            while len(self.open) > upto:
+                self._pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
             self.open[0].attrs.update(attrs)
-            while tag == "body" and self.counts.get("head"):
+            while tag == "body" and self.at.get("head"):
                 self._pop()
             return
         self._close_for(tag)
@@ -104,21 +104,81 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "br":
             self.open[-1].children.append(Node("br", {}))
-        if tag in ("html", "body") or not self.counts.get(tag):
+        if tag in ("html", "body") or not self.at.get(tag):
             return
         while self.open[-1].tag != tag:
             self._pop()
         self._pop()
 
     def handle_data(self, data):
+        if self.open[-1].tag == "style":
+            self.styles.append(data)
         self.open[-1].children.append(data)
 
 
-def _hidden(node: Node) -> bool:
-    a = node.attrs
-    return (node.tag in HIDDEN or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true"
-            or (node.tag == "dialog" and "open" not in a) or bool(_UNSEEN.search(a.get("style") or ""))
-            or (node.tag == "input" and (a.get("type") or "").lower() == "hidden"))
+def _rules(sheet: str) -> list[tuple[str, frozenset, frozenset, str]]:
+    """(tag or empty, classes, ids, declarations) of a sheet's plain rules.
+
+    Selectors of a tag, classes and ids are known; those with combinators, attributes or
+    pseudo-classes, and whole at-rules (they hold under conditions), are passed over.
+    """
+    out, depth, start, head = [], 0, 0, ""
+    sheet = re.sub(r"/\*.*?(?:\*/|$)", " ", sheet, flags=re.S)
+    for at, c in enumerate(sheet):
+        if c == "{":
+            if depth == 0:
+                head, start = sheet[start:at].strip(), at + 1
+            depth += 1
+        elif c == "}" and depth:
+            depth -= 1
+            if depth == 0:
+                if not head.startswith("@"):
+                    for one in head.split(","):
+                        found = _SELECTOR.match(one.strip())
+                        if found and one.strip():
+                            names = re.findall(r"[.#][\w-]+", found[2])
+                            out.append(((found[1] or "").lower().replace("*", ""), frozenset(n[1:] for n in names if n[0] == "."),
+                                        frozenset(n[1:] for n in names if n[0] == "#"), sheet[start:at]))
+                start = at + 1
+        elif c == ";" and depth == 0:  # an at-rule without a block
+            start = at + 1
+    return [r for r in out if _GONE.search(r[3]) or _VISIBILITY.search(r[3])]
+
+
+class Sight:
+    """Which elements a page shows, by its attributes, style attributes and style sheets."""
+
+    def __init__(self, sheets: list[str]):
+        self.rules = [r for sheet in sheets for r in _rules(sheet)]
+
+    def _styles(self, node: Node) -> list[str]:
+        """Declarations that hold for the element, its own last."""
+        a, out = node.attrs, []
+        if self.rules:
+            classes, own = frozenset((a.get("class") or "").split()), frozenset([a.get("id") or ""])
+            out = [d for tag, cs, ids, d in self.rules if tag in ("", node.tag) and cs <= classes and ids <= own]
+        return [*out, a.get("style") or ""]
+
+    def gone(self, node: Node) -> bool:
+        """Not shown, and nothing inside either."""
+        a = node.attrs
+        return (node.tag in HIDDEN or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true"
+                or (node.tag == "dialog" and "open" not in a) or any(_GONE.search(s) for s in self._styles(node))
+                or (node.tag == "input" and (a.get("type") or "").lower() == "hidden"))
+
+    def seen(self, node: Node, around: bool) -> bool:
+        """Whether its text is visible; inherited unless it says otherwise."""
+        for style in self._styles(node):
+            for word in _VISIBILITY.findall(style):
+                around = word.lower() == "visible"
+        return around
+
+    def children(self, node: Node) -> list:
+        """Its children; of a closed ``details`` the summary only."""
+        if node.tag == "details" and "open" not in node.attrs:
+            first = [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
+            return first
+        return node.children
 
 
 class _Page:
@@ -165,43 +225,104 @@ class _Page:
             self.gap = 0
 
 
-def _aligned(rows: list[list[str]]) -> str:
-    """Cells padded to their column's width (at most 40), two blanks apart."""
-    width: list[int] = []
+#: A column with a longer cell holds running text: it ends its line and is not padded.
+RUNNING = 200
+
+
+def _aligned(rows: list[list[tuple[int, str]]]) -> str:
+    """Cells (column, text) padded to their column's width, two blanks apart."""
+    width: dict[int, int] = {}
+    for row in rows:
+        for column, c in row:
+            width[column] = max(width.get(column, 0), len(c))
+    order = {column: i for i, column in enumerate(sorted(width))}  # columns in which a cell begins
+    size = [width[c] for c in sorted(width)]
+    lines = []
     for row in rows:
-        for i, c in enumerate(row):
-            if i == len(width):
-                width.append(0)
-            width[i] = max(width[i], min(len(c), 40))
-    return "\n".join("  ".join(c.ljust(width[i]) for i, c in enumerate(row)).rstrip() for row in rows if any(row))
+        line, at = [], 0
+        for column, c in row:
+            for i in range(at, order[column]):
+                line.append(" " * (size[i] if size[i] <= RUNNING else 0))
+            at = order[column] + 1
+            if size[at - 1] <= RUNNING:
+                line.append(c.ljust(size[at - 1]))
+            else:
+                line.append(c)
+                lines.append("  ".join(line).rstrip())
+                line = []
+        lines.append("  ".join(line).rstrip())
+    return "\n".join(x for x in lines if x)
+
+
+def _span(cell: Node, name: str, most: int, none: int) -> int:
+    """A span attribute as browsers read it; ``none`` where it is 0."""
+    found = re.match(r"\s*\+?(\d{1,9})", cell.attrs.get(name) or "")
+    n = int(found[1]) if found else 1
+    return min(n, most) if n else none
+
 
+def _cells(table: Node, sight: Sight, seen: bool) -> tuple[list, list[list[tuple[int, Node, bool]]]]:
+    """What stands outside of cells, and the cells (column, node, visible) row by row.
 
-def _cells(table: Node) -> tuple[list[Node], list[list[Node]]]:
-    """What stands outside of cells, and the cells row by row."""
-    outside, rows, todo = [], [], list(reversed(table.children))
+    A cell takes the next column that no cell above still reaches into.
+    """
+    outside, rows, todo = [], [], [(c, seen) for c in reversed(table.children)]
+    reach: list[tuple[int, int, int]] = []  # (first column, behind the last, rows left)
     while todo:
-        x = todo.pop()
+        x, vis = todo.pop()
         if isinstance(x, str):
             if x.strip():
-                outside.append(x)
-        elif _hidden(x):
+                outside.append((x, vis))
+        elif sight.gone(x):
             continue
         elif x.tag == "tr":
-            rows.append([c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and not _hidden(c)])
-            outside += [c for c in x.children if c not in rows[-1] and not (isinstance(c, str) and not c.strip())]
+            vis, row, column, taken = sight.seen(x, vis), [], 0, sorted(reach)
+            reach = [(a, b, n - 1) for a, b, n in reach if n > 1]
+            at = 0
+            for c in x.children:
+                if not (isinstance(c, Node) and c.tag in ("td", "th")):
+                    if not (isinstance(c, str) and not c.strip()):
+                        outside.append((c, vis))
+                    continue
+                if sight.gone(c):
+                    continue
+                while at < len(taken) and taken[at][0] <= column:
+                    column, at = max(column, taken[at][1]), at + 1
+                behind = column + _span(c, "colspan", COLSPAN, 1)
+                down = _span(c, "rowspan", ROWSPAN, ROWSPAN)
+                if down > 1:
+                    reach.append((column, behind, down - 1))
+                row.append((column, c, sight.seen(c, vis)))
+                column = behind
+            rows.append(row)
         elif x.tag in ("thead", "tbody", "tfoot"):
-            todo += reversed(x.children)
+            reach = []  # a cell does not reach out of its group
+            todo += [(c, sight.seen(x, vis)) for c in reversed(x.children)]
         else:
-            outside.append(x)
+            outside.append((x, vis))
     return outside, rows
 
 
-def _written(children: list) -> str:
+def _numbers(ol: Node) -> dict[int, int]:
+    """The number of each item of an ordered list, by its identity."""
+    def whole(text: str | None, other: int) -> int:
+        found = re.match(r"\s*([+-]?\d{1,9})", text or "")
+        return int(found[1]) if found else other
+    items = [c for c in ol.children if isinstance(c, Node) and c.tag == "li"]
+    step = -1 if "reversed" in ol.attrs else 1
+    n, out = whole(ol.attrs.get("start"), len(items) if step < 0 else 1), {}
+    for li in items:
+        n = whole(li.attrs.get("value"), n)
+        out[id(li)], n = n, n + step
+    return out
+
+
+def _written(children: list, sight: Sight, seen: bool) -> str:
     """Visible text of nodes; nested tables are written before the table around them."""
-    # a frame: page, stack of (node or text, entering, preformatted, list marker), and where its text goes
+    # a frame: page, stack of (node or text, entering, preformatted, visible), and where its text goes
     results: list[str] = []
-    frames = [(_Page(), [(c, True, False) for c in reversed(children)], None)]
-    counters: dict[int, list] = {}
+    frames = [(_Page(), [(c, True, False, seen) for c in reversed(children)], None)]
+    numbers: dict[int, int] = {}
     while frames:
         page, todo, done = frames[-1]
         if not todo:
@@ -210,45 +331,47 @@ def _written(children: list) -> str:
             text = "".join(page.parts)
             (results.append if done is None else done)(text)
             continue
-        x, entering, pre = todo.pop()
+        x, entering, pre, vis = todo.pop()
         if isinstance(x, str):
-            page.text(x, pre)
+            if vis:
+                page.text(x, pre)
             continue
         if not entering:
             if x.tag == "#table":
                 grid = x.attrs["grid"]
-                page.block(_aligned([[" ".join(c.split()) for c in row] for row in grid]))
+                page.block(_aligned([[(column, " ".join(c.split())) for column, c in row] for row in grid]))
                 page.end(2)
             else:
                 page.end(2 if x.tag in SPACED and pre is not None else 1)
             continue
-        if _hidden(x):
+        if sight.gone(x):
             continue
+        vis = sight.seen(x, vis)
         if x.tag == "br":
             page.end(1, True)
         elif x.tag == "img":
-            page.text(x.attrs.get("alt") or "", False)
+            if vis:
+                page.text(x.attrs.get("alt") or "", False)
         elif x.tag == "table":
             page.end(2)
-            outside, rows = _cells(x)
-            grid = [[""] * len(row) for row in rows]
-            todo.append((Node("#table", {"grid": grid}), False, pre))
-            todo += [(c, True, pre) for c in reversed(outside)]
+            outside, rows = _cells(x, sight, vis)
+            grid = [[(column, "") for column, _, _ in row] for row in rows]
+            todo.append((Node("#table", {"grid": grid}), False, pre, vis))
+            todo += [(c, True, pre, v) for c, v in reversed(outside)]
             for i, row in enumerate(rows):
-                for j, cell in enumerate(row):
-                    frames.append((_Page(), [(c, True, False) for c in reversed(cell.children)],
-                                   lambda t, i=i, j=j, grid=grid: grid[i].__setitem__(j, t)))
+                for j, (column, cell, v) in enumerate(row):
+                    frames.append((_Page(), [(c, True, False, v) for c in reversed(cell.children)],
+                                   lambda t, i=i, j=j, c=column, grid=grid: grid[i].__setitem__(j, (c, t))))
         elif x.tag in BLOCK:
             page.end(2 if x.tag in SPACED else 1)
             if x.tag == "ol":
-                counters.update({id(c): [n] for n, c in enumerate(
-                    [c for c in x.children if isinstance(c, Node) and c.tag == "li"], 1)})
-            if x.tag == "li":
-                page.text(f"{counters[id(x)][0]}. " if id(x) in counters else "- ", False)
-            todo.append((x, False, pre))
-            todo += [(c, True, pre or x.tag == "pre") for c in reversed(x.children)]
+                numbers.update(_numbers(x))
+            if x.tag == "li" and vis:
+                page.text(f"{numbers[id(x)]}. " if id(x) in numbers else "- ", False)
+            todo.append((x, False, pre, vis))
+            todo += [(c, True, pre or x.tag == "pre", vis) for c in reversed(sight.children(x))]
         else:
-            todo += [(c, True, pre) for c in reversed(x.children)]
+            todo += [(c, True, pre, vis) for c in reversed(x.children)]
     return results[0]
 
 
@@ -259,13 +382,16 @@ def render(html: str | None) -> str:
     tree = Tree()
     tree.feed(html)
     tree.close()
-    return "" if _hidden(tree.root) else _written(tree.root.children)
+    sight = Sight(tree.styles)
+    return "" if sight.gone(tree.root) else _written(tree.root.children, sight, sight.seen(tree.root, True))
 
 
 def rendered(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """(*keep, rendered_text) of every page; no shuffle.
 
-    Null and empty pages give an empty text; repeated rows and null ids pass through.
+    Null and empty pages give an empty text; repeated rows and null ids pass through, and an
+    empty table gives an empty result. Very long pages are written whole; neither depth, width
+    nor the number of cells is limited. Of other columns only those in ``keep`` are returned.
     """
     prepare(pages.sparkSession)
     shape = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
