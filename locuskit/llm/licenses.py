@@ -132,6 +132,20 @@ def held(pattern: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _any_of(texts: list[str]) -> str:
+    """A pattern that matches where one of the texts begins: equal beginnings are written once.
+
+    Alternatives thus differ in their first letter, and a place that fits none is left at once.
+    """
+    if "" in texts:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for t in texts:
+        heads.setdefault(t[0], []).append(t[1:])
+    parts = [c + _any_of(rest) for c, rest in sorted(heads.items())]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def signatures() -> list[Rule]:
     """Rules of each family and the base phrases, best first.
 
@@ -141,7 +155,7 @@ def signatures() -> list[Rule]:
     out = []
     verbs = "(?:(?:dual |re)?licen[sc]ed|released|distributed|available|covered|published|provided|offered|governed)"
     under = r"(?:under|subject to|by)(?: the)?(?: terms(?: and conditions)? of)?(?: the)?(?: gnu)?"
-    later = r"(?: or(?: \(?at your option\)?)?(?: any)? later(?: version)?| or newer)"
+    later = "(?: or(?: at your option)?(?: any)? later(?: version)?| or newer)"
     add = lambda label, priority, weight, pattern, core=None: out.append(
         Rule(label, priority, weight, held(core or pattern), pattern))
     for label, short, full, spdx, site in FAMILIES:
@@ -224,7 +238,7 @@ def license_scan(docs: DataFrame, text: str = "text", rules: list[Rule] | None =
     rules = rules or signatures()
     keywords = sorted({k for r in rules for k in r.keywords})
     # one pass over the words tells which texts hold any rule's keyword
-    gate = norm.rlike(" (?:" + "|".join(keywords) + ")")
+    gate = norm.rlike(" " + _any_of(keywords))
     base = F.flatten(F.array(*[_labelled(_places(norm, F.lit(p)), label) for p, label in BASE.items()]))
     words = F.char_length(norm) - F.char_length(F.replace(norm, F.lit(" "), F.lit(""))) - 1
     step = step.select(
