@@ -28,7 +28,7 @@ from locuskit.llm.crowds import crowd_links
 
 SKETCH = 128
 LEAF, LEAF_SHINGLES = 256, 1 << 21
-GENERATIONS = 6
+GENERATIONS = 3
 _RNG = np.random.default_rng(20240607)
 _FACTORS = (_RNG.integers(1, 1 << 63, SKETCH, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -202,7 +202,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int)
         for batch in batches:
             sets = [shingle_set(t, k).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "values"])
-    picked = wanted.alias("w").join(
+    # merged at every size: the list of wanted classes grows with the input
+    picked = wanted.alias("w").hint("merge").join(
         docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.crc32(F.col(text).cast("binary")).alias("crc"))
         .alias("d"), F.col("w.pick.key").eqNullSafe(F.col("d.k")) & (F.col("w.pick.crc") == F.col("d.crc")))
     one = picked.groupBy("w.cls").agg(F.any_value("d.t").alias("t"))
@@ -249,7 +250,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k:
     rows with equal sets always are. ``component_id`` is the least key reachable. Null and
     empty texts have an empty set and stay alone. Rows with equal keys stay apart; a null key
     never names a component with other keys, and where all are null it is null and the row
-    counts as kept. ``slack`` is how far (4.4 standard deviations) a sketch may fall below
+    counts as kept. Very long texts have all their runs in their set, an empty table gives an empty
+    result, and other columns take no part, whatever their names. ``slack`` is how far (4.4 standard deviations) a sketch may fall below
     the threshold before full sets are no longer compared.
     """
     num, den = threshold
