@@ -54,22 +54,29 @@ def sketch(values: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, n_shingles, cls, sketch, crc); ``cls`` and ``sketch`` are null for an empty set."""
+    """(key, n_shingles, cls, sketch, marks, crc); ``cls``, ``sketch`` and ``marks`` are null for an empty set.
+
+    ``marks`` has the lowest byte of each sketch value: enough to compare two sketches in a
+    leaf, at a quarter of the size.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            n, cls, sk, crc = [], [], [], []
+            n, cls, sk, marks, crc = [], [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, k)
                 n.append(len(s))
                 crc.append(zlib.crc32((t or "").encode()))
                 cls.append(class_key(s) if len(s) else None)
-                sk.append(sketch(s).tobytes() if len(s) else None)
+                own = sketch(s) if len(s) else None
+                sk.append(None if own is None else own.tobytes())
+                marks.append(None if own is None else own.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sk, pa.binary()),
-                 pa.array(crc, pa.int64())], names=[key, "n_shingles", "cls", "sketch", "crc"])
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, cls binary, sketch binary, crc bigint")
+                 pa.array(marks, pa.binary()), pa.array(crc, pa.int64())],
+                names=[key, "n_shingles", "cls", "sketch", "marks", "crc"])
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, cls binary, sketch binary, marks binary, crc bigint")
 
 
 def _chosen(node: np.ndarray, rate: float) -> list[np.ndarray]:
@@ -147,10 +154,10 @@ def _clusters(num: int, den: int, slack: float):
     least = (num / den - slack) * SKETCH
 
     def found(batches):
-        for _, rows in grouped(batches, "node", "cls", "n_shingles", "sketch"):
+        for _, rows in grouped(batches, "node", "cls", "n_shingles", "marks"):
             held = sorted({r[1]: r for r in rows}.values(), key=lambda r: r[1])
             names, n = [r[1] for r in held], len(held)
-            sketches = np.frombuffer(b"".join(r[3] for r in held), np.uint32).reshape(n, SKETCH)
+            sketches = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(n, SKETCH)
             sizes, mark = np.array([r[2] for r in held]), np.arange(n)
             for i in range(n - 1):
                 near = (sketches[i + 1:] == sketches[i]).sum(axis=1) >= least
@@ -260,9 +267,10 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k:
     rows = scratch.store(described(docs, key, text, k), "sketches")
     classes = scratch.store(rows.filter("cls is not null").groupBy("cls").agg(
         F.min(key).alias("least"), F.min(F.struct(F.col(key).alias("key"), "crc")).alias("pick"),
-        F.min("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")), "classes")
+        F.min("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"),
+        F.any_value("marks").alias("marks")), "classes")
     leaves, crowds = _descend(classes, den / num, trees, scratch)
-    groups = scratch.store(side_by_side(leaves.join(classes.select("cls", "n_shingles", "sketch"), "cls"), "node").mapInArrow(
+    groups = scratch.store(side_by_side(leaves.join(classes.select("cls", "n_shingles", "marks"), "cls"), "node").mapInArrow(
         _clusters(num, den, slack), "members binary, cls binary").distinct(), "groups")
     wanted = groups.select("cls").unionByName(crowds.select("cls")).distinct().join(classes.select("cls", "pick"), "cls")
     sets = scratch.store(_full_sets(docs, wanted, key, text, k), "sets")
