@@ -230,7 +230,9 @@ def _descend(classes: DataFrame, rate: float, trees: int, scratch: Scratch) -> t
         grown = scratch.store(_grow(frontier, rate, roots, generations), "nodes")
         sizes = scratch.store(grown.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
                               .filter("n > 1").select("node", small.alias("small")), "node-sizes")
-        return grown, sizes.filter("small").select("node"), sizes.filter("not small").select("node"), sizes
+        # merged at every size: the lists of nodes grow with the input
+        few, many = (sizes.filter(x).select("node").hint("merge") for x in ("small", "not small"))
+        return grown, few, many, sizes
 
     grown, few, many, sizes = grow(classes, trees, 1)
     first = scratch.store(grown.join(few, "node").select("node", "cls"), "leaves")
