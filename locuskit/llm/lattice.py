@@ -11,8 +11,11 @@ corpus is scored once.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +27,10 @@ from locuskit.llm.common import blank_words, prepare, residue, rows_of, stored
 HEAD, HEAD_BYTES = 200_000, 64
 #: Distinct words that a task holds before it passes its counts on.
 HELD_WORDS = 1 << 20
+#: Words of at most so many letters keep their arcs between the two passes of a round.
+HELD_LETTERS = 1 << 12
+#: Words of at most so many letters are swept together, up to so many letters of them at once.
+MODERATE, HELD_AT_ONCE = 128, 1 << 18
 SMOOTHING = 0.1
 START = "▁"
 LOG10 = math.log(10)
@@ -42,25 +49,41 @@ def first_scores(model_file: str) -> dict[str, float]:
 
 
 class Lattice:
+    """Sums over all segmentations of a word; memory grows with its length times the longest piece at most."""
+
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
-        self.longest = max((len(p) for p in scores if not p.startswith("<0x")), default=1)
+        #: A score for each piece and None for each proper beginning of one, so a search knows when to stop.
+        self.reach: dict[str, float | None] = {p[:n]: None for p in scores if not p.startswith("<0x")
+                                               for n in range(1, len(p))}
+        self.reach.update((p, s) for p, s in scores.items() if not p.startswith("<0x"))
         self.byte = {bytes([b]): f"<0x{b:02X}>" for b in range(256)}
+        # the same beginnings as a table (node, letter) -> node, sorted, for many words at once
+        self.pieces = ["", *self.reach]
+        node = {p: i for i, p in enumerate(self.pieces)}
+        keys = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in self.reach], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.child = np.append(keys[order], -1), np.append(order + 1, 0)
+        self.node_score = np.array([np.nan] + [np.nan if x is None else x for x in self.reach.values()])
 
-    def edges(self, word: str) -> list[list[tuple[int, float, tuple[str, ...]]]]:
-        """For each end position the (start, log score, pieces) that lead there."""
-        get, longest, out = self.scores.get, self.longest, []
-        for end in range(1, len(word) + 1):
-            here = []
-            for start in range(max(0, end - longest), end):
-                piece = word[start:end]
-                score = get(piece)
-                if score is not None:
-                    here.append((start, score, (piece,)))
-            if not here or here[-1][0] != end - 1:  # a character that is no piece: its bytes
-                pieces = tuple(self.byte[bytes([b])] for b in word[end - 1].encode())
-                here.append((end - 1, sum(self.scores[p] for p in pieces), pieces))
-            out.append(here)
+    def spelled(self, letter: str) -> tuple[str, ...]:
+        """The byte pieces of a character that is no piece."""
+        return tuple(self.byte[bytes([b])] for b in letter.encode())
+
+    def arcs(self, word: str, start: int) -> list[tuple[int, float, str | None]]:
+        """(end, log score, piece) of what can begin at ``start``; the piece is None for spelled bytes."""
+        reach, out, alone = self.reach, [], True
+        for end in range(start + 1, len(word) + 1):
+            piece = word[start:end]
+            score = reach.get(piece, 0.0)
+            if score is None:
+                continue
+            if score == 0.0 and piece not in reach:
+                break
+            out.append((end, score, piece))
+            alone = alone and end != start + 1
+        if alone:
+            out.append((start + 1, sum([self.scores[p] for p in self.spelled(word[start])]), None))
         return out
 
     @staticmethod
@@ -70,29 +93,144 @@ class Lattice:
         top = max(terms)
         return top + math.log(sum([math.exp(t - top) for t in terms]))
 
-    def forward(self, edges) -> list[float]:
-        alpha = [0.0]
-        for here in edges:
-            alpha.append(self._add([alpha[s] + w for s, w, _ in here]))
-        return alpha
-
     def log_probability(self, word: str) -> float:
-        return self.forward(self.edges(START + word))[-1]
+        """The forward recursion; sums that the longest piece has left behind are let go."""
+        word, reach, waiting = START + word, self.reach, {0: [0.0]}
+        n = len(word)
+        for start in range(n):
+            here, alone = self._add(waiting.pop(start)), True
+            for end in range(start + 1, n + 1):
+                piece = word[start:end]
+                if piece not in reach:
+                    break
+                score = reach[piece]
+                if score is not None:
+                    alone = alone and end != start + 1
+                    if end in waiting:
+                        waiting[end].append(here + score)
+                    else:
+                        waiting[end] = [here + score]
+            if alone:
+                score = sum([self.scores[p] for p in self.spelled(word[start])])
+                waiting.setdefault(start + 1, []).append(here + score)
+        return self._add(waiting[n])
 
     def expect(self, word: str, times: float, counts: dict[str, float]) -> None:
-        """Add the expected number of each piece in ``times`` occurrences."""
-        edges = self.edges(START + word)
-        alpha = self.forward(edges)
-        back: list[list[float]] = [[] for _ in alpha]
-        back[-1] = [0.0]
-        for end in range(len(edges), 0, -1):
-            beta = self._add(back[end]) if back[end] else -math.inf
-            rest = beta - alpha[-1]
-            for start, score, pieces in edges[end - 1]:
-                back[start].append(beta + score)
-                share = times * math.exp(alpha[start] + score + rest)
-                for p in pieces:
+        """Add the expected number of each piece in ``times`` occurrences.
+
+        Two passes over the positions, forward and backward; a long word's arcs are found again
+        in the second one and not held.
+        """
+        word = START + word
+        n, at = len(word), partial(self.arcs, word)
+        if n <= HELD_LETTERS:
+            at = [at(i) for i in range(n)].__getitem__
+        alpha, waiting = array("d", [0.0]) * (n + 1), {0: [0.0]}
+        for start in range(n):
+            here = alpha[start] = self._add(waiting.pop(start))
+            for end, score, _ in at(start):
+                waiting.setdefault(end, []).append(here + score)
+        alpha[n] = whole = self._add(waiting[n])
+        beta, exp = array("d", [0.0]) * (n + 1), math.exp
+        for start in range(n - 1, -1, -1):
+            terms, here = [], alpha[start] - whole
+            for end, score, piece in at(start):
+                rest = score + beta[end]
+                terms.append(rest)
+                share = times * exp(here + rest)
+                for p in (piece,) if piece else self.spelled(word[start]):
                     counts[p] = counts.get(p, 0.0) + share
+            beta[start] = self._add(terms)
+
+
+    def _graph(self, words: list[str]):
+        """All arcs of all words as arrays, and the slots: a word of n letters has n + 1 in a row.
+
+        Of each arc its (start slot, end slot, score, node, letter); node 0 is a character spelled
+        in bytes. Beginnings are followed letter by letter, all positions at once.
+        """
+        n = np.array([len(START + w) for w in words])
+        codes = np.frombuffer("".join(START + w for w in words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        of, first = np.repeat(np.arange(len(words)), n), np.cumsum(n) - n
+        room, slot = (first + n)[of] - np.arange(len(codes)), np.arange(len(codes)) + of
+        at, node, arcs, bare, length = np.arange(len(codes)), np.zeros(len(codes), np.int64), [], None, 0
+        while len(at):
+            key = node << 21 | codes[at + length]
+            i = np.searchsorted(self.keys[:-1], key)
+            hit = self.keys[i] == key
+            at, node, length = at[hit], self.child[i[hit]], length + 1
+            piece = ~np.isnan(self.node_score[node])
+            arcs.append((slot[at[piece]], slot[at[piece]] + length, self.node_score[node[piece]], node[piece]))
+            if bare is None:
+                bare = np.ones(len(codes), bool)
+                bare[at[piece]] = False
+            more = room[at] > length
+            at, node = at[more], node[more]
+        bare = np.flatnonzero(bare)
+        letters, which = np.unique(codes[bare], return_inverse=True)
+        own = np.array([sum([self.scores[p] for p in self.spelled(chr(c))]) for c in letters])
+        arcs.append((slot[bare], slot[bare] + 1, own[which], np.zeros(len(bare), np.int64)))
+        start, end, score, node = (np.concatenate(x) for x in zip(*arcs))
+        letter = np.concatenate([np.zeros(len(start) - len(bare), np.int64), codes[bare]])
+        slots = first + np.arange(len(words))
+        place = np.arange(len(codes) + len(words)) - np.repeat(slots, n + 1)
+        return start, end, score, node, letter, slots, n, place
+
+    @staticmethod
+    def _sweep(sums: np.ndarray, into, from_, score, step) -> None:
+        """sums[into] = log of the sum of exp(sums[from_] + score), one ``step`` after the other."""
+        order = np.lexsort((into, step))
+        into, from_, score, step = into[order], from_[order], score[order], step[order]
+        bounds = np.flatnonzero(np.diff(step, prepend=step[0] - 1))
+        for lo, hi in zip(bounds, np.append(bounds[1:], len(step))):
+            slots, terms = into[lo:hi], sums[from_[lo:hi]] + score[lo:hi]
+            runs = np.flatnonzero(np.diff(slots, prepend=-1))
+            top = np.maximum.reduceat(terms, runs)
+            run = np.repeat(np.arange(len(runs)), np.diff(np.append(runs, len(slots))))
+            sums[slots[runs]] = top + np.log(np.add.reduceat(np.exp(terms - top[run]), runs))
+
+    def log_probabilities(self, words: list[str]) -> list[float]:
+        """As ``log_probability``, for many words of moderate length together."""
+        if not words:
+            return []
+        start, end, score, _, _, slots, n, place = self._graph(words)
+        alpha = np.zeros(len(place))
+        self._sweep(alpha, end, start, score, place[end])
+        return alpha[slots + n].tolist()
+
+    def expect_all(self, words: list[str], times: list[int], counts: dict[str, float]) -> None:
+        """As ``expect``, for many words of moderate length together."""
+        if not words:
+            return
+        start, end, score, node, letter, slots, n, place = self._graph(words)
+        alpha, beta = np.zeros(len(place)), np.zeros(len(place))
+        self._sweep(alpha, end, start, score, place[end])
+        self._sweep(beta, start, end, score, -place[start])
+        word = np.searchsorted(slots, start, side="right") - 1
+        share = np.array(times, float)[word] * np.exp(alpha[start] + score + beta[end] - alpha[slots + n][word])
+        whole = np.bincount(node, share, len(self.pieces))
+        for i in np.flatnonzero(whole[1:]) + 1:
+            counts[self.pieces[i]] = counts.get(self.pieces[i], 0.0) + float(whole[i])
+        letters, which = np.unique(letter[node == 0], return_inverse=True)
+        for c, x in zip(letters, np.bincount(which, share[node == 0], len(letters))):
+            for p in self.spelled(chr(c)):
+                counts[p] = counts.get(p, 0.0) + float(x)
+
+
+def _held(batches, letters: int = HELD_AT_ONCE):
+    """(short words, their counts, long words, their counts): the rows of several batches together."""
+    short, long_, size = ([], []), ([], []), 0
+    for rows in rows_of(batches, "token", "c"):
+        for token, c in rows:
+            word = token.decode()
+            side = short if len(word) <= MODERATE else long_
+            side[0].append(word)
+            side[1].append(c)
+            size += len(word) + 1
+            if size > letters:
+                yield *short, *long_
+                short, long_, size = ([], []), ([], []), 0
+    yield *short, *long_
 
 
 def word_counts(docs: DataFrame, text: str, trains: str) -> DataFrame:
@@ -124,9 +262,10 @@ def reweighted(words: DataFrame, scores: dict[str, float], ends: int) -> dict[st
     """One round of expectation-maximisation; what reaches the driver is one number per piece."""
     def expected(batches):
         model, counts = Lattice(scores), {}
-        for rows in rows_of(batches, "token", "c"):
-            for w, c in rows:
-                model.expect(w.decode(), c, counts)
+        for words_, times, long_, long_times in _held(batches):
+            model.expect_all(words_, times, counts)
+            for w, c in zip(long_, long_times):
+                model.expect(w, c, counts)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.float64())],
                                          names=["piece", "n"])
     found = {r["piece"]: r["n"] for r in words.filter("c > 0").mapInArrow(expected, "piece string, n double")
@@ -159,12 +298,13 @@ def score_texts(docs: DataFrame, model_file: str, key: str = "doc_id", text: str
 
     def scored(batches):
         model = Lattice(scores)
-        for rows in rows_of(batches, "token", "c"):
-            tokens, counts = zip(*rows) if (rows := list(rows)) else ((), ())
+        for short, times, long_, long_times in _held(batches):
+            tokens, counts = short + long_, times + long_times
+            lattice = model.log_probabilities(short) + [model.log_probability(w) for w in long_]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens, pa.binary()), pa.array([c > 0 for c in counts], pa.bool_()),
+                [pa.array([w.encode() for w in tokens], pa.binary()), pa.array([c > 0 for c in counts], pa.bool_()),
                  pa.array([math.log10(c + 1) for c in counts], pa.float64()),
-                 pa.array([model.log_probability(t.decode()) / LOG10 for t in tokens], pa.float64()),
+                 pa.array([x / LOG10 for x in lattice], pa.float64()),
                  pa.array(counts, pa.int64())], names=["token", "known", "base", "lattice", "c"])
 
     weights = stored(words.mapInArrow(scored, "token binary, known boolean, base double, lattice double, c bigint"),

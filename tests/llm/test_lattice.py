@@ -5,25 +5,26 @@ import public_tokenizers
 import pytest
 
 from locuskit.llm.common import blank_words
-from locuskit.llm.lattice import Lattice, first_scores, score_texts
+from locuskit.llm.lattice import SMOOTHING, Lattice, first_scores, score_texts
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def segmentations(scores, word):
+    """Every (log score, pieces); a character that is no piece counts as its bytes."""
+    if not word:
+        yield 0.0, ()
+    for end in range(1, len(word) + 1):
+        own = (word[:end],) if word[:end] in scores else () if end > 1 else tuple(
+            f"<0x{b:02X}>" for b in word[0].encode())
+        if own:
+            for rest, pieces in segmentations(scores, word[end:]):
+                yield sum(scores[p] for p in own) + rest, own + pieces
+
+
 def all_ways(model, word):
     """Log probability by listing every segmentation."""
-    def ways(at):
-        if at == len(word):
-            yield 0.0
-        for end in range(at + 1, len(word) + 1):
-            if word[at:end] in model.scores:
-                for rest in ways(end):
-                    yield model.scores[word[at:end]] + rest
-            elif end == at + 1:
-                own = sum(model.scores[f"<0x{b:02X}>"] for b in word[at].encode())
-                for rest in ways(end):
-                    yield own + rest
-    return math.log(sum(math.exp(w) for w in ways(0)))
+    return math.log(sum(math.exp(w) for w, _ in segmentations(model.scores, word)))
 
 
 def test_forward_sums_all_segmentations():
@@ -39,6 +40,51 @@ def test_expected_pieces_cover_the_word():
     assert sum(len(p) * n for p, n in counts.items()) == pytest.approx(3 * 6)
 
 
+WORDS = ["the", "there", "", "\u00e7a", "x\u4e8c\U0001f9ea", "aaaa", "42nd,", "a</s>b", "ab" * 60, "\u4e8c" * 5]
+
+
+def test_many_words_at_once_equal_one_by_one():
+    model = Lattice(first_scores(MODEL))
+    assert model.log_probabilities(WORDS) == pytest.approx([model.log_probability(w) for w in WORDS], rel=1e-12)
+    assert model.log_probabilities([]) == []
+    one, all_ = {}, {}
+    for i, w in enumerate(WORDS):
+        model.expect(w, i + 1, one)
+    model.expect_all(WORDS, list(range(1, len(WORDS) + 1)), all_)
+    assert all_ == pytest.approx(one, rel=1e-9)
+
+
+def test_long_words_in_bounded_memory():
+    import tracemalloc
+    model, counts, word = Lattice(first_scores(MODEL)), {}, "ab7q" * 50_000
+    tracemalloc.start()
+    model.expect(word, 1.0, counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(word)  # two numbers a letter, not its arcs
+    assert sum(len(p) * n for p, n in counts.items()) == pytest.approx(len(word) + 1, rel=1e-4)  # rounding of sums near -1e6
+
+
+def test_scores_after_reweighting_against_every_segmentation(spark):
+    docs = [(i, t) for i, t in enumerate(["there a b", "The cat, the \u4e8c", None, "", "42nd there"] * 3 + ["unseen x\u00e7"])]
+    first = first_scores(MODEL)
+    train = [w.decode() for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2 for w in blank_words(t)]
+    found = {"</s>": float(sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, _ in docs))}
+    for w in train:
+        ways = list(segmentations(first, "\u2581" + w))
+        whole = sum(math.exp(x) for x, _ in ways)
+        for x, pieces in ways:
+            for p in pieces:
+                found[p] = found.get(p, 0.0) + math.exp(x) / whole
+    total = sum(found.values()) + SMOOTHING * len(first)
+    scores = {p: math.log((found.get(p, 0.0) + SMOOTHING) / total) for p in first}
+    model = Lattice(scores)
+    want = {i: (sum(all_ways(model, "\u2581" + w.decode()) for w in blank_words(t)) + scores["</s>"]) / math.log(10)
+            for i, t in docs}
+    got = {r["doc_id"]: r["score"] for r in score_texts(spark.createDataFrame(docs, "doc_id int, text string"), MODEL).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 @pytest.mark.parametrize("head", [2, 100])
 def test_columns_against_brute_force(spark, head):
     docs = [(i, t) for i, t in enumerate(["a b a", "B c,", "the cat the cat", None, "", "a" * 300, "x y z"] * 3)]
