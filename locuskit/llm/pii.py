@@ -28,7 +28,12 @@ _IDENT = r"[A-Za-z0-9_@.\x02-]"
 IDENTIFIER = rf"(?<!{_IDENT})(?={_IDENT}*?[0-9]{_IDENT}*?[0-9]){_IDENT}{{6,}}+"
 #: A pattern is looked for in so many pieces between blanks, each whole, left of a span.
 PIECES = 8
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,left:string>>"
+ONE_SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string,left:string>"
+SPAN = f"array<{ONE_SPAN}>"
+#: Arrays are folded in blocks of so many items.
+BLOCK = 256
+#: Above every offset in a text.
+FAR = 2**31 - 1
 
 
 def _digits(value: Column) -> Column:
@@ -59,21 +64,69 @@ SHAPES = {
 }
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _cut(items: Column, use) -> Column:
+    """``use`` of each block of at most ``BLOCK`` items; ``items`` must not be empty."""
+    return F.transform(F.sequence(F.lit(1), F.size(items), F.lit(BLOCK)), lambda first: use(F.slice(items, first, F.lit(BLOCK))))
+
+
+def _running(values: Column, op) -> Column:
+    """The running sums, or greatest values, of an array of ints of at least 0, each with its own value.
+
+    A fold copies its state at every step. So blocks are folded apart, then their last values, and
+    the cost of n values grows with n times the number of blocks and the length of one, not with n squared.
+    """
+    none, zero = F.array().cast("array<int>"), F.lit(0)
+
+    def folded(numbers):
+        return F.aggregate(numbers, none, lambda acc, x: F.concat(acc, F.array(op(
+            F.coalesce(F.try_element_at(acc, F.lit(-1)), zero), x).cast("int"))))
+
+    def joined(blocks):
+        before = F.concat(F.array(zero), folded(F.transform(blocks, lambda b: F.element_at(b, -1))))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)),
+                                    lambda b, first: F.transform(b, lambda x: op(first, x).cast("int"))))
+    return _once(values, lambda v: F.when(F.size(v) > 0, _once(_cut(v, folded), joined)).otherwise(none))
+
+
 def _spans(text: Column, pattern: str, kind: str, rank: int, good) -> Column:
     """Matches that pass ``good``, with their offsets in code points and what stands left of them."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits,
-                       lambda g, h: F.struct(g.alias("gap"), h.alias("value")))
+    def placed(hits):
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        pairs = F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("value")))
+        return _once(pairs, lambda all_: F.zip_with(all_, _running(F.transform(all_, lambda p: (
+            F.char_length(p["gap"]) + F.char_length(p["value"])).cast("int")), lambda x, y: x + y), span))
+
+    def span(p, end):
+        return F.struct((end - F.char_length(p["value"])).cast("int").alias("start"), F.lit(rank).alias("rank"), end.alias("end"),
+                        F.lit(kind).alias("kind"), p["value"].alias("value"), F.substring_index(p["gap"], " ", -PIECES).alias("left"))
+    none = F.array().cast(SPAN)
+    return _once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(
+        F.size(hits) > 0, F.filter(placed(hits), lambda s: good(s["value"])).cast(SPAN)).otherwise(none))
+
 
-    def step(acc, p):
-        start = acc["at"] + F.char_length(p["gap"])
-        end = start + F.char_length(p["value"])
-        one = F.struct(start.cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("end"),
-                       F.lit(kind).alias("kind"), p["value"].alias("value"), F.substring_index(p["gap"], " ", -PIECES).alias("left"))
-        return F.struct(end.cast("int").alias("at"),
-                        F.when(good(p["value"]), F.concat(acc["out"], F.array(one).cast(SPAN))).otherwise(acc["out"]).alias("out"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, first, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+def _free(seeds: Column, found: Column) -> Column:
+    """The spans of ``found``, which do not overlap each other, that no seed overlaps.
+
+    All stand in one order by start, seeds first: none of the seeds before may end behind the
+    span's start, and the next seed behind it may not start before its end.
+    """
+    def start_from_far(s):  # the nearer the start of the text, the larger; 0 for others
+        return F.when(s["kind"] != "other", F.lit(FAR) - s["start"]).otherwise(0).cast("int")
+
+    def chosen(both):
+        ends = F.transform(both, lambda s: F.when(s["kind"] != "other", s["end"]).otherwise(0).cast("int"))
+        cover = _running(ends, F.greatest)
+        following = F.reverse(_running(F.transform(F.reverse(both), start_from_far), F.greatest))
+        marks = F.zip_with(cover, following, lambda c, n: F.struct(c.alias("cover"), (F.lit(FAR) - n).alias("next")))
+        rows = F.zip_with(both, marks, lambda s, m: F.struct(s.alias("s"), m.alias("m")))
+        return F.transform(F.filter(rows, lambda r: (r["s"]["kind"] == "other") & (r["m"]["cover"] <= r["s"]["start"])
+                                    & (r["m"]["next"] >= r["s"]["end"])), lambda r: r["s"])
+    return _once(F.sort_array(F.concat(seeds, found)), chosen).cast(SPAN)
 
 
 def _patterns(left: Column) -> Column:
@@ -102,9 +155,8 @@ def extracted(docs: DataFrame, text: str = "text") -> DataFrame:
     others = _spans(F.col("pii_dots"), IDENTIFIER, "other", len(KINDS), lambda v: F.lit(True))
     rows = rows.select(*own, F.when(F.col("pii_text").isNotNull(), F.sort_array(seeds)).alias("pii_seeds"),
                        F.when(F.col("pii_text").isNotNull(), others).alias("pii_found"))
-    free = F.filter("pii_found", lambda o: ~F.exists("pii_seeds", lambda s: (s["start"] < o["end"]) & (o["start"] < s["end"])))
     return rows.select(*own, F.coalesce("pii_seeds", none).alias("pii_seeds"),
-                       F.when(F.size("pii_found") > 0, free).otherwise(none).alias("pii_others"))
+                       F.when(F.size("pii_found") > 0, _free(F.col("pii_seeds"), F.col("pii_found"))).otherwise(none).alias("pii_others"))
 
 
 def _edges(rows: DataFrame) -> DataFrame:
@@ -170,19 +222,24 @@ def personal_data(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in angle brackets; overlapping spans are one."""
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        wider = F.struct(last["start"].alias("start"), last["rank"].alias("rank"),
-                         F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"), last["seed"].alias("seed"))
-        return F.when((F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"]),
-                      F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(wider))).otherwise(
-            F.concat(acc, F.array(s)))
-    kind = "array<struct<start:int,rank:int,end:int,kind:string,seed:boolean>>"
-    merged = F.aggregate(spans, F.array().cast(kind), lambda a, s: step(a, s).cast(kind))
-    before = lambda i: F.coalesce(F.try_element_at(merged, F.when(i > 0, i).otherwise(F.lit(1)))["end"], F.lit(0))
-    parts = F.transform(merged, lambda s, i: F.concat(
-        F.substring(text, F.when(i > 0, before(i)).otherwise(F.lit(0)) + 1,
-                    s["start"] - F.when(i > 0, before(i)).otherwise(F.lit(0))), F.lit("<"), s["kind"], F.lit(">")))
-    rest = F.substring(text, F.element_at(merged, -1)["end"] + 1, F.char_length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), rest)).otherwise(text)
+    """``text`` with each span replaced by its kind in angle brackets; overlapping spans are one.
+
+    The spans are those of ``personal_data``, by start. The text is cut once for each block of
+    spans, then inside the blocks, so that a very long text is not walked anew for every span.
+    Null texts stay null, texts without spans as they are.
+    """
+    def replaced(block):
+        """The text from the end of what is before the block to the end of the block's last tag."""
+        first = block[0]["before"]
+        return _once(F.substring(text, first + 1, F.element_at(block, -1)["start"] - first), lambda piece: F.array_join(F.transform(
+            F.filter(block, lambda s: s["start"] >= s["before"]),
+            lambda s: F.concat(F.substring(piece, s["before"] - first + 1, s["start"] - s["before"]), F.lit("<"), s["kind"], F.lit(">"))), ""))
+
+    def whole(found):
+        ends = _running(F.transform(found, lambda s: s["end"]), F.greatest)
+        return _once(ends, lambda end: F.concat(
+            _once(F.zip_with(found, F.slice(F.concat(F.array(F.lit(0)), end), F.lit(1), F.size(found)), lambda s, e: F.struct(
+                s["start"].alias("start"), s["kind"].alias("kind"), e.alias("before"))),
+                lambda spans: F.array_join(_cut(spans, replaced), "")),
+            F.substring(text, F.element_at(end, -1) + 1, F.char_length(text))))
+    return _once(spans, lambda found: F.when(F.size(found) > 0, whole(found)).otherwise(text))
