@@ -9,11 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuskit.operators.joins import skew_join
+from locuskit.session import shuffle_partitions
 
-# Two sizes of pieces: a substring costs time in its offset, so long sequences are cut
-# twice before single positions are taken
-PIECES = (1 << 16, 1 << 8)
+# Sizes of pieces: a substring costs time in its offset, so long sequences are cut
+# three times before single positions are taken
+PIECES = (1 << 16, 1 << 8, 1 << 4)
 BASES = ("A", "C", "G", "T")
+#: Tasks that share the positions of all sequences, for each shuffle partition.
+SPREAD = 2
+#: A model of k-mers up to this length is sent to all tasks: five letters give at most 15,625.
+SHORT = 6
 
 
 def assemble_sequences(df: DataFrame, keys: Sequence[str] = ("region",), pos: str = "allele_pos",
@@ -31,20 +36,34 @@ def assemble_sequences(df: DataFrame, keys: Sequence[str] = ("region",), pos: st
     return pieces.groupBy(*keys).agg(F.array_join(F.transform(whole, lambda x: x["_t"]), "").alias(out))
 
 
-def windows(seqs: DataFrame, keys: Sequence[str], seq: str, length: int) -> DataFrame:
-    """(keys, pos, window): every substring of ``length`` letters, pos from 0."""
-    rows = seqs.select(*keys, F.lit(0).cast("bigint").alias("_at"), F.col(seq).alias("_s"))
+def _once(text: Column) -> Column:
+    """The text as a generated column: worked out once for a row, not wherever it is used."""
+    return F.explode(F.array(text))
+
+
+def windows(seqs: DataFrame, keys: Sequence[str], seq: str, length: int, spread: bool = False,
+            short: bool = False) -> DataFrame:
+    """(keys, pos, window): every substring of ``length`` letters, pos from 0.
+
+    With ``short`` a sequence of fewer letters has one row without a window. With ``spread`` the pieces of 256 letters are dealt to ``SPREAD`` tasks for each shuffle
+    partition. A file of sequences is small next to its positions, so without it few tasks hold
+    what is grouped by position.
+    """
+    rows = seqs.select(*keys, F.lit(0).cast("bigint").alias("_at"), _once(F.col(seq)).alias("_s"))
     for size in PIECES:
-        last = F.floor((F.char_length("_s") - length) / size)
-        rows = (rows.filter(F.char_length("_s") >= length)
+        if spread and size == PIECES[-1]:
+            rows = rows.repartition(SPREAD * shuffle_partitions(seqs), *keys, "_at", "_s")
+        last = F.greatest(F.floor((F.char_length("_s") - length) / size), F.lit(0))
+        rows = (rows.filter(F.char_length("_s") >= (0 if short else length))
                 .select(*keys, "_at", "_s", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
                 .select(*keys, (F.col("_at") + F.col("_i") * size).alias("_at"),
-                        F.substring("_s", (F.col("_i") * size + 1).cast("int"),
-                                    F.lit(size + length - 1)).alias("_s")))
-    last = F.char_length("_s") - length
+                        _once(F.substring("_s", (F.col("_i") * size + 1).cast("int"),
+                                          F.lit(size + length - 1))).alias("_s")))
+    last, window = F.char_length("_s") - length, F.substring("_s", F.col("_i") + 1, F.lit(length))
+    if short:
+        last, window = F.greatest(last, F.lit(0)), F.when(F.char_length("_s") >= length, window)
     return (rows.select(*keys, "_at", "_s", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
-            .select(*keys, (F.col("_at") + F.col("_i")).alias("pos"),
-                    F.substring("_s", F.col("_i") + 1, F.lit(length)).alias("window")))
+            .select(*keys, (F.col("_at") + F.col("_i")).alias("pos"), window.alias("window")))
 
 
 def kmer_length(weights: DataFrame) -> int:
@@ -69,15 +88,24 @@ def kmer_score(seqs: DataFrame, weights: DataFrame, k: int, keys: Sequence[str]
                seq: str = "seq", missing: str = "error") -> DataFrame:
     """Sum of the weights of all k-mers per sequence; one shorter than k scores 0.
 
-    Equal k-mers of a sequence are counted before they meet the model.
+    Equal k-mers of a sequence are counted before they meet the model, but for a model of short
+    ones, which every task has: there each k-mer looks up its weight where it is cut.
     """
-    counts = windows(seqs, keys, seq, k).groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n"))
+    counts = windows(seqs, keys, seq, k, spread=True, short=True)
     model = weights.select(F.col("kmer").alias("window"), F.col("weight").alias("_w"))
-    scored = (counts.join(model, "window", "left")
-              .withColumn("_w", _weight(F.col("_w"), F.col("window"), missing)))
-    sums = scored.groupBy(*keys).agg(F.sum(F.col("n") * F.col("_w")).alias("score"))
-    short = (seqs.filter(F.char_length(seq) < k).select(*keys, F.lit(0.0).alias("score")))
-    return sums.unionByName(short)
+    if k <= SHORT:
+        counts, model = counts.withColumn("n", F.lit(1)), F.broadcast(model)
+    else:
+        counts = counts.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n"))
+    none = F.col("window").isNull()
+    weight = F.when(none, 0.0).otherwise(_weight(F.col("_w"), F.col("window"), missing))
+    sums = (counts.join(model, "window", "left").groupBy(*keys)
+            .agg(F.sum(F.col("n") * weight).alias("_sum"), F.count("window").alias("_long"),
+                 F.sum(F.when(none, F.col("n")).otherwise(0)).alias("_short")))
+    # a row for all sequences of the keys that have k-mers, and one for each that has none
+    scores = F.concat(F.array_repeat("_sum", (F.col("_long") > 0).cast("int")),
+                      F.array_repeat(F.lit(0.0), F.col("_short").cast("int")))
+    return sums.select(*keys, F.explode(scores).alias("score"))
 
 
 def _alternatives(ref: Column) -> Column:

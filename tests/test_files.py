@@ -324,3 +324,26 @@ def test_packed_scores_equal_plain_ones(spark):
                     window = s[p - k + 1:p + k]
                     want[i, m, p, s[p], b] = score(m, window[:k - 1] + b + window[k:]) - score(m, window)
     assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_positions_are_shared_by_tasks(spark, rows):
+    """Sequences of one task are dealt out before their positions are grouped; short and repeated keys keep their rows."""
+    import random
+    r = random.Random(9)
+    data = [(i % 40, "".join(r.choice("ACGTN") for _ in range(r.choice([0, 1, 6, 9, 300])))) for i in range(120)]
+    data += [(None, "ACGTACGT"), (None, "AC"), (1, None)]
+    df = spark.createDataFrame(data, "id int, seq string").coalesce(1)
+    for k in (2, 7):  # a model that every task has, and one that is joined by Spark's choice
+        kmers = sorted({s[i:i + k] for _, s in data if s for i in range(len(s) - k + 1)})
+        weight = {w: float(i % 7 - 3) for i, w in enumerate(kmers)}
+        model = spark.createDataFrame(list(weight.items()), "kmer string, weight double")
+        want, sums = [(i, 0.0) for i, s in data if s is not None and len(s) < k], {}
+        for i, s in data:
+            for p in range(len(s or "") - k + 1):
+                sums[i] = sums.get(i, 0.0) + weight[s[p:p + k]]
+        out = se.kmer_score(df, model, k)
+        assert rows(out, "id", "score") == sorted(want + list(sums.items()), key=repr)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and plan.count("FileScan") + plan.count("Scan ExistingRDD") == 2
+    tasks = se.windows(df, ["id"], "seq", 2, spread=True).select(F.spark_partition_id()).distinct().count()
+    assert tasks > 1
