@@ -147,7 +147,8 @@ def delta_kmer_score(seqs: DataFrame, weights: DataFrame, k: int, keys: Sequence
 
     Every k-mer of a sequence is packed into a number and looks up its own weight once. Its 3k
     changed forms are sums on that number, so they look up theirs without a text being cut;
-    the differences are summed by changed position and base. ``model`` names columns of both
+    the differences are summed by changed position, each base in a column of its own, in tasks
+    that share the positions evenly. ``model`` names columns of both
     tables, so one call scores sequences of many models. ``start`` names a column with the
     coordinate of the first letter. Letters but A, C, G, T and N have no weight, k may be up to
     ``LONGEST``, and a sequence shorter than 2k - 1 is an error.
@@ -161,7 +162,9 @@ def delta_kmer_score(seqs: DataFrame, weights: DataFrame, k: int, keys: Sequence
     checked = checked.withColumn("_last", F.char_length(seq) - k)
     table = weights.filter(F.col("kmer").rlike(f"^[{LETTERS}]+$")).select(
         *model, packed(F.col("kmer")).alias("_code"), F.col("weight").alias("_w"))
-    rows = windows(checked, [*kept, "_last"], seq, k).withColumn("_code", packed(F.col("window")))
+    if k <= SHORT:
+        table = F.broadcast(table)
+    rows = windows(checked, [*kept, "_last"], seq, k, spread=True).withColumn("_code", packed(F.col("window")))
     old = (rows.join(table, [*model, "_code"], "left")
            .withColumn("_old", _packed_weight(F.col("_w"), F.col("_code"), k, missing)).drop("_w"))
     place = F.struct(F.col("_o"), F.substring("window", F.col("_o") + 1, F.lit(1)).alias("ref"),
@@ -178,8 +181,10 @@ def delta_kmer_score(seqs: DataFrame, weights: DataFrame, k: int, keys: Sequence
     new = changed.join(table, [*model, "_code"], "left")
     change = _packed_weight(F.col("_w"), F.col("_code"), k, missing) - F.col("_old")
     offset = F.col(start) if start else F.lit(0)
-    return (new.groupBy(*kept, "pos", "ref", "alt").agg(F.sum(change).alias("score"))
-            .select(*keys, (F.col("pos") + offset).alias("pos"), "ref", "alt", "score"))
+    sums = new.groupBy(*kept, "pos", "ref").agg(*[F.sum(F.when(F.col("alt") == b, change)).alias(f"_{b}") for b in BASES])
+    scores = F.array(*[F.struct(F.lit(b).alias("alt"), F.col(f"_{b}").alias("score")) for b in BASES])
+    return (sums.withColumn("_c", F.explode(F.filter(scores, lambda x: x["alt"] != F.col("ref"))))
+            .select(*keys, (F.col("pos") + offset).alias("pos"), "ref", "_c.alt", "_c.score"))
 
 
 def region_sequences(regions: DataFrame, chunks: DataFrame, chunk_size: int, lo: Column, hi: Column,

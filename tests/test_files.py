@@ -347,3 +347,6 @@ def test_positions_are_shared_by_tasks(spark, rows):
         assert "REPARTITION_BY_NUM" in plan and plan.count("FileScan") + plan.count("Scan ExistingRDD") == 2
     tasks = se.windows(df, ["id"], "seq", 2, spread=True).select(F.spark_partition_id()).distinct().count()
     assert tasks > 1
+    long = df.filter("char_length(seq) > 2")
+    plan = se.delta_kmer_score(long, model.filter("false"), 2, missing="zero")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan[plan.rindex("partial_sum"):]
