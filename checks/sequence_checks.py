@@ -230,6 +230,10 @@ PLACED = """p as (select 'chr' || (l_orderkey % 5) as chrom, l_orderkey * 10 as
     l_orderkey, l_linenumber, l_tax - l_discount as v from lineitem)"""
 
 
+#: Rows of a gzip part of prediction files, as its reader is one task.
+PART_ROWS = 1_000_000
+
+
 def placed(spark, sf):
     li = table(spark, sf, "lineitem")
     return li.select(
@@ -245,7 +249,7 @@ def write_raw(p, path):
     x = F.when(F.col("allele") == "A", 0 - v).otherwise(v * F.ascii("allele"))
     span = lambda a, b: F.concat("chrom", F.lit(":"), text(a), F.lit("-"), text(b))
     lines(p, span(s, s + 238), span(s - s % 3, s + 300), F.concat(F.lit("pos="), text("pos")),
-          F.concat(F.lit("ref="), "ref_allele"), "allele", text(x)).write.text(path)
+          F.concat(F.lit("ref="), "ref_allele"), "allele", text(x)).write.options(compression="gzip", maxRecordsPerFile=PART_ROWS).text(path)
 
 
 @check("allele_preds_raw", f"""with {PLACED} select chrom as cre_chrom, s as cre_start,
@@ -282,7 +286,7 @@ def _(spark, sf):
     spdi = F.concat_ws(":", F.lit("NC_1"), text("pos"), "ref_allele", "allele")
     tb.export_delimited(p.select(
         F.col("chrom").alias("chromosome"), F.col("s").alias("cre_start"),
-        (F.col("s") + 238).alias("cre_end"), spdi.alias("SPDI"), F.col("v").alias("effect")), source)
+        (F.col("s") + 238).alias("cre_end"), spdi.alias("SPDI"), F.col("v").alias("effect")), source, gzip=True, most_rows=PART_ROWS)
     rd.ingest_allele_preds(spark, source, target, chrom="chromosome", cre_start=None)
     return tb.read_table(spark, target)
 

@@ -122,15 +122,17 @@ def ingest_allele_preds(spark: SparkSession, source: str | list[str], path: str,
     """Store predictions as a Parquet table, replacing an older one.
 
     Any ``form`` but "processed" reads raw files: reference rows are dropped, no logarithm
-    is converted and ``log2FC`` is the effect relative to reference.
+    is converted and ``log2FC`` is the effect relative to reference. Their rows are written by the
+    tasks that compared them, sorted by chromosome, and do not travel again.
     """
-    if form == "processed":
+    raw = form != "processed"
+    if not raw:
         preds = read_allele_preds_spdi(spark, source, sep, **columns)
     else:
         preds = (read_allele_preds_raw(spark, source, None, "effect", "log2FC")
                  .filter(F.col("allele") != F.col("ref_allele"))
                  .withColumnRenamed("cre_chrom", "chrom"))
-    write_table(preds, path, [partition_by] if partition_by else [], "overwrite", compression)
+    write_table(preds, path, [partition_by] if partition_by else [], "overwrite", compression, stay=raw)
 
 
 def _from_path() -> dict[str, Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                 existing: str = "overwrite_or_ignore", compression: str = "snappy",
-                sort_by: Sequence[str] = (), most_rows: int = 0) -> None:
+                sort_by: Sequence[str] = (), most_rows: int = 0, stay: bool = False) -> None:
     """Write a plain or partitioned Parquet table.
 
     ``overwrite_or_ignore`` adds files beside those of other writes, ``delete_matching``
@@ -19,12 +19,13 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (),
 
     A partitioned table is rebalanced by its partition columns first: a partition lies in one
     task, so in one file, unless its task is above the advisory size; a partition with a third
-    of all rows is split into tasks of that size and has as many files. ``sort_by`` orders the
-    rows of a file, which lets readers skip row groups by their statistics. ``most_rows`` bounds
-    the rows of a file.
+    of all rows is split into tasks of that size and has as many files. Rows that
+    ``stay`` are written by the tasks they are in: no shuffle, and up to a file for each task and
+    partition. ``sort_by`` orders the rows of a file, which lets readers skip row groups by their
+    statistics. ``most_rows`` bounds the rows of a file.
     """
     if partition_by:
-        df = df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *sort_by)
+        df = (df if stay else df.hint("rebalance", *partition_by)).sortWithinPartitions(*partition_by, *sort_by)
     elif sort_by:
         df = df.sortWithinPartitions(*sort_by)
     writer = df.write.option("compression", compression)
@@ -65,9 +66,14 @@ def materialize_if_absent(spark: SparkSession, path: str, build: Callable[[], Da
 
 
 def export_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = True,
-                     gzip: bool = False) -> None:
-    """Text parts in a directory; one part per task, never one file through one task."""
+                     gzip: bool = False, most_rows: int = 0) -> None:
+    """Text parts in a directory; one part per task, never one file through one task.
+
+    ``most_rows`` bounds the rows of a part, as a reader takes a gzip file in one task.
+    """
     writer = df.write.mode("overwrite").option("sep", sep).option("header", header)
     if gzip:
         writer = writer.option("compression", "gzip")
+    if most_rows:
+        writer = writer.option("maxRecordsPerFile", most_rows)
     writer.csv(path)

@@ -350,3 +350,37 @@ def test_positions_are_shared_by_tasks(spark, rows):
     long = df.filter("char_length(seq) > 2")
     plan = se.delta_kmer_score(long, model.filter("false"), 2, missing="zero")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan[plan.rindex("partial_sum"):]
+
+
+def test_raw_preds_travel_once(spark, tmp_path, rows):
+    """Elements and bins of differing lengths keep their ends; rows are written where they were compared."""
+    data = [("chr1:10-30", "chr1:12-40", 5, "A", "A", 2.0), ("chr1:10-30", "chr1:12-40", 5, "A", "C", 3.0),
+            ("chr1:10-31", "chr1:12-40", 5, "A", "C", 7.0), ("chr2:10-30", "chr1:12-41", 5, "A", "A", 1.0),
+            ("chr2:10-30", "chr1:12-41", 5, "A", "G", 1.5)]
+    source = put(f"{tmp_path}/raw.tsv", *[(c, b, f"pos={p}", f"ref={r}", a, v) for c, b, p, r, a, v in data])
+    got = rows(rd.read_allele_preds_raw(spark, source, None), "cre_chrom", "cre_end", "bin_end", "allele", "FC_to_ref")
+    assert got == sorted([("chr1", 30, 40, "A", 0.0), ("chr1", 30, 40, "C", 1.0), ("chr1", 31, 40, "C", None),
+                          ("chr2", 30, 41, "A", 0.0), ("chr2", 30, 41, "G", 0.5)], key=repr)
+    plan = rd.read_allele_preds_raw(spark, source)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    rd.ingest_allele_preds(spark, source, f"{tmp_path}/raw", form="raw")
+    assert rows(tb.read_table(spark, f"{tmp_path}/raw"), "chrom", "cre_end", "bin_end", "log2FC") == [
+        ("chr1", 30, 40, 1.0), ("chr1", 31, 40, None), ("chr2", 30, 41, 0.5)]
+    df = spark.range(1000).selectExpr("id", "id % 2 as chrom").repartition(4, "id")
+    tb.write_table(df, f"{tmp_path}/stay", ["chrom"], stay=True)
+    files = [f for _, _, names in os.walk(f"{tmp_path}/stay") for f in names if f.endswith(".parquet")]
+    assert len(files) == 8 and tb.read_table(spark, f"{tmp_path}/stay").count() == 1000
+
+
+def test_prediction_files_are_small(spark, tmp_path, monkeypatch):
+    """The text that the checks write is compressed, in parts of bounded length."""
+    from checks import sequence_checks as sc
+    monkeypatch.setattr(sc, "PART_ROWS", 10)
+    p = spark.createDataFrame([("chr1", 10 * i, i, "A", "C", 0.5) for i in range(40)],
+                              "chrom string, s bigint, pos bigint, ref_allele string, allele string, v double").coalesce(1)
+    sc.write_raw(p, f"{tmp_path}/raw")
+    tb.export_delimited(p, f"{tmp_path}/csv", gzip=True, most_rows=sc.PART_ROWS)
+    for name, most in (("raw", 10), ("csv", 11)):  # a line for the header
+        parts = [f for f in os.listdir(f"{tmp_path}/{name}") if f.startswith("part-")]
+        assert len(parts) == 4 and all(f.endswith(".gz") for f in parts)
+        assert all(gzip.open(f"{tmp_path}/{name}/{f}").read().count(b"\n") == most for f in parts)
