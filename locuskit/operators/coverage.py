@@ -146,10 +146,12 @@ def gaps_between(coverage: DataFrame, compat: bool = False) -> DataFrame:
         return found.select("region_type", "region", *_part(F.col("chrom"), F.col("a"), F.col("b")))
     keys = ["region"]
     part = [*keys, "_part"]
+    # dealt by part once: collapsing, both windows, firsts and the join all find their rows together
     covered = (coverage.filter(F.col("pred_start").isNotNull())
-               .groupBy("region_type", "region", "chrom", "pred_start", "pred_end")
+               .select("region_type", "region", "chrom", "pred_start", "pred_end",
+                       F.floor(F.col("pred_start") / STRETCH).alias("_part")).repartition(*part)
+               .groupBy("region_type", "region", "chrom", "_part", "pred_start", "pred_end")
                .agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_part", F.floor(F.col("pred_start") / STRETCH))
                .withColumn("_copies", F.sum("_n").over(W.partitionBy(*part, "pred_start"))))
     spot = F.struct("pred_start", "_copies")
     # in descending order the rows before are those that start later

@@ -195,3 +195,12 @@ def test_absent_split_id_and_gaps_of_one_region(spark):
     bins = spark.createDataFrame([(1, "c", 0, 9)], "index long, chrom string, start long, end long")
     with pytest.raises(Exception, match="no bin for split"):
         add_split_flags(bins, {"train": bins.withColumn("index", F.lit(7).cast("long"))}).collect()
+
+
+def test_loose_gaps_are_dealt_once(spark, rows):
+    """Collapsing, windows and the join of the loose gaps use one dealing by region and part."""
+    data = [("E", "r", "c", 0, 99, 100, i, i + 5, i, i + 4, 5, 5.0) for i in (10, 10, 30, 60)]
+    out = co.gaps_between(spark.createDataFrame(data, SCHEMA), compat=True)
+    assert rows(out, "region_id") == [("c:15-30",)] * 2 + [("c:35-60",)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "region_type" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning" in x)
