@@ -9,14 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuskit.operators.joins import skew_join
-from locuskit.session import shuffle_partitions
+from locuskit.session import growing_tasks
 
 # Sizes of pieces: a substring costs time in its offset, so long sequences are cut
 # three times before single positions are taken
 PIECES = (1 << 16, 1 << 8, 1 << 4)
 BASES = ("A", "C", "G", "T")
-#: Tasks that share the positions of all sequences, for each shuffle partition.
-SPREAD = 2
 #: A model of k-mers up to this length is sent to all tasks: five letters give at most 15,625.
 SHORT = 6
 
@@ -45,14 +43,14 @@ def windows(seqs: DataFrame, keys: Sequence[str], seq: str, length: int, spread:
             short: bool = False) -> DataFrame:
     """(keys, pos, window): every substring of ``length`` letters, pos from 0.
 
-    With ``short`` a sequence of fewer letters has one row without a window. With ``spread`` the pieces of 256 letters are dealt to ``SPREAD`` tasks for each shuffle
-    partition. A file of sequences is small next to its positions, so without it few tasks hold
-    what is grouped by position.
+    With ``short`` a sequence of fewer letters has one row without a window. With ``spread`` the
+    pieces of 256 letters are dealt to ``session.SPREAD`` tasks for each shuffle partition: a file of
+    sequences is small next to its positions, and few tasks would hold what is grouped by position.
     """
     rows = seqs.select(*keys, F.lit(0).cast("bigint").alias("_at"), _once(F.col(seq)).alias("_s"))
     for size in PIECES:
         if spread and size == PIECES[-1]:
-            rows = rows.repartition(SPREAD * shuffle_partitions(seqs), *keys, "_at", "_s")
+            rows = rows.repartition(growing_tasks(seqs), *keys, "_at", "_s")
         last = F.greatest(F.floor((F.char_length("_s") - length) / size), F.lit(0))
         rows = (rows.filter(F.char_length("_s") >= (0 if short else length))
                 .select(*keys, "_at", "_s", F.explode(F.sequence(F.lit(0), last)).alias("_i"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuskit.functions import log2_or_null, ratio, row_mean, row_min, single_base
+from locuskit.session import growing_tasks
 
 PLACE = ["chrom", "allele_pos", "alt_allele"]
 VARIANT = ["region_type", "region", "chrom", "allele_pos", "ref_allele", "alt_allele"]
@@ -226,7 +227,9 @@ def check_predictions(preds: DataFrame) -> DataFrame:
     Every row says once what it means for each rule. Equal statements are counted in the task
     that makes them, so what is shuffled is distinct (rule, group, value), and a second sum gives
     the number of values of each group: one read and two shuffles for all rules together. A rule
-    about single rows reports each of them, a rule about groups each group.
+    about single rows reports each of them, a rule about groups each group. The rows are dealt out
+    first, as a task of the scan would hold several statements for each of its many rows; rules go
+    by number, and what follows from a group's bounds is worked out behind the shuffles.
     """
     cre, bin_ = ["cre_chrom", "cre_start", "cre_end"], ["bin_chrom", "bin_start", "bin_end"]
     cre_len, bin_len = F.col("cre_end") - F.col("cre_start"), F.col("bin_end") - F.col("bin_start")
@@ -234,27 +237,35 @@ def check_predictions(preds: DataFrame) -> DataFrame:
     bin_mid = F.floor(F.col("bin_start") / 2 + F.col("bin_end") / 2)
     pos, none = F.col("allele_pos"), F.lit(None)
 
-    def said(rule: str, keys: Sequence[str], shown: Column = none, value: Column = none, expected: Column = none) -> Column:
+    rules = ("position_inside_bin", "bin_overlaps_element", "same_centre", "one_bin_per_element",
+             "all_positions_of_element", "all_positions_of_bin", "four_alleles")
+    singles = 3
+
+    def said(rule: str, keys: Sequence[str], number: Column = none, letter: Column = none) -> Column:
         chrom, start, end = [F.col(k) for k in (*keys, keys[-1])[:3]]
-        return F.struct(F.lit(rule).alias("rule"), chrom.alias("chrom"), start.alias("start"), end.alias("end"),
-                        shown.cast("bigint").alias("shown"), value.cast("string").alias("value"),
-                        expected.cast("bigint").alias("expected"))
+        return F.struct(F.lit(rules.index(rule)).cast("byte").alias("rule"), chrom.alias("chrom"), start.alias("start"),
+                        end.alias("end"), number.cast("bigint").alias("number"), letter.cast("string").alias("letter"))
 
     statements = F.array_compact(F.array(
         F.when((pos < F.col("bin_start")) | (pos >= F.col("bin_end")), said("position_inside_bin", cre, pos)),
         F.when((F.col("bin_chrom") != F.col("cre_chrom")) | (F.col("bin_start") >= F.col("cre_end"))
                | (F.col("bin_end") <= F.col("cre_start")), said("bin_overlaps_element", cre, F.col("bin_start"))),
         F.when(bin_mid != cre_mid, said("same_centre", cre, bin_mid - cre_mid)),
-        said("one_bin_per_element", cre, value=F.col("bin_start"), expected=F.lit(1)),
-        F.when(cre_len < bin_len, said("all_positions_of_element", cre, value=pos, expected=cre_len)),
-        F.when(cre_len >= bin_len, said("all_positions_of_bin", bin_, value=pos, expected=bin_len)),
-        said("four_alleles", ["bin_chrom", "allele_pos"], value=F.col("allele"), expected=F.lit(4))))
-    group = ["rule", "chrom", "start", "end", "shown", "expected"]
-    distinct = (preds.select(F.explode(statements).alias("_s")).select("_s.*")
-                .groupBy(*group, "value").agg(F.count(F.lit(1)).alias("n")))
-    counts = distinct.groupBy(*group).agg(F.count("value").alias("detail"), F.sum("n").alias("n"))
-    single, n = F.col("shown").isNotNull(), F.col("detail")
-    broken = F.when(F.col("rule") == "one_bin_per_element", n > F.col("expected")).otherwise(n != F.col("expected"))
+        said("one_bin_per_element", cre, F.col("bin_start")),
+        F.when(cre_len < bin_len, said("all_positions_of_element", cre, pos)),
+        F.when(cre_len >= bin_len, said("all_positions_of_bin", bin_, pos)),
+        said("four_alleles", ["bin_chrom", "allele_pos"], letter=F.col("allele"))))
+    used = preds.select(*cre, *bin_, "allele_pos", "allele").repartition(growing_tasks(preds))
+    distinct = (used.select(F.explode(statements).alias("_s")).select("_s.*")
+                .groupBy("rule", "chrom", "start", "end", "number", "letter").agg(F.count(F.lit(1)).alias("n")))
+    single = (F.col("rule") < singles) & F.col("number").isNotNull()
+    value = F.coalesce(F.col("letter"), F.when(F.col("rule") >= singles, F.col("number").cast("string")))
+    counts = (distinct.groupBy("rule", "chrom", "start", "end", F.when(single, F.col("number")).alias("shown"))
+              .agg(F.count(value).alias("detail"), F.sum("n").alias("n")))
+    single, n, rule = F.col("shown").isNotNull(), F.col("detail"), F.col("rule")
+    expected = F.when(rule == rules.index("four_alleles"), 4).otherwise(F.col("end") - F.col("start"))
+    broken = F.when(rule == rules.index("one_bin_per_element"), n > 1).otherwise(n != expected)
     copies = F.when(single, F.col("n")).otherwise(1).cast("int")
-    return (counts.filter(single | broken).select("rule", "chrom", "start", "end", F.explode(
+    name = F.element_at(F.array(*[F.lit(r) for r in rules]), rule.cast("int") + 1)
+    return (counts.filter(single | ((rule >= singles) & broken)).select(name.alias("rule"), "chrom", "start", "end", F.explode(
         F.array_repeat(F.coalesce("shown", n), copies)).alias("detail")))

@@ -258,3 +258,16 @@ def test_null_groups_and_tied_series(spark, rows):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None), ("a", float("nan"))], "g string, v double")
     assert sum(r.n for r in su.histogram(df, "v", 4, "g").collect()) == 3
     assert rows(su.box_stats(df.filter("not isnan(v)"), ["g"], "v"), "g", "n")[-1] == (None, 2)
+
+
+def test_checks_of_predictions_deal_rows_first(spark):
+    """Statements are made and counted behind a dealing of the rows, so no task holds those of a whole file."""
+    row = ("c", 10, 12, "c", 8, 14, 10, "A", "A", 0.0)
+    cols = ("cre_chrom string, cre_start long, cre_end long, bin_chrom string, bin_start long, bin_end long, allele_pos long, "
+            "ref_allele string, allele string, log2FC double")
+    out = va.check_predictions(spark.createDataFrame([row], cols).coalesce(1))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan[plan.rindex("partial_count"):plan.rindex("Scan ")]
+    odd = [(None, None, None, "c", None, 14, 10, "A", "A", 0.0), ("c", 10, 12, "d", None, None, None, "A", None, 0.0)]
+    found = va.check_predictions(spark.createDataFrame(odd, cols)).select("rule", "chrom", "detail").collect()
+    assert sorted(map(tuple, found), key=repr) == [("four_alleles", "c", 1), ("four_alleles", "d", 0)]
