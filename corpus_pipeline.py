@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuskit.llm import quality as rules
-from locuskit.llm.common import prepare, read_table, stored
+from locuskit.llm.common import prepare, read_table, sieved, stored
 from locuskit.llm.decontaminate import contamination
 from locuskit.llm.near_dedup import near_duplicates
 from locuskit.llm.packing import pack
@@ -47,9 +47,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "near_dedup")
     gone = found.filter(~F.col("kept")).select("doc_id")
     again = found.filter("n > 1").select(F.col("doc_id").alias("pipeline_id"))
-    left, same = docs.join(gone, "doc_id", "left_anti"), F.col("doc_id").eqNullSafe(F.col("pipeline_id"))
+    # documents of no listed id stay where they are: only the others are joined, with all their columns
+    listed, ids = found.filter("not kept or n > 1"), F.col("doc_id")
+    rest, some = (sieved(docs, ids, listed, ids, how) for how in ("left_anti", "left_semi"))
+    left, same = some.join(gone, "doc_id", "left_anti"), F.col("doc_id").eqNullSafe(F.col("pipeline_id"))
     out = left.join(again, same, "left_anti").unionByName(
-        left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).unionByName(rest)
     return out.select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -95,14 +95,14 @@ def crowd_links(members: DataFrame, sets: DataFrame, num: int, den: int, scratch
         tokens = scratch.store(placed.join(outer, "crowd").select(
             "crowd", "cls", far.alias("far"), F.when(far, _need(F.col("weight"), F.col("top.weight"), step)).otherwise(
                 F.greatest(F.lit(1).cast("bigint"), _need(F.col("weight"), F.col("outer"), step))).alias("need"),
-            F.explode("d").alias("value")), "values")
+            "weight", F.explode("d").alias("value")), "values")
         shared = tokens.groupBy("crowd", "value").agg(
             F.count(F.lit(1)).alias("df"), F.count_if("far").alias("n_far")).filter("df > 1 and n_far > 0").drop("n_far")
         each = Window.partitionBy("crowd", "cls")  # at most the size of one set's difference
         first = (tokens.join(shared, ["crowd", "value"])
                  .withColumn("place", F.row_number().over(each.orderBy("df", "value")))
                  .withColumn("have", F.count(F.lit(1)).over(each))
-                 .filter("have >= need and place <= have - need + 1").select("crowd", "value", "cls", "far"))
+                 .filter("have >= need and place <= have - need + 1").select("crowd", "value", "cls", "far", "weight", "have"))
         first = scratch.store(first, "first")
         groups = scratch.store(first.groupBy("crowd", "value").agg(
             F.count(F.lit(1)).alias("n"), F.count_if("far").alias("n_far")).filter("n > 1 and n_far > 0"), "sub-crowds")
@@ -110,6 +110,8 @@ def crowd_links(members: DataFrame, sets: DataFrame, num: int, den: int, scratch
         small = scratch.store(small, "few")
         pairs = small.filter("far").alias("x").join(small.alias("y"), ["crowd", "value"]).filter(
             (F.col("x.cls") < F.col("y.cls")) | (~F.col("y.far") & (F.col("x.cls") != F.col("y.cls"))))
+        # values that both may share are bounded by those that either shares with any
+        pairs = pairs.filter(F.col("x.weight") + F.col("y.weight") + step * F.least("x.have", "y.have") >= 0)
         pairs = pairs.select("crowd", F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
         side = lambda name: diff.select(
             "crowd", F.col("cls").alias(name), F.col("weight").alias(f"w{name}"), F.col("d").alias(f"d{name}"))

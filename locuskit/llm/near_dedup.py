@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locuskit.llm.common import Scratch, blank_words, gram_hashes, grouped, mix, prepare, side_by_side
+from locuskit.llm.common import Scratch, blank_words, gram_hashes, grouped, mix, prepare, side_by_side, sieved
 from locuskit.llm.components import components
 from locuskit.llm.crowds import crowd_links
 
@@ -54,29 +54,35 @@ def sketch(values: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """(key, n_shingles, cls, sketch, marks, crc); ``cls``, ``sketch`` and ``marks`` are null for an empty set.
-
-    ``marks`` has the lowest byte of each sketch value: enough to compare two sketches in a
-    leaf, at a quarter of the size.
-    """
+    """(key, n_shingles, cls, sketch, crc); ``cls`` and ``sketch`` are null for an empty set."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            n, cls, sk, marks, crc = [], [], [], [], []
+            n, cls, sk, crc = [], [], [], []
             for t in batch.column(1).to_pylist():
                 s = shingle_set(t, k)
                 n.append(len(s))
                 crc.append(zlib.crc32((t or "").encode()))
                 cls.append(class_key(s) if len(s) else None)
-                own = sketch(s) if len(s) else None
-                sk.append(None if own is None else own.tobytes())
-                marks.append(None if own is None else own.astype(np.uint8).tobytes())
+                sk.append(sketch(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sk, pa.binary()),
-                 pa.array(marks, pa.binary()), pa.array(crc, pa.int64())],
-                names=[key, "n_shingles", "cls", "sketch", "marks", "crc"])
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, cls binary, sketch binary, marks binary, crc bigint")
+                 pa.array(crc, pa.int64())], names=[key, "n_shingles", "cls", "sketch", "crc"])
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, cls binary, sketch binary, crc bigint")
+
+
+def _marked(classes: DataFrame) -> DataFrame:
+    """(cls, n_shingles, marks): the lowest byte of each sketch value.
+
+    Enough to compare two sketches in a leaf, at a quarter of the size.
+    """
+    def run(batches):
+        for batch in batches:
+            marks = [np.frombuffer(x, np.uint32).astype(np.uint8).tobytes() for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())],
+                                             names=["cls", "n_shingles", "marks"])
+    return classes.select("cls", "n_shingles", "sketch").mapInArrow(run, "cls binary, n_shingles bigint, marks binary")
 
 
 def _chosen(node: np.ndarray, rate: float) -> list[np.ndarray]:
@@ -209,10 +215,11 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, k: int)
         for batch in batches:
             sets = [shingle_set(t, k).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cls", "values"])
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.crc32(F.col(text).cast("binary")).alias("crc"))
+    own = sieved(own, F.struct("k", "crc"), wanted, F.struct("pick.key", "pick.crc"))
     # merged at every size: the list of wanted classes grows with the input
     picked = wanted.alias("w").hint("merge").join(
-        docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.crc32(F.col(text).cast("binary")).alias("crc"))
-        .alias("d"), F.col("w.pick.key").eqNullSafe(F.col("d.k")) & (F.col("w.pick.crc") == F.col("d.crc")))
+        own.alias("d"), F.col("w.pick.key").eqNullSafe(F.col("d.k")) & (F.col("w.pick.crc") == F.col("d.crc")))
     one = picked.groupBy("w.cls").agg(F.any_value("d.t").alias("t"))
     return one.select("cls", "t").mapInArrow(run, "cls binary, values binary")
 
@@ -228,26 +235,26 @@ def _descend(classes: DataFrame, rate: float, trees: int, scratch: Scratch) -> t
 
     def grow(frontier: DataFrame, roots: int, generations: int):
         grown = scratch.store(_grow(frontier, rate, roots, generations), "nodes")
-        sizes = scratch.store(grown.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
-                              .filter("n > 1").select("node", small.alias("small")), "node-sizes")
+        sizes = grown.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total"))
+        sizes = scratch.store(sizes.filter("n > 1").select("node", small.alias("small")), "node-sizes")
         # merged at every size: the lists of nodes grow with the input
-        few, many = (sizes.filter(x).select("node").hint("merge") for x in ("small", "not small"))
-        return grown, few, many, sizes
+        return grown, grown.drop("n_shingles").join(sizes.hint("merge"), "node"), sizes
 
-    grown, few, many, sizes = grow(classes, trees, 1)
-    first = scratch.store(grown.join(few, "node").select("node", "cls"), "leaves")
-    frontier = scratch.store(grown.join(many, "node").select("node", "cls").join(
-        classes.select("cls", "n_shingles", "sketch"), "cls"), "frontier")
+    grown, placed, sizes = grow(classes, trees, 1)
+    first = scratch.store(placed.select("node", "cls", "small"), "placed")
+    wide = first.filter("not small").select("node", "cls")
+    frontier = scratch.store(wide.join(sieved(classes.select("cls", "n_shingles", "sketch"), F.col("cls"), wide, F.col("cls")), "cls"), "frontier")
     scratch.drop(grown, sizes)
-    grown, few, many, sizes = grow(frontier, 0, GENERATIONS)
-    leaf = grown.join(few, "node")  # below a node that is still large, else it is another leaf's affair
-    leaf = leaf.filter("depth = 1").unionByName(leaf.filter("depth > 1").join(
-        many.select(F.col("node").alias("parent")), "parent", "left_semi").select(leaf.columns))
-    leaves = scratch.store(first.unionByName(leaf.select("node", "cls")), "leaves")
-    last = grown.filter(F.col("depth") == GENERATIONS).join(many, "node").select("node", "cls")
+    grown, placed, sizes = grow(frontier, 0, GENERATIONS)
+    many = sizes.filter("not small").select(F.col("node").alias("parent")).hint("merge")
+    placed = scratch.store(placed, "placed")
+    leaf = placed.filter("small")  # below a node that is still large, else it is another leaf's affair
+    leaf = leaf.filter("depth = 1").unionByName(leaf.filter("depth > 1").join(many, "parent", "left_semi").select(leaf.columns))
+    leaves = scratch.store(first.filter("small").select("node", "cls").unionByName(leaf.select("node", "cls")), "leaves")
+    last = placed.filter((F.col("depth") == GENERATIONS) & ~F.col("small")).select("node", "cls")
     names = last.groupBy("node").agg(F.xxhash64(F.min("cls")).alias("crowd"))
     crowds = scratch.store(last.join(names, "node").select("crowd", "cls").distinct(), "crowd-members")
-    scratch.drop(first, grown, sizes, frontier)
+    scratch.drop(first, grown, placed, sizes, frontier)
     return leaves, crowds
 
 
@@ -269,17 +276,19 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k:
     rows = scratch.store(described(docs, key, text, k), "sketches")
     classes = scratch.store(rows.filter("cls is not null").groupBy("cls").agg(
         F.min(key).alias("least"), F.min(F.struct(F.col(key).alias("key"), "crc")).alias("pick"),
-        F.min("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"),
-        F.any_value("marks").alias("marks")), "classes")
+        F.min("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch")), "classes")
+    named_rows = scratch.store(rows.select(key, "n_shingles", "cls"), "rows")
+    scratch.drop(rows)
     leaves, crowds = _descend(classes, den / num, trees, scratch)
-    groups = scratch.store(side_by_side(leaves.join(classes.select("cls", "n_shingles", "marks"), "cls"), "node").mapInArrow(
+    groups = scratch.store(side_by_side(leaves.join(_marked(classes), "cls"), "node").mapInArrow(
         _clusters(num, den, slack), "members binary, cls binary").distinct(), "groups")
-    wanted = groups.select("cls").unionByName(crowds.select("cls")).distinct().join(classes.select("cls", "pick"), "cls")
+    wanted = scratch.store(groups.select("cls").unionByName(crowds.select("cls")).distinct().join(
+        classes.select("cls", "pick"), "cls"), "wanted")
     sets = scratch.store(_full_sets(docs, wanted, key, text, k), "sets")
     links = scratch.store(side_by_side(groups.join(sets, "cls"), "members").mapInArrow(
         _links(num, den), "a binary, b binary"), "links")
     more = crowd_links(crowds, sets, num, den, scratch)
-    scratch.drop(leaves, groups, crowds, sets)
+    scratch.drop(leaves, groups, wanted, crowds, sets)
     named = scratch.store(components(links.unionByName(more)).join(
         classes.select(F.col("cls").alias("node"), "least"), "node"), "components")
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -287,6 +296,6 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = (85, 100), k:
     of_class = scratch.store(classes.select("cls", "least").join(several, "cls", "left").select(
         "cls", F.coalesce("component_id", "least").alias("component_id")), "class-components")
     scratch.drop(links, named, classes)
-    out = rows.select(key, "n_shingles", "cls").join(of_class, "cls", "left")
+    out = named_rows.join(of_class, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col(key)).otherwise(F.col("component_id"))
     return out.select(key, "n_shingles", component.alias("component_id"), F.col(key).eqNullSafe(component).alias("kept"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locuskit.llm.common import Scratch, prepare
+from locuskit.llm.common import Scratch, prepare, sieved
 from locuskit.llm.components import components
 from locuskit.llm.crowds import crowd_links
 from locuskit.llm.near_dedup import near_duplicates
@@ -177,3 +177,15 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(60)] + [(None, 3), (7, 7), (7, None)]
     found = dict(components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
     assert found == {i: 0 for i in range(41)} | {100: 100} | {200 + i: 100 for i in range(60)}
+
+
+def test_sieve_keeps_what_is_wanted_and_parts_the_rest(spark):
+    docs = spark.range(20_000).select(F.when(F.col("id") % 1000 != 7, F.col("id")).alias("doc_id"), F.lit("words").alias("text"))
+    wanted = spark.createDataFrame([(i,) for i in (3, 5, 5, 19_999, 50_000)] + [(None,)], "doc_id bigint")
+    key = F.struct("doc_id")
+    some, rest = (sieved(docs, key, wanted, key, how) for how in ("left_semi", "left_anti"))
+    assert "Exchange hashpartitioning(doc_id" not in rest._jdf.queryExecution().executedPlan().toString()
+    ids = [r.doc_id for r in some.collect()]
+    assert {3, 5, 19_999, None} <= set(ids) and ids.count(None) == 20 and len(ids) < 60
+    assert len(ids) + rest.count() == 20_000 and rest.filter("doc_id is null or doc_id in (3, 5, 19999)").isEmpty()
+    assert sieved(docs, key, wanted.limit(0), key).isEmpty() and sieved(docs, key, wanted.limit(0), key, "left_anti").count() == 20_000
