@@ -13,6 +13,7 @@ from locuskit.functions import log2_or_null, ratio, row_mean, row_min, single_ba
 from locuskit.session import growing_tasks
 
 PLACE = ["chrom", "allele_pos", "alt_allele"]
+POSITION = ("cre_chrom", "cre_start", "cre_end", "bin_chrom", "bin_start", "bin_end", "allele_pos")
 VARIANT = ["region_type", "region", "chrom", "allele_pos", "ref_allele", "alt_allele"]
 
 
@@ -164,8 +165,7 @@ def drop_mismatches(df: DataFrame) -> DataFrame:
 
 
 def relative_to_reference(df: DataFrame, effect: str = "log2FC", out: str = "FC_to_ref",
-                          keys: Sequence[str] = ("cre_chrom", "cre_start", "cre_end", "bin_chrom",
-                                                 "bin_start", "bin_end", "allele_pos")) -> DataFrame:
+                          keys: Sequence[str] = POSITION) -> DataFrame:
     """Effect minus the effect of the reference allele at the same position.
 
     One shuffle and one read: the position's rows, one for each allele and copy of it, are

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from locuskit.functions import (columns_matching, ln_to_log2, renamed_by_pattern, revcomp,
                                 single_base, text_or_null)
 from locuskit.operators.sampling import with_row_number
-from locuskit.operators.variants import count_averages, relative_to_reference
+from locuskit.operators.variants import POSITION, count_averages, relative_to_reference
 from locuskit.session import shuffle_partitions
 from locuskit.sources.tables import write_table
 
@@ -44,6 +44,16 @@ def _typed(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return df.withColumns({c: F.col(f"`{c}`").cast(t) for c, t in types.items() if c in df.columns})
 
 
+def sorting_tasks(df: DataFrame) -> int:
+    """Tasks among which the rows of ``df`` are sorted in memory: they follow the pieces it is read in.
+
+    A gzip piece of 128 MB holds some ten million rows, and adaptive execution never makes more tasks than
+    there are shuffle partitions. Up to 200 of them a shuffle holds no rows back on its writing side.
+    """
+    pieces = df.rdd.getNumPartitions()
+    return max(shuffle_partitions(df), min(200, 8 * pieces), 2 * pieces)
+
+
 def spread_compressed(df: DataFrame) -> DataFrame:
     """Rows of gzip files dealt to all tasks: such a file cannot be split, so one task reads it whole."""
     if not any(f.endswith(".gz") for f in df.inputFiles()):
@@ -93,6 +103,9 @@ def read_allele_preds_raw(spark: SparkSession, path: str | list[str],
         part("bin", 2).cast("bigint").alias("bin_start"), part("bin", 3).cast("bigint").alias("bin_end"),
         F.split_part("pos", F.lit("="), F.lit(2)).cast("bigint").alias("allele_pos"),
         F.split_part("ref", F.lit("="), F.lit(2)).alias("ref_allele"), "allele", value.alias(effect))
+    tasks = sorting_tasks(raw)
+    if tasks > shuffle_partitions(raw):
+        rows = rows.repartition(tasks, *POSITION)
     return relative_to_reference(rows, effect, relative)
 
 
@@ -122,17 +135,16 @@ def ingest_allele_preds(spark: SparkSession, source: str | list[str], path: str,
     """Store predictions as a Parquet table, replacing an older one.
 
     Any ``form`` but "processed" reads raw files: reference rows are dropped, no logarithm
-    is converted and ``log2FC`` is the effect relative to reference. Their rows are written by the
-    tasks that compared them, sorted by chromosome, and do not travel again.
+    is converted and ``log2FC`` is the effect relative to reference. All rows are written by the tasks
+    that read or compared them, sorted by chromosome, and do not travel again.
     """
-    raw = form != "processed"
-    if not raw:
+    if form == "processed":
         preds = read_allele_preds_spdi(spark, source, sep, **columns)
     else:
         preds = (read_allele_preds_raw(spark, source, None, "effect", "log2FC")
                  .filter(F.col("allele") != F.col("ref_allele"))
                  .withColumnRenamed("cre_chrom", "chrom"))
-    write_table(preds, path, [partition_by] if partition_by else [], "overwrite", compression, stay=raw)
+    write_table(preds, path, [partition_by] if partition_by else [], "overwrite", compression, stay=True)
 
 
 def _from_path() -> dict[str, Column]:

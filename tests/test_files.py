@@ -384,3 +384,38 @@ def test_prediction_files_are_small(spark, tmp_path, monkeypatch):
         parts = [f for f in os.listdir(f"{tmp_path}/{name}") if f.startswith("part-")]
         assert len(parts) == 4 and all(f.endswith(".gz") for f in parts)
         assert all(gzip.open(f"{tmp_path}/{name}/{f}").read().count(b"\n") == most for f in parts)
+
+
+def test_raw_preds_are_sorted_by_tasks_that_follow_the_input(spark, tmp_path, rows):
+    """More shuffle tasks than there are partitions by default, still one shuffle, the same rows."""
+    for i in range(3):
+        put(f"{tmp_path}/raw/{i}.tsv", *[(f"chr1:{p}-30", "chr1:1-40", f"pos={p}", "ref=A", a, float(p + i * (a != "A")))
+                                         for p in range(20) for a in "AC"])
+    want = sorted((("chr1", p, a, float(i * (a != "A"))) for p in range(20) for a in "AC" for i in range(3)), key=repr)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        df = rd.read_allele_preds_raw(spark, f"{tmp_path}/raw", None)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan
+        assert rd.sorting_tasks(spark.read.text(f"{tmp_path}/raw")) == 24
+        assert rows(df, "cre_chrom", "allele_pos", "allele", "FC_to_ref") == want
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+def test_processed_preds_do_not_travel(spark, tmp_path, rows):
+    """Each reading task writes its rows: a file for each of two input files in each chromosome."""
+    for i in range(2):
+        put(f"{tmp_path}/spdi/{i}.tsv", ("cre_chrom", "cre_start", "cre_end", "SPDI", "log2FC"),
+            *[(f"chr{c}", 10, 20, f"NC:{p}:A:C", i + 0.5) for p in range(5) for c in (1, 2)])
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        rd.ingest_allele_preds(spark, f"{tmp_path}/spdi", f"{tmp_path}/table")
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    files = [f for _, _, names in os.walk(f"{tmp_path}/table") for f in names if f.endswith(".parquet")]
+    assert len(files) == 4
+    assert rows(tb.read_table(spark, f"{tmp_path}/table"), "chrom", "allele_pos", "log2FC") == sorted(
+        ((f"chr{c}", p, i + 0.5) for p in range(5) for c in (1, 2) for i in range(2)), key=repr)
