@@ -407,7 +407,7 @@ def test_raw_preds_are_sorted_by_tasks_that_follow_the_input(spark, tmp_path, ro
 def test_processed_preds_do_not_travel(spark, tmp_path, rows):
     """Each reading task writes its rows: a file for each of two input files in each chromosome."""
     for i in range(2):
-        put(f"{tmp_path}/spdi/{i}.tsv", ("cre_chrom", "cre_start", "cre_end", "SPDI", "log2FC"),
+        put(f"{tmp_path}/spdi/{i}.tsv", ("cre_chrom", "cre_start", "cre_end", "SPDI", "effect"),
             *[(f"chr{c}", 10, 20, f"NC:{p}:A:C", i + 0.5) for p in range(5) for c in (1, 2)])
     before = spark.conf.get("spark.sql.files.openCostInBytes")
     spark.conf.set("spark.sql.files.openCostInBytes", "128m")
