@@ -14,8 +14,8 @@ from locuskit.sources import tables as tb
 
 def model(spark, sf, k=3):
     """Weight of a k-mer: how often it occurs in all part sequences."""
-    return (se.windows(part_seqs(spark, sf), ["id"], "seq", k).groupBy(F.col("window").alias("kmer"))
-            .agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    return (se.kmer_counts(part_seqs(spark, sf), ["id"], "seq", k).filter("window is not null")
+            .groupBy(F.col("window").alias("kmer")).agg(F.sum("n").cast("double").alias("weight")))
 
 
 KMERS = """kmers as (select id, i, substr(seq, i, 3) as kmer from (select id, seq,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 from locuskit.operators.joins import skew_join
 from locuskit.session import growing_tasks
@@ -14,6 +18,10 @@ from locuskit.session import growing_tasks
 # Sizes of pieces: a substring costs time in its offset, so long sequences are cut
 # three times before single positions are taken
 PIECES = (1 << 16, 1 << 8, 1 << 4)
+#: Pieces whose k-mers are counted at once: they are cut no further, and most k-mers come up again within one.
+COUNTED = (1 << 16, 1 << 12)
+#: Bytes of k-mers that a task counts at a time.
+AT_ONCE = 1 << 22
 BASES = ("A", "C", "G", "T")
 #: A model of k-mers up to this length is sent to all tasks: five letters give at most 15,625.
 SHORT = 6
@@ -39,6 +47,20 @@ def _once(text: Column) -> Column:
     return F.explode(F.array(text))
 
 
+def _whole(seqs: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
+    return seqs.select(*keys, F.lit(0).cast("bigint").alias("_at"), _once(F.col(seq)).alias("_s"))
+
+
+def _cut(rows: DataFrame, keys: Sequence[str], size: int, length: int, short: bool) -> DataFrame:
+    """Pieces of ``size`` letters of each text, long enough at their ends to share no window but lose none."""
+    last = F.greatest(F.floor((F.char_length("_s") - length) / size), F.lit(0))
+    return (rows.filter(F.char_length("_s") >= (0 if short else length))
+            .select(*keys, "_at", "_s", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
+            .select(*keys, (F.col("_at") + F.col("_i") * size).alias("_at"),
+                    _once(F.substring("_s", (F.col("_i") * size + 1).cast("int"),
+                                      F.lit(size + length - 1))).alias("_s")))
+
+
 def windows(seqs: DataFrame, keys: Sequence[str], seq: str, length: int, spread: bool = False,
             short: bool = False) -> DataFrame:
     """(keys, pos, window): every substring of ``length`` letters, pos from 0.
@@ -47,16 +69,11 @@ def windows(seqs: DataFrame, keys: Sequence[str], seq: str, length: int, spread:
     pieces of 256 letters are dealt to ``session.SPREAD`` tasks for each shuffle partition: a file of
     sequences is small next to its positions, and few tasks would hold what is grouped by position.
     """
-    rows = seqs.select(*keys, F.lit(0).cast("bigint").alias("_at"), _once(F.col(seq)).alias("_s"))
+    rows = _whole(seqs, keys, seq)
     for size in PIECES:
         if spread and size == PIECES[-1]:
             rows = rows.repartition(growing_tasks(seqs), *keys, "_at", "_s")
-        last = F.greatest(F.floor((F.char_length("_s") - length) / size), F.lit(0))
-        rows = (rows.filter(F.char_length("_s") >= (0 if short else length))
-                .select(*keys, "_at", "_s", F.explode(F.sequence(F.lit(0), last)).alias("_i"))
-                .select(*keys, (F.col("_at") + F.col("_i") * size).alias("_at"),
-                        _once(F.substring("_s", (F.col("_i") * size + 1).cast("int"),
-                                          F.lit(size + length - 1))).alias("_s")))
+        rows = _cut(rows, keys, size, length, short)
     last, window = F.char_length("_s") - length, F.substring("_s", F.col("_i") + 1, F.lit(length))
     if short:
         last, window = F.greatest(last, F.lit(0)), F.when(F.char_length("_s") >= length, window)
@@ -64,6 +81,67 @@ def windows(seqs: DataFrame, keys: Sequence[str], seq: str, length: int, spread:
             .select(*keys, (F.col("_at") + F.col("_i")).alias("pos"), window.alias("window")))
 
 
+def _ranks(values: np.ndarray) -> tuple[np.ndarray, int]:
+    """Numbers from 0 that are equal where the values are, and how many there are."""
+    top = int(values.max(initial=0)) + 1
+    if top > 4 * len(values) + (1 << 21):
+        distinct, ranks = np.unique(values, return_inverse=True)
+        return ranks, len(distinct)
+    seen = np.zeros(top, bool)
+    seen[values] = True
+    ranks = np.cumsum(seen) - 1
+    return ranks[values], int(ranks[-1]) + 1
+
+
+def _count(texts: list[bytes], k: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(text number, k-mer, how often it is in that text); a text of fewer letters has one without a k-mer."""
+    texts = [t.decode("utf-8", "surrogateescape") for t in texts]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    whole = "".join(texts)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    letters, base = _ranks(np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32))
+    ends = max(len(whole) - k + 1, 0)
+    codes, span = letters[:ends], base
+    for i in range(1, k):
+        codes, span = _ranks(codes * base + letters[i:i + ends])
+    starts = np.flatnonzero(text[:ends] == text[k - 1:k - 1 + ends])
+    found, n = np.unique(text[starts] * span + codes[starts], return_counts=True)
+    place = np.full(span, -1)
+    place[codes[starts]] = starts
+    kmers = pa.array([whole[i:i + k].encode("utf-8", "surrogateescape") if i >= 0 else None for i in place.tolist()], pa.binary())
+    short = np.flatnonzero(lengths < k)
+    return (np.concatenate([found // max(span, 1), short]),
+            pa.concat_arrays([kmers.take(pa.array(found % max(span, 1))), pa.nulls(len(short), pa.binary())]),
+            np.concatenate([n, np.ones(len(short), np.int64)]))
+
+
+def kmer_counts(seqs: DataFrame, keys: Sequence[str], seq: str, k: int) -> DataFrame:
+    """(keys, window, n): how often each k-mer is in a piece of a sequence, so rows of the same k-mer may follow.
+
+    A sequence of fewer letters has one row without a window. Pieces are dealt to ``session.SPREAD`` tasks
+    for each shuffle partition, and are counted there without a row for each position.
+    """
+    rows = _whole(seqs, keys, seq)
+    for size in COUNTED:
+        rows = _cut(rows, keys, size, k, True)
+    rows = rows.repartition(growing_tasks(seqs), *keys, "_at", "_s")
+    shape = rows.select(*keys).schema.add("window", BinaryType()).add("n", LongType())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+            cuts = np.flatnonzero(np.diff(ends * (k + 5) // AT_ONCE)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+                some, kmers, n = _count(texts.slice(lo, hi - lo).to_pylist(), k)
+                spots = pa.array(some + lo)
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.take(spots) for c in batch.columns[:-1]], kmers, pa.array(n)], names=shape.names)
+
+    return (rows.select(*keys, F.col("_s").cast("binary")).mapInArrow(count, shape)
+            .withColumn("window", F.col("window").cast("string")))
+
+
 def kmer_length(weights: DataFrame) -> int:
     """Length of the model's k-mers (runs one aggregate)."""
     found = weights.agg(F.min(F.char_length("kmer")).alias("lo"),
@@ -86,15 +164,15 @@ def kmer_score(seqs: DataFrame, weights: DataFrame, k: int, keys: Sequence[str]
                seq: str = "seq", missing: str = "error") -> DataFrame:
     """Sum of the weights of all k-mers per sequence; one shorter than k scores 0.
 
-    Equal k-mers of a sequence are counted before they meet the model, but for a model of short
-    ones, which every task has: there each k-mer looks up its weight where it is cut.
+    Equal k-mers of a piece are counted before they meet the model, those of a whole sequence but
+    for a model of short ones, which every task has.
     """
-    counts = windows(seqs, keys, seq, k, spread=True, short=True)
+    counts = kmer_counts(seqs, keys, seq, k)
     model = weights.select(F.col("kmer").alias("window"), F.col("weight").alias("_w"))
     if k <= SHORT:
-        counts, model = counts.withColumn("n", F.lit(1)), F.broadcast(model)
+        model = F.broadcast(model)
     else:
-        counts = counts.groupBy(*keys, "window").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.groupBy(*keys, "window").agg(F.sum("n").alias("n"))
     none = F.col("window").isNull()
     weight = F.when(none, 0.0).otherwise(_weight(F.col("_w"), F.col("window"), missing))
     sums = (counts.join(model, "window", "left").groupBy(*keys)

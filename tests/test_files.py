@@ -352,6 +352,43 @@ def test_positions_are_shared_by_tasks(spark, rows):
     assert "REPARTITION_BY_NUM" in plan[plan.rindex("partial_sum"):]
 
 
+@pytest.mark.parametrize("pieces, at_once", [((1 << 16, 1 << 12), 1 << 22), ((16, 4), 100), ((7, 1), 1)])
+def test_counted_kmers_equal_windows(spark, monkeypatch, rows, pieces, at_once):
+    """Letters of one to four bytes and stray bytes, null and repeated keys, short and empty texts."""
+    import random
+    r = random.Random(5)
+    data = [(r.choice([None, 1, 2, 3]), "".join(r.choice("ACGTacN é漢😀") for _ in range(r.choice([0, 1, 2, 3, 30])))) for _ in range(60)]
+    df = (spark.createDataFrame([*data, (4, None), (5, "")], "id int, seq string")
+          .union(spark.sql("select 6, cast(x'4143FF4754' as string)")).coalesce(2))
+    for k in (1, 3, 7):
+        want = se.windows(df, ["id"], "seq", k, short=True).groupBy("id", "window").agg(F.count(F.lit(1)).alias("n"))
+        monkeypatch.setattr(se, "COUNTED", pieces)
+        monkeypatch.setattr(se, "AT_ONCE", at_once)
+        got = se.kmer_counts(df, ["id"], "seq", k).groupBy("id", "window").agg(F.sum("n").alias("n"))
+        assert rows(got, "id", F.hex("window"), "n") == rows(want, "id", F.hex("window"), "n")
+    assert set(rows(se.kmer_counts(df.filter("seq = ''"), ["id"], "seq", 2), "window", "n")) == {(None, 1)}
+
+
+def test_no_row_for_each_position(spark, tmp_path, rows):
+    """A piece of a sequence becomes a row for each different k-mer, not one for each position."""
+    df = spark.createDataFrame([(1, "ACGT" * 1000), (2, "AC")], "id int, seq string")
+    assert rows(se.kmer_counts(df, ["id"], "seq", 3), "id", "window", "n") == sorted(
+        [(1, "ACG", 1000), (1, "CGT", 1000), (1, "GTA", 999), (1, "TAC", 999), (2, None, 1)], key=repr)
+    model = spark.createDataFrame([("ACG", 2.0), ("CGT", 0.5), ("GTA", 0.0), ("TAC", -1.0)], "kmer string, weight double")
+    out = se.kmer_score(df, model, 3)
+    assert rows(out, "id", "score") == [(1, 1501.0), (2, 0.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("REPARTITION_BY_NUM")]
+    assert "MapInArrow" in above and above.count("Generate explode") == 1  # the scores of equal keys
+    from checks import sequence_checks as sc
+    part = spark.createDataFrame([(1, "ab", "cd", "a"), (2, "abcd", "", "a"), (3, "a", "", "")],
+                                 "p_partkey bigint, p_name string, p_type string, p_brand string")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    weights = sc.model(spark, str(tmp_path))
+    assert rows(weights) == [("ACG", 2.0), ("CGT", 2.0), ("GTA", 2.0)]
+    assert "REPARTITION_BY_NUM" in weights._jdf.queryExecution().executedPlan().toString()
+
+
 def test_raw_preds_travel_once(spark, tmp_path, rows):
     """Elements and bins of differing lengths keep their ends; rows are written where they were compared."""
     data = [("chr1:10-30", "chr1:12-40", 5, "A", "A", 2.0), ("chr1:10-30", "chr1:12-40", 5, "A", "C", 3.0),
